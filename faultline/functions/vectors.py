@@ -9,7 +9,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +56,15 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(hash_vector)
 
 
-def embed_template(template: Column, embedder: Embedder = hash_embedding) -> Column:
-    """Unit-length embedding of a template by any vectorised embedder of text."""
-    return l2_normalise(embedder(embedding_text(template)))
+def embed_templates(
+    df: DataFrame, template: str, embedder: Embedder = hash_embedding
+) -> DataFrame:
+    """Add vec, the unit-length embedding of a template column by any vectorised embedder.
+
+    The UDF runs in a step of its own: Spark takes no Python UDF inside array functions.
+    """
+    raw = df.withColumn("vec", embedder(embedding_text(F.col(template))))
+    return raw.withColumn("vec", l2_normalise(F.col("vec")))
 
 
 def norm(vector: Column) -> Column:

@@ -62,7 +62,7 @@ def nearest_known(
 
 def _best_in_shard(queries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     if queries.empty or known.empty:
-        return pd.DataFrame({"key": [], "event_id": [], "similarity": []})
+        return queries.iloc[:0][["key"]].assign(event_id="", similarity=0.0)
     known = known.sort_values("event_id")
     ids = known["event_id"].to_numpy()
     matrix = np.stack(known["vec"].to_numpy()).astype(np.float64).T

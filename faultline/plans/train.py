@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions.vectors import Embedder, embed_template, hash_embedding
+from faultline.functions.vectors import Embedder, embed_templates, hash_embedding
 from faultline.operators.assemble import assemble_entries
 from faultline.operators.matching import match_texts, resolve_texts
 from faultline.operators.mining import (
@@ -21,7 +21,7 @@ from faultline.sources.model import Model, save_table
 from faultline.staging import stage
 
 # Positions order the lines of all files: file number in the high bits, line below.
-LINE_BITS = 40
+LINE_BITS = 38
 
 SIM_THRESHOLD = 0.5
 MAX_CHILDREN = 128
@@ -49,9 +49,7 @@ def resolve(
     if missed.isEmpty():
         return resolve_texts(matched, None)
     queries = stage(
-        missed.select(
-            F.col("masked").alias("key"), embed_template(F.col("masked"), embedder).alias("vec")
-        ),
+        embed_templates(missed.select(F.col("masked").alias("key")), "key", embedder),
         "missed",
     )
     near = resolve_unmatched(queries, model.embeddings, min_similarity).join(
@@ -75,7 +73,7 @@ def train_entries(
     matched = stage(match_texts(texts, mined, sim_threshold), "trained")
     templates = save_table(count_lines(mined, matched), model_dir, "templates")
     embeddings = save_table(
-        templates.select("event_id", embed_template(F.col("template"), embedder).alias("vec")),
+        embed_templates(templates.select("event_id", "template"), "template", embedder),
         model_dir,
         "embeddings",
     )

@@ -37,7 +37,7 @@ class Dictionary:
     def add(self, text):
         toks = text.split()
         found, size = self._best(toks)
-        if found:
+        if found is not None:
             found.widen(toks)
         else:
             words = toks if size < self.cap else ["<*>"] * len(toks)
@@ -45,7 +45,7 @@ class Dictionary:
 
     def match(self, text):
         found, _ = self._best(text.split())
-        return self.templates.index(found) if found else None
+        return None if found is None else self.templates.index(found)
 
 
 class _Template:
