@@ -22,6 +22,8 @@ task ever sees more than ``round_size`` texts of a bucket, however large it is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +39,7 @@ POSITION_CHUNK = 1 << 20
 
 _BUCKET = ["n", "prefix"]
 _STATE = "n INT, prefix STRING, pos BIGINT, template STRING, last_pos BIGINT, open BOOLEAN"
+_STATE_COLUMNS = [field.split()[0] for field in _STATE.split(", ")]
 
 
 def distinct_masked(messages: DataFrame) -> DataFrame:
@@ -72,22 +75,15 @@ def mine_templates(
     """Templates of the distinct masked ``texts``: n, prefix, pos (of creation), template."""
     if not 0 < sim_threshold <= 1:
         raise ValueError("sim_threshold must lie in (0, 1]")
-    fold = _folder(sim_threshold, max_children)
+    fold = _folder(sim_threshold, max_children, round_size)
     remaining = texts.select(*_BUCKET, "pos", "masked")
-    state = stage(_first(remaining, round_size).groupBy(*_BUCKET).applyInPandas(
-        lambda pdf: fold(pdf, None, round_size), _STATE
-    ), "templates")
+    state = stage(_fold_buckets(_first(remaining, round_size), fold), "templates")
     finished = state.filter(~F.col("open"))
     while not (going_on := state.filter("open")).isEmpty():
         # Buckets with more than round_size open texts; nothing else is read again.
         remaining = stage(_uncovered(remaining, going_on), "open-texts")
-        head = _first(remaining, round_size)
-        state = stage(
-            head.groupBy(*_BUCKET)
-            .cogroup(going_on.groupBy(*_BUCKET))
-            .applyInPandas(lambda new, old: fold(new, old, round_size), _STATE),
-            "templates",
-        )
+        known = going_on.select(*_BUCKET, "pos", F.col("template").alias("masked"))
+        state = stage(_fold_buckets(_first(remaining, round_size, known), fold), "templates")
         finished = finished.unionByName(state.filter(~F.col("open")))
     return finished.select(*_BUCKET, "pos", "template")
 
@@ -120,14 +116,27 @@ def count_lines(templates: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
-def _first(texts: DataFrame, round_size: int) -> DataFrame:
-    """The first texts of each bucket; Spark drops later ones before the shuffle."""
+def _first(texts: DataFrame, round_size: int, known: DataFrame | None = None) -> DataFrame:
+    """The first texts of each bucket, together with the templates it has already.
+
+    Spark drops the later texts before the shuffle, so a bucket brings a task at most its
+    templates and ``round_size`` texts.
+    """
     in_order = Window.partitionBy(*_BUCKET).orderBy("pos")
-    return (
+    head = (
         texts.withColumn("_rank", F.row_number().over(in_order))
         .filter(F.col("_rank") <= round_size)
-        .drop("_rank")
+        .select(*_BUCKET, F.lit(True).alias("is_text"), "pos", "masked")
     )
+    if known is None:
+        return head
+    return head.unionByName(known.withColumn("is_text", F.lit(False)))
+
+
+def _fold_buckets(rows: DataFrame, fold) -> DataFrame:
+    """Stream every bucket, in order, through ``fold``: many small buckets share a task."""
+    ordered = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "is_text", "pos")
+    return ordered.select(*_BUCKET, "is_text", "pos", "masked").mapInPandas(fold, _STATE)
 
 
 def _uncovered(texts: DataFrame, going_on: DataFrame) -> DataFrame:
@@ -145,52 +154,73 @@ def _covers(template: Column, toks: Column) -> Column:
     return F.forall(pairs, lambda same: same)
 
 
-def _folder(sim_threshold: float, max_children: int):
-    """The sequential step for one bucket: new texts, templates so far -> templates."""
-
-    def fold(new: pd.DataFrame, old: pd.DataFrame | None, round_size: int) -> pd.DataFrame:
-        resumed = old is not None and len(old) > 0
-        bucket = old if resumed else new
-        n, prefix = int(bucket["n"].iloc[0]), bucket["prefix"].iloc[0]
-        codes: dict[str, int] = {tpl.WILDCARD: 0}
-
-        def encode(text: str) -> np.ndarray:
-            words = text.split(" ") if n else []
-            return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
-
-        grid = np.zeros((max_children + 1, n), dtype=np.int64)
-        created: list[int] = []
-        if resumed:
-            for row in old.sort_values("pos").itertuples(index=False):
-                grid[len(created)] = encode(row.template)
-                created.append(int(row.pos))
-        new = new.sort_values("pos")
-        for pos, text in zip(new["pos"], new["masked"]):
-            toks = encode(text)
-            known = grid[: len(created)]
+class _Bucket:
+    """Templates of one bucket as rows of token codes; code 0 is the wildcard."""
+
+    def __init__(self, n: int, prefix: str, max_children: int) -> None:
+        self.n, self.prefix, self.max_children = n, prefix, max_children
+        self.codes = {tpl.WILDCARD: 0}
+        self.grid = np.zeros((4, n), dtype=np.int32)
+        self.created: list[int] = []
+        self.n_texts, self.last_pos = 0, -1
+
+    @property
+    def swallows_all(self) -> bool:
+        return len(self.created) > self.max_children
+
+    def encode(self, text: str) -> list[int]:
+        codes = self.codes
+        return [codes.setdefault(t, len(codes)) for t in text.split(" ")] if self.n else []
+
+    def append(self, pos: int, toks: list[int]) -> None:
+        size = len(self.created)
+        if size == len(self.grid):
+            self.grid = np.vstack([self.grid, np.zeros_like(self.grid)])
+        self.grid[size] = toks
+        self.created.append(pos)
+
+    def add_text(self, pos: int, text: str, sim_threshold: float) -> None:
+        self.n_texts += 1
+        self.last_pos = pos
+        if self.swallows_all:
+            return
+        toks = self.encode(text)
+        size = len(self.created)
+        if size:
+            known = self.grid[:size]
             equal = ((known == 0) | (known == toks)).sum(axis=1)
-            if len(created):
-                best = int(equal.argmax())  # the earliest of equally similar ones
-                if n == 0 or equal[best] / n >= sim_threshold:
-                    grid[best][grid[best] != toks] = 0
-                    continue
-            full = len(created) >= max_children
-            grid[len(created)] = 0 if full else toks
-            created.append(int(pos))
-            if full:
-                break
-        words = list(codes)
-        swallows_all = len(created) > max_children
-        last_pos = int(new["pos"].iloc[-1]) if len(new) else -1
-        return pd.DataFrame(
-            {
-                "n": n,
-                "prefix": prefix,
-                "pos": created,
-                "template": [" ".join(words[c] for c in row) for row in grid[: len(created)]],
-                "last_pos": last_pos,
-                "open": len(new) >= round_size and not swallows_all,
-            }
-        )
+            best = int(equal.argmax())  # the earliest of equally similar ones
+            if self.n == 0 or equal[best] / self.n >= sim_threshold:
+                known[best][known[best] != toks] = 0
+                return
+        self.append(pos, toks if size < self.max_children else [0] * self.n)
+
+    def templates(self, round_size: int) -> Iterator[tuple]:
+        words = list(self.codes)
+        is_open = self.n_texts >= round_size and not self.swallows_all
+        for pos, codes in zip(self.created, self.grid.tolist()):
+            template = " ".join([words[c] for c in codes])
+            yield self.n, self.prefix, pos, template, self.last_pos, is_open
+
+
+def _folder(sim_threshold: float, max_children: int, round_size: int):
+    """The sequential step over rows sorted by bucket, templates before texts."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket: _Bucket | None = None
+        for batch in batches:
+            done: list[tuple] = []
+            for n, prefix, is_text, pos, text in batch.itertuples(index=False, name=None):
+                if bucket is None or bucket.n != n or bucket.prefix != prefix:
+                    if bucket is not None:
+                        done.extend(bucket.templates(round_size))
+                    bucket = _Bucket(n, prefix, max_children)
+                if is_text:
+                    bucket.add_text(pos, text, sim_threshold)
+                else:
+                    bucket.append(pos, bucket.encode(text))
+            yield pd.DataFrame(done, columns=_STATE_COLUMNS)
+        if bucket is not None:
+            yield pd.DataFrame(bucket.templates(round_size), columns=_STATE_COLUMNS)
 
     return fold
