@@ -279,11 +279,14 @@ matched AS (
   SELECT masked, toks, event_id, template, t, sim FROM asked LEFT JOIN best USING (masked))"""
 
 
-LOG_MASKED = f"""{_masking("entries", "file, line_no, elapsed_ms, component, level, message")},
+LOG_MASKED = rf"""{_masking("entries", "file, line_no, elapsed_ms, component, level, message")},
 positioned AS (
-  SELECT *, (CAST(file[2:2] AS BIGINT) << 38) + line_no AS pos,
-    file IN ('f0.log', 'f1.log') AS normal
-  FROM tokens)"""
+  SELECT * EXCLUDE (device, day), ((device * 1000 + day) << 38) + line_no AS pos,
+    day = 0 AND component <> 'VIEW' AS normal
+  FROM (
+    SELECT *, CAST(regexp_extract(file, '^f(\d+)-(\d+)', 1) AS BIGINT) AS device,
+      CAST(regexp_extract(file, '^f(\d+)-(\d+)', 2) AS BIGINT) AS day
+    FROM tokens))"""
 
 DOC_MASKED = f"""{_masking("docs", "doc_id, line_no")},
 positioned AS (
@@ -336,8 +339,8 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 _LOG_RULES = (LOG, PS_LINES, HITS, CLUSTERS, TRIGGERS)
 _DAILY_RULES = (DAILY, PS_LINES, HITS, CLUSTERS, TRIGGERS)
-_LOG_TRAINED = (LOG, ENTRIES, LOG_MASKED, _mining("positioned"), _matching("positioned"))
-_LOG_HEALTHY = (LOG, ENTRIES, LOG_MASKED, _mining("positioned", "normal"), _matching("positioned"))
+_LOG_TRAINED = (DAILY, ENTRIES, LOG_MASKED, _mining("positioned"), _matching("positioned"))
+_LOG_HEALTHY = (DAILY, ENTRIES, LOG_MASKED, _mining("positioned", "normal"), _matching("positioned"))
 _SCAN = (
     *_LOG_TRAINED, RARE, HITS, CLUSTERS, TRIGGERS, CONTEXT, _rare_findings(15), FOUND,
     _ranked("found"), _verdicts("found"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +43,7 @@ from faultline.rules import RULE_LIBRARY, rules_table
 from faultline.sinks.reports import json_report, markdown_report, summary_report
 from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import Model, load_model
-from faultline.staging import checkpoint_root, stage
+from faultline.staging import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,20 +138,22 @@ def findings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.log_lines(spark, sf_dir).select("file").distinct()
+def _daily_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.log_lines(spark, sf_dir, daily=True).select("file").distinct()
 
 
-def verdict_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     triggers = rule_triggers(tables.log_lines(spark, sf_dir, daily=True))
-    files = tables.log_lines(spark, sf_dir, daily=True).select("file").distinct()
-    return file_verdicts(triggers, files).select("file", "verdict", "findings", "severity.*")
+    return file_verdicts(triggers, _daily_files(spark, sf_dir))
+
+
+def verdict_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily_verdicts(spark, sf_dir).select("file", "verdict", "findings", "severity.*")
 
 
 def summary_of_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triggers = rule_triggers(tables.log_lines(spark, sf_dir, daily=True))
-    files = tables.log_lines(spark, sf_dir, daily=True).select("file").distinct()
-    return corpus_summary(file_verdicts(triggers, files)).select("total_files", "verdict_counts.*")
+    verdicts = _daily_verdicts(spark, sf_dir)
+    return corpus_summary(verdicts).select("total_files", "verdict_counts.*")
 
 
 # Templates
@@ -186,11 +187,12 @@ def error_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the device logs with their position and whether the log is healthy."""
-    entries = assemble_entries(tables.log_lines(spark, sf_dir))
-    ordinal = F.regexp_extract("file", r"^f(\d+)", 1).cast("bigint")
-    return entries.withColumn("file_ord", ordinal).withColumns(
-        {"pos": position(), "normal": F.col("file").isin(*tables.HEALTHY_FILES)}
+    """Entries of the daily logs with their position and whether it is healthy."""
+    entries = assemble_entries(tables.log_lines(spark, sf_dir, daily=True))
+    device, day = (F.regexp_extract("file", r"^f(\d+)-(\d+)", i).cast("bigint") for i in (1, 2))
+    normal = (day == tables.HEALTHY_DAY) & (F.col("component") != tables.NEW_COMPONENT)
+    return entries.withColumn("file_ord", device * 1000 + day).withColumns(
+        {"pos": position(), "normal": normal}
     )
 
 
@@ -240,7 +242,7 @@ def tagged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _log_entries(spark, sf_dir)
     model = _healthy_model(spark, entries)
     resolved = resolve_texts(match_texts(distinct_masked(entries), model.templates), None)
-    tagged = tag_entries(entries.select("file", "line_no", "message"), stage(resolved, "tags"))
+    tagged = tag_entries(entries.select("file", "line_no", "message"), resolved)
     return tagged.select(
         "file", "line_no", "event_id", "template", F.array_join("params", "\n").alias("params"),
         "resolved_via_oov",
@@ -258,7 +260,7 @@ def tagged_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embeddings",
     )
     resolved = resolve(distinct_masked(entries), model._replace(embeddings=known))
-    tagged = tag_entries(entries.select("file", "line_no", "message"), stage(resolved, "tags"))
+    tagged = tag_entries(entries.select("file", "line_no", "message"), resolved)
     return tagged.select(
         "file", "line_no", "event_id", "resolved_via_oov",
         F.round("oov_similarity", 6).alias("oov_similarity"),
@@ -335,7 +337,7 @@ def rare_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, model = _trained(spark, sf_dir)
     resolved = resolve(distinct_masked(entries), model)
     rare = rare_findings(first_per_text(entries), resolved, model.normal_ids, max_per_file=2)
-    ruled = rule_triggers(tables.log_lines(spark, sf_dir))
+    ruled = rule_triggers(tables.log_lines(spark, sf_dir, daily=True))
     return without_rule_lines(rare, ruled).select(
         "file", "line_number", "description", "timestamp", "elapsed_ms", "component",
         "trigger_line",
@@ -344,7 +346,7 @@ def rare_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, model = _trained(spark, sf_dir)
-    return scan(stage(tables.log_lines(spark, sf_dir), "log"), model)
+    return scan(stage(tables.log_lines(spark, sf_dir, daily=True), "log"), model)
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +360,7 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     findings = stage(_scan(spark, sf_dir), "findings")
-    return findings, file_verdicts(findings, _log_files(spark, sf_dir))
+    return findings, file_verdicts(findings, _daily_files(spark, sf_dir))
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,14 +372,12 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triggers = rule_triggers(tables.log_lines(spark, sf_dir, daily=True))
-    files = tables.log_lines(spark, sf_dir, daily=True).select("file").distinct()
-    return summary_report(file_verdicts(triggers, files)).select("file", _big("seq"), "text")
+    return summary_report(_daily_verdicts(spark, sf_dir)).select("file", _big("seq"), "text")
 
 
 def train_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole training on the documents, through the saved model."""
-    model_dir = f"{checkpoint_root(spark)}/model-{uuid.uuid4().hex}"
+    model_dir = new_folder(spark, "model")
     train_entries(tables.document_messages(spark, sf_dir), model_dir)
     model = load_model(spark, model_dir)
     normal = model.normal_ids.withColumn("normal", F.lit(True))

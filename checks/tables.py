@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.ordered import with_row_number
-from faultline.staging import checkpoint_root
+from faultline.staging import new_folder
 
 MS_PER_DAY = 8_640  # the clock below runs at 10 real seconds per millisecond
-HEALTHY_FILES = ("f0.log", "f1.log")
+# Healthy entries: those of the first day, from before the devices had the VIEW component.
+HEALTHY_DAY, NEW_COMPONENT = 0, "VIEW"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; one that is too small to fill the cores is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _text(column: str | Column) -> Column:
@@ -86,7 +88,7 @@ def _line_text() -> Column:
 
 def log_corpus(spark: SparkSession, sf_dir: str) -> str:
     """The daily log files written as real ``.log`` files; returns the path to read."""
-    path = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
+    path = new_folder(spark, "corpus")
     (
         log_lines(spark, sf_dir, daily=True)
         .repartition("file")

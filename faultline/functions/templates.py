@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.lines import SPACE, strip
+from faultline.functions.lines import UNEVEN_SPACE, strip
 
 WILDCARD = "<*>"
 EMPTY_PREFIX = "<empty>"
 UNKNOWN_ID = "<unk>"
 
-# What counts as a dynamic value, leftmost alternative first. The word
-# boundaries are spelled as look-arounds over letters, digits and underscore, because
-# ``\b`` differs between Java releases beside non-ASCII text.
-_BEFORE = r"(?<![\p{L}\p{N}_])"
-_AFTER = r"(?![\p{L}\p{N}_])"
-DYNAMIC = "|".join([
+# What counts as a dynamic value, leftmost alternative first: a MAC address, an
+# IPv4 address, a hexadecimal number, a number. Numbers stand between word boundaries, spelled
+# as look-arounds over letters, digits and underscore because ``\b`` differs between Java
+# releases beside non-ASCII text. The first look-ahead and the place of each look-behind only
+# let the search pass over other characters quickly.
+_WORD = r"[\p{L}\p{N}_]"
+_ENDS = rf"(?!{_WORD})"
+DYNAMIC = r"(?=[0-9a-fA-F\p{Nd}])(?:" + "|".join([
     r"(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}",
     r"(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}",
-    rf"{_BEFORE}0x[0-9a-fA-F]+{_AFTER}",
-    rf"{_BEFORE}\p{{Nd}}+(?:\.\p{{Nd}}+)?{_AFTER}",
-])
+    rf"0(?<!{_WORD}0)x[0-9a-fA-F]+{_ENDS}",
+    rf"\p{{Nd}}(?<!{_WORD}\p{{Nd}})\p{{Nd}}*(?:\.\p{{Nd}}+)?{_ENDS}",
+]) + ")"
 
 
 def mask(message: Column) -> Column:
@@ -36,7 +38,7 @@ def params(message: Column) -> Column:
 
 def masked_text(message: Column) -> Column:
     """Masked tokens joined by one blank: equal texts are exactly equal token lists."""
-    return strip(F.regexp_replace(mask(message), rf"(?U){SPACE}+", " "))
+    return strip(F.regexp_replace(mask(message), UNEVEN_SPACE, " "))
 
 
 def tokens(masked: Column) -> Column:

@@ -22,20 +22,23 @@ def assemble_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFr
     """
     keys = [c for c in lines.columns if c not in ("line_no", "value")]
     value, is_ps = F.col("value"), F.col("is_ps")
+    # The cheap first-character test drops most other lines; what it lets through besides PS
+    # and indented lines has no tail below and adds nothing, so the pattern runs only once.
     kept = (
-        lines.withColumn("is_ps", is_ps_line(value))
-        .filter(is_ps | is_continuation(value))
+        lines.filter(value.startswith("[") | is_continuation(value))
+        .withColumn("is_ps", is_ps_line(value))
         .withColumn("chunk", chunk_of("line_no", chunk_lines))
     )
     in_chunk = Window.partitionBy("file", "chunk")
+    so_far = in_chunk.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     ps_line = F.when(is_ps, F.col("line_no"))
     anchored = kept.select(
         *keys, "line_no", "value", "is_ps", "chunk",
-        F.last(ps_line, ignorenulls=True).over(in_chunk.orderBy("line_no")).alias("anchor"),
+        F.last(ps_line, ignorenulls=True).over(so_far).alias("anchor"),
         F.max(ps_line).over(in_chunk).alias("last_ps"),
     )
     # A struct starts with its line number, so sorting the list restores the line order.
-    tail = F.when(~is_ps, F.struct("line_no", strip(value).alias("text")))
+    tail = F.when(is_continuation(value), F.struct("line_no", strip(value).alias("text")))
     pieces = anchored.groupBy(*keys, "chunk", "anchor", "last_ps").agg(
         F.max(F.when(is_ps, value)).alias("head"),
         F.array_sort(F.collect_list(tail)).alias("tail"),

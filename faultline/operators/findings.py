@@ -13,7 +13,9 @@ from faultline.operators.bursts import burst_clusters, burst_settings
 from faultline.operators.ordered import CHUNK_LINES, chunk_of, with_row_number
 from faultline.operators.rule_hits import rule_hits
 from faultline.rules import RULE_LIBRARY, Rule, rules_table
-from faultline.staging import stage
+from faultline.staging import fits_broadcast, stage
+
+BAND_LINES = 32  # lines that meet findings under one join key
 
 
 def rule_triggers(
@@ -64,27 +66,28 @@ def rule_triggers(
 def attach_context(triggers: DataFrame, lines: DataFrame) -> DataFrame:
     """Replace n_before and n_after by the arrays context_before and context_after.
 
-    The wanted line numbers are listed per finding and joined to the lines by equality, so
-    the lines need no window and the key (file, line) cannot run hot.
+    Findings and lines meet on (file, band of lines); a finding touches two or three bands.
+    A band has few lines, so no key runs hot, and the lines need no window. While the
+    findings' keys are small they are broadcast and the lines are only scanned.
     """
+    triggers = stage(triggers, "triggers")
     key = ["file", "source_ord", "line_number"]
-    wanted = triggers.select(
-        *key,
-        F.explode(
-            F.sequence(
-                F.greatest(F.lit(1), F.col("line_number") - F.col("n_before")),
-                F.col("line_number") + F.col("n_after"),
-            )
-        ).alias("line_no"),
+    number = F.col("line_number")
+    low = F.greatest(F.lit(1), number - F.col("n_before")).alias("low")
+    high = (number + F.col("n_after")).alias("high")
+    wanted = triggers.select(*key, low, high).withColumn(
+        "band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high"))))
     )
-    offset = F.col("line_no") - F.col("line_number")
+    side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    line_no = F.col("line_no")
     around = (
-        wanted.filter(offset != 0)
-        .join(lines.select("file", "line_no", "value"), ["file", "line_no"])
+        lines.select("file", "line_no", "value", _band(line_no).alias("band"))
+        .join(side, ["file", "band"])
+        .filter((line_no != number) & line_no.between(F.col("low"), F.col("high")))
         .groupBy(*key)
         .agg(
-            _ordered_text(offset < 0).alias("context_before"),
-            _ordered_text(offset > 0).alias("context_after"),
+            _ordered_text(line_no < number).alias("context_before"),
+            _ordered_text(line_no > number).alias("context_after"),
         )
     )
     nothing = F.array().cast("array<string>")
@@ -97,6 +100,10 @@ def attach_context(triggers: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def _band(line_no: Column) -> Column:
+    return F.floor(line_no / F.lit(BAND_LINES)).cast("bigint")
+
+
 def _ordered_text(keep: Column) -> Column:
     part = F.when(keep, F.struct("line_no", "value"))
     return F.transform(F.array_sort(F.collect_list(part)), lambda row: row["value"])

@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import templates as tpl
-from faultline.staging import has_at_most
+from faultline.staging import fits_broadcast, stage
 
-# Copies of a bucket row in the shuffle plan, so that one hot bucket spreads over as many tasks.
+# Tasks that share one hot key in a shuffle join.
 SALTS = 64
 
 _BUCKET = ["n", "prefix"]
 
 
-def join_bucket(texts: DataFrame, per_bucket: DataFrame, how: str) -> DataFrame:
-    """Join texts to the one row of their bucket (n, prefix).
+def join_unique(
+    rows: DataFrame, side: DataFrame, on: list[str], how: str, spread_by: list[str]
+) -> DataFrame:
+    """Join rows to a side with one row per key, where one key may be most of the rows.
 
-    Broadcast while the buckets are few; otherwise a salted shuffle join, because one bucket
-    may hold a large share of the texts.
+    A small side is broadcast and the rows stay where they are. Otherwise both are shuffled
+    on the key and a salt taken from ``spread_by``, and the side is copied once per salt.
     """
-    if has_at_most(per_bucket):
-        return texts.join(F.broadcast(per_bucket), _BUCKET, how)
-    salted = texts.withColumn("_salt", F.pmod(F.xxhash64("masked"), F.lit(SALTS)).cast("int"))
-    copies = per_bucket.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return salted.join(copies, [*_BUCKET, "_salt"], how).drop("_salt")
+    if fits_broadcast(side):
+        return rows.join(F.broadcast(side), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def join_bucket(texts: DataFrame, per_bucket: DataFrame, how: str) -> DataFrame:
+    """Join texts to the one row of their bucket (n, prefix)."""
+    return join_unique(texts, per_bucket, _BUCKET, how, ["masked"])
 
 
 def match_texts(
@@ -102,20 +107,11 @@ def resolve_texts(matched: DataFrame, neighbours: DataFrame | None) -> DataFrame
 
 
 def tag_entries(entries: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Give every entry the id of its masked text, its template and its dynamic values.
-
-    Few distinct texts: a broadcast join, and the entries stay where they are. Many: a
-    shuffle join on the text with a salt, as one text may be a large share of all entries.
-    """
+    """Give every entry the id of its masked text, its template and its dynamic values."""
     message = F.col("message")
     keyed = entries.withColumns({"masked": tpl.masked_text(message), "params": tpl.params(message)})
     tags = resolved.select("masked", "event_id", "template", "resolved_via_oov", "oov_similarity")
-    if has_at_most(tags):
-        joined = keyed.join(F.broadcast(tags), "masked")
-    else:
-        salted = keyed.withColumn("_salt", F.pmod(F.col("line_no"), F.lit(SALTS)).cast("int"))
-        copies = tags.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, ["masked", "_salt"])
+    joined = join_unique(keyed, stage(tags, "tags"), ["masked"], "inner", ["file", "line_no"])
     return joined.select(
         *entries.columns, "event_id", "template", "params", "resolved_via_oov", "oov_similarity"
     )

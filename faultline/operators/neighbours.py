@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 16_384  # known vectors per task: 50 MB at 384 doubles
-BLOCK_ROWS = 16_384  # query vectors per task
+BLOCK_ROWS = 4_096  # query vectors per task
 TIE_DECIMALS = 9  # equal similarities must tie in spite of rounding
 
 _MULTIPLY_ROWS = 1024

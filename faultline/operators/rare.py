@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import templates as tpl
 from faultline.functions.scoring import has_error_hint
-from faultline.staging import has_at_most
+from faultline.operators.matching import join_unique
+from faultline.staging import fits_broadcast, stage
 
 # Texts of the finding and the default caps.
 RULE_NAME, CATEGORY, SEVERITY = "rare_template", "Novel Log Template", "MEDIUM"
@@ -49,13 +50,18 @@ def first_per_text(entries: DataFrame) -> DataFrame:
 
 def first_error_per_template(firsts: DataFrame, resolved: DataFrame) -> DataFrame:
     """Per (file, event_id) the first entry whose template or message shows an error."""
-    tagged = firsts.join(resolved.select("masked", "event_id", "template"), "masked")
+    tags = stage(
+        resolved.select("masked", "event_id", "template").filter(
+            ~F.col("event_id").isin("", tpl.UNKNOWN_ID)
+        ),
+        "tags",
+    )
+    tagged = join_unique(firsts, tags, ["masked"], "inner", ["file"])
     entry = F.when(has_error_hint(F.col("template")), F.col("first_entry")).otherwise(
         F.col("first_hinted")
     )
     return (
-        tagged.filter(~F.col("event_id").isin("", tpl.UNKNOWN_ID))
-        .select("file", "event_id", "template", entry.alias("entry"))
+        tagged.select("file", "event_id", "template", entry.alias("entry"))
         .filter(F.col("entry").isNotNull())
         .groupBy("file", "event_id")
         .agg(F.min_by(F.struct("entry", "template"), F.col("entry.line_no")).alias("first"))
@@ -68,7 +74,7 @@ def rare_findings(
 ) -> DataFrame:
     """The first ``max_per_file`` novel templates of each file, in line order, as findings."""
     candidates = first_error_per_template(firsts, resolved)
-    normal = F.broadcast(normal_ids) if has_at_most(normal_ids) else normal_ids
+    normal = F.broadcast(normal_ids) if fits_broadcast(normal_ids) else normal_ids
     novel = candidates.join(normal, "event_id", "left_anti")
     # Spark keeps only this many rows per file before the shuffle.
     in_order = Window.partitionBy("file").orderBy("line_no")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,34 @@ def matches(rule: Rule, value: Column) -> Column:
     return found
 
 
+def may_match(rules: Sequence[Rule], value: Column) -> Column:
+    """False only for lines that no rule can match, found by plain text search.
+
+    Non-ASCII lines always pass, since case folding can turn other letters into ASCII ones.
+    """
+    if not all(rule.literals for rule in rules):
+        return F.lit(True)
+    low = F.lower(value)
+    literals = sorted({text for rule in rules for text in rule.literals})
+    found = reduce(or_, (F.contains(low, F.lit(text)) for text in literals))
+    return found | (F.octet_length(value) != F.char_length(value))
+
+
 def rule_hits(lines: DataFrame, rules: Sequence[Rule] = RULE_LIBRARY) -> DataFrame:
     """One row per (PS line, matching rule): file, line_no, value, elapsed_ms, rule_ord.
 
-    A single pass: the rules are unrolled into one array whose literals compile once, and
-    almost every line leaves before the array is built.
+    A single pass without a shuffle. Almost every line leaves at the text search; the rules
+    are unrolled into one array, so that each pattern is a literal and compiles once.
     """
-    value = F.col("value")
     if not rules:
         raise ValueError("at least one rule is needed")
-    patterns = "|".join(f"(?:{rule.pattern})" for rule in rules)
+    value = F.col("value")
     fired = F.array(
         *[F.when(matches(rule, value), F.lit(i)).otherwise(F.lit(-1)) for i, rule in enumerate(rules)]
     )
     return (
         lines.select("file", "line_no", "value")
-        .filter(is_ps_line(value) & value.rlike(_FLAGS + patterns))
+        .filter(may_match(rules, value) & is_ps_line(value))
         .select(
             "file",
             "line_no",

@@ -23,7 +23,7 @@ from faultline.rules import RULE_LIBRARY, Rule
 from faultline.sinks.reports import write_reports
 from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import Model, load_model
-from faultline.staging import stage
+from faultline.staging import job_staging, stage
 
 
 class Report(NamedTuple):
@@ -56,8 +56,10 @@ def scan(
         )
     )
     resolved = resolve(texts, model, sim_threshold, min_similarity, embedder)
-    novel = rare_findings(firsts, resolved, model.normal_ids, max_rare)
-    return rank_findings(by_rule.unionByName(without_rule_lines(novel, by_rule)))
+    novel = without_rule_lines(
+        rare_findings(firsts, resolved, model.normal_ids, max_rare), by_rule
+    )
+    return rank_findings(by_rule.unionByName(stage(novel, "novel")))
 
 
 def find(
@@ -75,18 +77,20 @@ def find(
     files = list_files(spark, log_dir)
     if files.isEmpty():
         return None
-    findings = stage(
-        scan(
-            read_lines(spark, log_dir, files),
-            load_model(spark, model_dir),
-            rules,
-            max_rare,
-            sim_threshold,
-            min_similarity,
-            embedder,
-        ),
-        "findings",
+    with job_staging(spark):
+        findings = stage(
+            scan(
+                read_lines(spark, log_dir, files),
+                load_model(spark, model_dir),
+                rules,
+                max_rare,
+                sim_threshold,
+                min_similarity,
+                embedder,
+            ),
+            "findings",
+        )
+        write_reports(findings, stage(file_verdicts(findings, files), "verdicts"), out_dir)
+    return Report(
+        spark.read.parquet(f"{out_dir}/findings"), spark.read.parquet(f"{out_dir}/verdicts")
     )
-    verdicts = stage(file_verdicts(findings, files), "verdicts")
-    write_reports(findings, verdicts, out_dir)
-    return Report(findings, verdicts)

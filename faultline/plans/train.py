@@ -89,6 +89,7 @@ def train(
     sim_threshold: float = SIM_THRESHOLD,
     max_children: int = MAX_CHILDREN,
     embedder: Embedder = hash_embedding,
+    skip_unreadable: bool = True,
 ) -> Model:
     """Train on two directories of logs; the second only widens the dictionary."""
     normal_files = list_files(spark, normal_dir)
@@ -96,15 +97,16 @@ def train(
     anomaly_files = list_files(spark, anomaly_dir, corpus_rank=1, first_ord=n_normal)
     if n_normal + anomaly_files.count() == 0:
         raise ValueError(f"no log files in {normal_dir} or {anomaly_dir}")
-    corpora = [
-        assemble_entries(read_lines(spark, folder, files)).select(
-            position().alias("pos"), "message", F.lit(healthy).alias("normal")
+    with job_staging(spark):
+        corpora = [
+            assemble_entries(read_lines(spark, folder, files, skip_unreadable)).select(
+                position().alias("pos"), "message", F.lit(healthy).alias("normal")
+            )
+            for folder, files, healthy in (
+                (normal_dir, normal_files, True),
+                (anomaly_dir, anomaly_files, False),
+            )
+        ]
+        return train_entries(
+            corpora[0].unionByName(corpora[1]), model_dir, sim_threshold, max_children, embedder
         )
-        for folder, files, healthy in (
-            (normal_dir, normal_files, True),
-            (anomaly_dir, anomaly_files, False),
-        )
-    ]
-    return train_entries(
-        corpora[0].unionByName(corpora[1]), model_dir, sim_threshold, max_children, embedder
-    )

@@ -29,6 +29,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     settings = {
         **SESSION_CONF,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        # Keep all cores busy on tables of a few megabytes.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",

@@ -148,14 +148,12 @@ def summary_report(verdicts: DataFrame) -> DataFrame:
         ).alias("text"),
     )
     # The comma goes before each file but the first in path order.
-    first = verdicts.agg(F.min("file").alias("first_file"))
+    first = verdicts.agg(F.min("file")).scalar()
     row = F.to_json(
         F.struct(file_name(F.col("file")).alias("file"), "verdict", "findings", "severity")
     )
-    comma = F.when(F.col("file") == F.col("first_file"), F.lit("")).otherwise(F.lit(","))
-    body = verdicts.join(F.broadcast(first), F.lit(True)).select(  # first has one row
-        "file", F.lit(1).alias("seq"), F.concat(comma, row).alias("text")
-    )
+    comma = F.when(F.col("file") == first, F.lit("")).otherwise(F.lit(","))
+    body = verdicts.select("file", F.lit(1).alias("seq"), F.concat(comma, row).alias("text"))
     end = totals.select(F.lit("").alias("file"), F.lit(2).alias("seq"), F.lit("]}").alias("text"))
     return head.unionByName(body).unionByName(end)
 
@@ -174,10 +172,14 @@ def write_documents(report: DataFrame, path: str, suffix: str) -> None:
 
 
 def write_reports(findings: DataFrame, verdicts: DataFrame, out_dir: str) -> None:
-    """findings (parquet), json, md and summary below ``out_dir``, replacing older ones."""
+    """findings and verdicts (parquet), json, md and summary below ``out_dir``.
+
+    Older output there is replaced.
+    """
     findings.repartitionByRange("file", "rank").sortWithinPartitions(
         "file", "rank"
     ).write.mode("overwrite").parquet(f"{out_dir}/findings")
+    verdicts.write.mode("overwrite").parquet(f"{out_dir}/verdicts")
     write_documents(json_report(findings, verdicts), f"{out_dir}/json", ".findings.json")
     write_documents(markdown_report(findings, verdicts), f"{out_dir}/md", ".findings.md")
     summary_report(verdicts).orderBy(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.staging import has_at_most, stage
+from faultline.staging import fits_broadcast, stage
 
 FILE_GLOB = "*.log"
 
@@ -16,8 +16,12 @@ def _plain_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
-def _scan(spark: SparkSession, log_dir: str) -> DataFrame:
-    return spark.read.option("pathGlobFilter", FILE_GLOB).text(log_dir)
+def _scan(spark: SparkSession, log_dir: str, skip_unreadable: bool = False) -> DataFrame:
+    return (
+        spark.read.option("pathGlobFilter", FILE_GLOB)
+        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
+        .text(log_dir)
+    )
 
 
 def list_files(
@@ -40,9 +44,16 @@ def list_files(
     )
 
 
-def read_lines(spark: SparkSession, log_dir: str, files: DataFrame | None = None) -> DataFrame:
+def read_lines(
+    spark: SparkSession,
+    log_dir: str,
+    files: DataFrame | None = None,
+    skip_unreadable: bool = False,
+) -> DataFrame:
     """Every line of the corpus: file, file_ord, line_no (from 1) and decoded value.
 
+    ``skip_unreadable`` leaves out the rest of a file that fails while it is read.
+
     Splits lose the position in the file, so one map-only pass writes each line with its
     split and a running id; the per-split counts then give every split its first line
     number. No line is shuffled or sorted for that. The written table also keeps the
@@ -50,7 +61,7 @@ def read_lines(spark: SparkSession, log_dir: str, files: DataFrame | None = None
     """
     files = list_files(spark, log_dir) if files is None else files
     staged = stage(
-        _scan(spark, log_dir).select(
+        _scan(spark, log_dir, skip_unreadable).select(
             _plain_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("mid"),
@@ -82,7 +93,7 @@ def number_lines(staged: DataFrame, files: DataFrame) -> DataFrame:
         ).join(files.select("file", "file_ord"), "file"),
         "blocks",
     )
-    side = F.broadcast(blocks) if has_at_most(blocks) else blocks
+    side = F.broadcast(blocks) if fits_broadcast(blocks) else blocks
     return staged.join(side, ["file", "block"]).select(
         "file",
         "file_ord",

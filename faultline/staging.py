@@ -1,25 +1,27 @@
 """Tables written once in the shared checkpoint folder.
 
-A staged table cuts lineage and survives the loss of any executor, and, unlike an
-RDD checkpoint, it keeps column pruning and file statistics, so joins on it can be
-planned from its real size.
+A staged table cuts lineage and survives the loss of any executor, and, unlike an RDD
+checkpoint, it keeps column pruning and file statistics, so joins on it can be planned from
+its real size.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_job_folder: ContextVar[str | None] = ContextVar("job_folder", default=None)
 
-# Rows a broadcast side may have. Every caller's rows are narrow (a path, a few numbers,
-# or one bucket of at most 129 short templates), so this stays well under Spark's 8 GB
-# limit; above it the caller takes its shuffle plan.
-BROADCAST_ROWS = 200_000
+# A side goes to every executor only below this measured size.
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -35,14 +37,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before, below the folder of the running job if there is one."""
+    parent = _job_folder.get() or f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}"
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
+    """Write ``df`` as parquet below the checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Size check for a broadcast side; reads at most ``rows + 1`` rows of ``df``."""
-    return df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= rows
+@contextmanager
+def job_staging(spark: SparkSession) -> Iterator[None]:
+    """Drop what is staged inside the block when it ends, for jobs that save their results."""
+    folder = new_folder(spark, "job")
+    token = _job_folder.set(folder)
+    try:
+        yield
+    finally:
+        _job_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Measure a would-be broadcast side, which should be a staged table: is it small?"""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    measured = df.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"]
+    return (measured or 0) <= BROADCAST_BYTES

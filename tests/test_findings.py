@@ -202,3 +202,11 @@ def test_reports(spark, tmp_path):
 def test_file_stem(spark):
     df = spark.createDataFrame([("/x/a.b.log",), ("c.log",), ("/x/.log",)], "f STRING")
     assert [r[0] for r in df.select(file_stem(F.col("f"))).collect()] == ["a.b", "c", ".log"]
+
+
+def test_context_by_shuffle_join(spark, monkeypatch):
+    rows = [("f", i, ps(f"{i}.0", "kernel panic" if i % 9 == 0 else "x")) for i in range(1, 80)]
+    lines = spark.createDataFrame(rows, LINES)
+    expected = sorted(map(str, rule_findings(lines).collect()))
+    monkeypatch.setattr("faultline.operators.findings.fits_broadcast", lambda df: False)
+    assert sorted(map(str, rule_findings(lines).collect())) == expected

@@ -97,7 +97,7 @@ def test_rejects_a_threshold_no_merge_can_reach(spark):
 
 
 def force_shuffle(monkeypatch):
-    monkeypatch.setattr("faultline.operators.matching.has_at_most", lambda df: False)
+    monkeypatch.setattr("faultline.operators.matching.fits_broadcast", lambda df: False)
 
 
 def test_salted_joins_give_the_same(spark, monkeypatch):

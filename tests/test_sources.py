@@ -77,7 +77,7 @@ def test_numbers_do_not_depend_on_splits(spark, write_log):
 
 
 def test_shuffle_plan_of_the_block_join(spark, write_log, monkeypatch):
-    monkeypatch.setattr("faultline.sources.logs.has_at_most", lambda df: False)
+    monkeypatch.setattr("faultline.sources.logs.fits_broadcast", lambda df: False)
     folder = write_log("a.log", [f"{i}" for i in range(1, 40)])
     rows = read_lines(spark, folder).collect()
     assert sorted((r["line_no"], r["value"]) for r in rows) == [(i, str(i)) for i in range(1, 40)]
