@@ -410,6 +410,10 @@ FROM matched""",
 SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id,
   coalesce(template, masked) AS template, params,
   CASE WHEN event_id IS NULL THEN false END AS resolved_via_oov
+FROM positioned JOIN matched USING (masked)""",
+    "dictionary_lookup": _with(*_LOG_HEALTHY, recursive=True) + """
+SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id,
+  coalesce(template, '<unk>') AS template
 FROM positioned JOIN matched USING (masked)""",
     "vector_norm": """
 WITH v AS (
@@ -422,10 +426,16 @@ FROM n""",
     "nearest_neighbour": """
 WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 c AS (
-  SELECT q.id AS key, k.id AS event_id, list_cosine_similarity(q.e, k.e) AS similarity
-  FROM v q JOIN v k ON q.label <> 0 AND k.label = 0)
-SELECT key, event_id, round(similarity, 5) AS similarity FROM c
-QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, event_id) = 1""",
+  SELECT q.id AS event_id, k.id AS near_id, list_cosine_similarity(q.e, k.e) AS similarity
+  FROM v q JOIN v k ON q.label <> 0 AND k.label = 0
+  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY similarity DESC, k.id) = 1)
+SELECT event_id, CASE WHEN similarity >= 0.3 THEN near_id ELSE '<unk>' END AS resolved_id,
+  round(similarity, 5) AS similarity FROM c
+UNION ALL SELECT id, id, 1.0 FROM v WHERE label = 0""",
+    "embedding_index": """
+SELECT CAST(vec_id AS VARCHAR) AS event_id,
+  row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR)) - 1 AS row
+FROM embeddings""",
     "normal_ids": _with(*_LOG_TRAINED, RARE, recursive=True)
     + "\nSELECT event_id FROM normal_ids",
     "rare_first_seen": _with(*_LOG_TRAINED, RARE, recursive=True) + """

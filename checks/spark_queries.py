@@ -22,14 +22,19 @@ from faultline.operators.findings import (
     rule_findings,
     rule_triggers,
 )
-from faultline.operators.matching import match_texts, resolve_texts, tag_entries
+from faultline.operators.matching import (
+    match_texts,
+    resolve_texts,
+    tag_entries,
+    template_text,
+)
 from faultline.operators.mining import (
     count_lines,
     distinct_masked,
     mine_templates,
     number_templates,
 )
-from faultline.operators.neighbours import nearest_known
+from faultline.operators.neighbours import embedding_index, resolve_events
 from faultline.operators.rare import (
     first_error_per_template,
     first_per_text,
@@ -249,6 +254,15 @@ def tagged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template text of the id of every entry; unknown ids come back as they are."""
+    entries = _log_entries(spark, sf_dir)
+    model = _healthy_model(spark, entries)
+    resolved = resolve_texts(match_texts(distinct_masked(entries), model.templates), None)
+    tagged = tag_entries(entries.select("file", "line_no", "message"), resolved)
+    return template_text(tagged.select("file", "line_no", "event_id"), model.templates)
+
+
 def tagged_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagging with the hash embedding behind it: unmatched texts go to a near template."""
     entries = _log_entries(spark, sf_dir)
@@ -281,22 +295,28 @@ def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of the other labels to its nearest vector of label 0."""
-    vectors = stage(
+def _unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(
         tables.read(spark, sf_dir, "embeddings").select(
-            _text_id().alias("key"), vec.l2_normalise(F.col("embedding")).alias("vec"), "label"
+            F.col("vec_id").cast("string").alias("event_id"),
+            vec.l2_normalise(F.col("embedding")).alias("vec"),
+            "label",
         ),
         "vectors",
     )
-    known = vectors.filter("label = 0").select(F.col("key").alias("event_id"), "vec")
-    return nearest_known(vectors.filter("label <> 0").select("key", "vec"), known).select(
-        "key", "event_id", F.round("similarity", 5).alias("similarity")
+
+
+def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector resolved against those of label 0."""
+    vectors = _unit_vectors(spark, sf_dir)
+    known = vectors.filter("label = 0").select("event_id", "vec")
+    return resolve_events(vectors.select("event_id", "vec"), known, 0.3).select(
+        "event_id", "resolved_id", F.round("similarity", 5).alias("similarity")
     )
 
 
-def _text_id() -> Column:
-    return F.col("vec_id").cast("string")
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_index(_unit_vectors(spark, sf_dir))
 
 
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,9 +440,11 @@ QUERIES: dict[str, Query] = {
     "document_templates": document_templates,
     "frozen_match": frozen_match,
     "tagged_entries": tagged_entries,
+    "dictionary_lookup": dictionary_lookup,
     "tagged_by_similarity": tagged_by_similarity,
     "vector_norm": vector_lengths,
     "nearest_neighbour": nearest_neighbour,
+    "embedding_index": embedding_rows,
     "hash_embeddings": hash_embeddings,
     "normal_ids": normal_ids,
     "rare_first_seen": rare_first_seen,

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import CHUNK_LINES, with_running
+from faultline.operators.ordered import CHUNK_LINES, map_groups, with_running
 from faultline.rules import RULE_LIBRARY, Rule
 from faultline.staging import stage
 
@@ -36,6 +36,12 @@ MAX_LINE_GAP = 50  # fixed value: gap that breaks a cluster without a clock
 WINDOWS_PER_SPAN = 4096
 
 _GROUP = ["file", "rule_ord"]
+_ANCHOR = "file STRING, rule_ord INT, line_no BIGINT"
+_ENTRY = "file STRING, rule_ord INT, span BIGINT, start_ms BIGINT"
+_SUMMARY = (
+    "file STRING, rule_ord INT, span BIGINT, window_ms BIGINT, "
+    "entry_ms ARRAY<BIGINT>, last_ms ARRAY<BIGINT>"
+)
 
 
 def burst_settings(spark: SparkSession, rules: Sequence[Rule] = RULE_LIBRARY) -> DataFrame:
@@ -117,8 +123,11 @@ def burst_members(
         & (~clockless_start | (ms > window))
     ).select(*_GROUP, "line_no", "ms", "window_ms")
 
-    anchors = zero_anchors.unionByName(_chain_anchors(records, windows_per_span)).select(
-        *_GROUP, "line_no", F.lit(True).alias("is_anchor")
+    anchors = stage(
+        zero_anchors.unionByName(_chain_anchors(records, windows_per_span)).select(
+            *_GROUP, "line_no", F.lit(True).alias("is_anchor")
+        ),
+        "anchors",
     )
     flagged = timed.select(*_GROUP, "line_no", "burst_min").join(
         anchors, [*_GROUP, "line_no"], "left"
@@ -138,21 +147,10 @@ def _chain_anchors(records: DataFrame, windows_per_span: int) -> DataFrame:
         F.col("ms") / (F.greatest(F.col("window_ms"), F.lit(1)) * F.lit(windows_per_span))
     ).cast("bigint")
     spans = records.withColumn("span", span)
-    entries = (
-        spans.groupBy(*_GROUP, "span")
-        .applyInPandas(
-            _summarise_span,
-            "file STRING, rule_ord INT, span BIGINT, window_ms BIGINT, "
-            "entry_ms ARRAY<BIGINT>, last_ms ARRAY<BIGINT>",
-        )
-        .groupBy(*_GROUP)
-        .applyInPandas(_follow_spans, "file STRING, rule_ord INT, span BIGINT, start_ms BIGINT")
-    )
-    return (
-        spans.join(entries, [*_GROUP, "span"])
-        .groupBy(*_GROUP, "span")
-        .applyInPandas(_walk_span, "file STRING, rule_ord INT, line_no BIGINT")
-    )
+    one_span = [*_GROUP, "span"]
+    summaries = map_groups(spans, one_span, ["ms"], _summarise_span, _SUMMARY)
+    entries = map_groups(summaries, _GROUP, ["span"], _follow_spans, _ENTRY)
+    return map_groups(spans.join(entries, one_span), one_span, ["ms"], _walk_span, _ANCHOR)
 
 
 def _next_anchor(times: np.ndarray, window: int) -> np.ndarray:
@@ -160,54 +158,37 @@ def _next_anchor(times: np.ndarray, window: int) -> np.ndarray:
     return np.searchsorted(times, times + window, side="right")
 
 
-def _summarise_span(pdf: pd.DataFrame) -> pd.DataFrame:
-    times = np.sort(pdf["ms"].to_numpy())
-    window = int(pdf["window_ms"].iloc[0])
+def _summarise_span(span: pd.DataFrame) -> Iterator[tuple]:
+    times, window = span["ms"].to_numpy(), int(span["window_ms"].iloc[0])
     following = _next_anchor(times, window)
-    own = np.arange(len(times))
-    last = np.where(following < len(times), following, own)
+    last = np.where(following < len(times), following, np.arange(len(times)))
     while True:  # each step doubles how far along the chain every record looks
         further = last[last]
         if np.array_equal(further, last):
             break
         last = further
     n_entries = min(int(following[0]) + 1, len(times))
-    return pd.DataFrame(
-        {
-            "file": [pdf["file"].iloc[0]],
-            "rule_ord": [pdf["rule_ord"].iloc[0]],
-            "span": [pdf["span"].iloc[0]],
-            "window_ms": [window],
-            "entry_ms": [times[:n_entries]],
-            "last_ms": [times[last[:n_entries]]],
-        }
+    yield (
+        *span[[*_GROUP, "span"]].iloc[0], window, times[:n_entries], times[last[:n_entries]],
     )
 
 
-def _follow_spans(pdf: pd.DataFrame) -> pd.DataFrame:
+def _follow_spans(summaries: pd.DataFrame) -> Iterator[tuple]:
     """The record at which the chain enters each span, if it has one there."""
-    starts, anchor = [], None
-    for row in pdf.sort_values("span").itertuples(index=False):
+    anchor = None
+    for row in summaries.itertuples(index=False):
         at = 0 if anchor is None else bisect_right(row.entry_ms, anchor + row.window_ms)
         if at < len(row.entry_ms):
-            starts.append((row.file, row.rule_ord, row.span, int(row.entry_ms[at])))
+            yield row.file, row.rule_ord, row.span, int(row.entry_ms[at])
             anchor = int(row.last_ms[at])
-    return pd.DataFrame(starts, columns=["file", "rule_ord", "span", "start_ms"])
 
 
-def _chain(times: np.ndarray, window: int, start: int) -> Iterator[int]:
-    following = _next_anchor(times, window)
-    at = int(np.searchsorted(times, start))
+def _walk_span(span: pd.DataFrame) -> Iterator[tuple]:
+    """The anchors of a span, from the record at which the chain enters it."""
+    times, lines = span["ms"].to_numpy(), span["line_no"].to_numpy()
+    file, rule_ord = span["file"].iloc[0], int(span["rule_ord"].iloc[0])
+    following = _next_anchor(times, int(span["window_ms"].iloc[0]))
+    at = int(np.searchsorted(times, span["start_ms"].iloc[0]))
     while at < len(times):
-        yield at
+        yield file, rule_ord, int(lines[at])
         at = int(following[at])
-
-
-def _walk_span(pdf: pd.DataFrame) -> pd.DataFrame:
-    ordered = pdf.sort_values("ms")
-    at = list(
-        _chain(
-            ordered["ms"].to_numpy(), int(pdf["window_ms"].iloc[0]), int(pdf["start_ms"].iloc[0])
-        )
-    )
-    return ordered.iloc[at][["file", "rule_ord", "line_no"]]

@@ -115,3 +115,14 @@ def tag_entries(entries: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select(
         *entries.columns, "event_id", "template", "params", "resolved_via_oov", "oov_similarity"
     )
+
+
+def template_text(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """Add the template of each row's event_id; an id the dictionary lacks stands for itself.
+
+    Rows need a line_no, which spreads the rows of a frequent id in a shuffle join.
+    """
+    texts = templates.select("event_id", "template")
+    return join_unique(rows, texts, ["event_id"], "left", ["line_no"]).withColumn(
+        "template", F.coalesce("template", "event_id")
+    )

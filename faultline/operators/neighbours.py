@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.templates import UNKNOWN_ID
+from faultline.operators.ordered import with_row_number
+from faultline.staging import stage
+
 SHARD_ROWS = 16_384  # known vectors per task: 50 MB at 384 doubles
 BLOCK_ROWS = 4_096  # query vectors per task
 TIE_DECIMALS = 9  # equal similarities must tie in spite of rounding
@@ -88,3 +92,46 @@ def resolve_unmatched(
 ) -> DataFrame:
     """Keep the neighbours of unmatched texts that are similar enough."""
     return nearest_known(unmatched, embeddings).filter(F.col("similarity") >= min_similarity)
+
+
+def resolve_events(
+    events: DataFrame, embeddings: DataFrame, min_similarity: float
+) -> DataFrame:
+    """Map each (event_id, vec) to a known id: event_id, resolved_id, similarity.
+
+    A known id is itself, with similarity 1. Any other goes to its nearest known vector, or to
+    the unknown id if that is not similar enough; the similarity shows how near it was, and is
+    0 if nothing is known.
+    """
+    known = embeddings.select("event_id")
+    own = events.join(known, "event_id", "left_semi").select(
+        "event_id", F.col("event_id").alias("resolved_id"), F.lit(1.0).alias("similarity")
+    )
+    strangers = stage(
+        events.join(known, "event_id", "left_anti").select(F.col("event_id").alias("key"), "vec"),
+        "strangers",
+    )
+    near = nearest_known(strangers, embeddings).withColumnRenamed("event_id", "near_id")
+    similarity = F.coalesce("similarity", F.lit(0.0))
+    others = strangers.select("key").join(near, "key", "left").select(
+        F.col("key").alias("event_id"),
+        F.when(similarity >= min_similarity, F.col("near_id"))
+        .otherwise(F.lit(UNKNOWN_ID))
+        .alias("resolved_id"),
+        similarity.alias("similarity"),
+    )
+    return own.unionByName(others)
+
+
+def embedding_index(embeddings: DataFrame) -> DataFrame:
+    """Row of each known id in the embedding matrix, whose rows follow the id's string order."""
+    head = F.substring("event_id", 1, 4)  # ids that share it are adjacent in that order
+    numbered = with_row_number(
+        embeddings.select("event_id"),
+        keys=[],
+        coarse={"head": head},
+        coarse_order=[F.col("_unit_head")],
+        order=[F.col("event_id")],
+        out="row",
+    )
+    return numbered.select("event_id", (F.col("row") - 1).alias("row"))

@@ -7,12 +7,18 @@ contribute comes from a table with one narrow row per chunk.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lines per chunk: bounds the rows any one window or grouped task sees for a key.
 CHUNK_LINES = 1 << 18
 
+_FLUSH_ROWS = 10_000
+
 
 def chunk_of(order: str, chunk_lines: int = CHUNK_LINES) -> Column:
     """Chunk number of an increasing, non-negative position column."""
@@ -98,3 +104,47 @@ def with_row_number(
         *[F.col(c) for c in df.columns],
         (F.col("_offset") + F.col(out)).cast("bigint").alias(out),
     )
+
+
+def map_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    rows_of: Callable[[pd.DataFrame], Iterable[tuple]],
+    schema: str,
+) -> DataFrame:
+    """Apply ``rows_of`` to each group of ``keys``, sorted by ``order``.
+
+    Like a grouped map, but the groups of a task stream through one Arrow exchange, so many
+    small groups cost little. Only one group is held at a time; callers bound its size.
+    """
+    columns = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
+        for group in _consecutive(batches, keys):
+            done.extend(rows_of(group))
+            if len(done) >= _FLUSH_ROWS:
+                yield pd.DataFrame(done, columns=columns)
+                done = []
+        yield pd.DataFrame(done, columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _consecutive(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of rows with equal keys, joined across batches."""
+    held: list[pd.DataFrame] = []
+    held_key: tuple | None = None
+    for batch in batches:
+        ids = batch[keys]
+        starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+        for start, end in zip(starts, [*starts[1:], len(batch)]):
+            key = tuple(ids.iloc[start])
+            if held and key != held_key:
+                yield pd.concat(held)
+                held = []
+            held.append(batch.iloc[start:end])
+            held_key = key
+    if held:
+        yield pd.concat(held)

@@ -5,7 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import vectors as vec
-from faultline.operators.neighbours import nearest_known, resolve_unmatched
+from faultline.operators.neighbours import (
+    embedding_index,
+    nearest_known,
+    resolve_events,
+    resolve_unmatched,
+)
 
 KNOWN = "event_id STRING, vec ARRAY<FLOAT>"
 QUERY = "key STRING, vec ARRAY<FLOAT>"
@@ -78,3 +83,23 @@ def test_nothing_known(spark):
     known = spark.createDataFrame([], KNOWN)
     queries = spark.createDataFrame([("a", [0.6, 0.8])], QUERY)
     assert nearest_known(queries, known).count() == 0
+
+
+def test_resolve(spark):
+    known = spark.createDataFrame([("E0000", [1.0, 0.0]), ("E0001", [0.0, 1.0])], KNOWN)
+    events = spark.createDataFrame(
+        [("E0001", [1.0, 0.0]), ("a", [0.6, 0.8]), ("b", [-0.6, -0.8])], KNOWN
+    )
+    got = {
+        r["event_id"]: (r["resolved_id"], round(r["similarity"], 6))
+        for r in resolve_events(events, known, 0.55).collect()
+    }
+    assert got == {"E0001": ("E0001", 1.0), "a": ("E0001", 0.8), "b": ("<unk>", -0.6)}
+    nothing = spark.createDataFrame([], KNOWN)
+    assert {r["similarity"] for r in resolve_events(events, nothing, 0.55).collect()} == {0.0}
+
+
+def test_matrix_rows_follow_string_order(spark):
+    ids = ["E0002", "E10000", "E9999", "E0001", "E1000"]
+    got = embedding_index(spark.createDataFrame([(i, [1.0]) for i in ids], KNOWN)).collect()
+    assert {r["event_id"]: r["row"] for r in got} == {v: i for i, v in enumerate(sorted(ids))}
