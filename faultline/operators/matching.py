@@ -15,23 +15,31 @@ _BUCKET = ["n", "prefix"]
 
 
 def join_unique(
-    rows: DataFrame, side: DataFrame, on: list[str], how: str, spread_by: list[str]
+    rows: DataFrame,
+    side: DataFrame,
+    on: list[str],
+    how: str,
+    spread_by: list[str],
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a side with one row per key, where one key may be most of the rows.
 
     A small side is broadcast and the rows stay where they are. Otherwise both are shuffled
     on the key and a salt taken from ``spread_by``, and the side is copied once per salt.
+    ``measured`` is the table the side was grouped from, if its size is cheaper to read there.
     """
-    if fits_broadcast(side):
+    if fits_broadcast(side if measured is None else measured):
         return rows.join(F.broadcast(side), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def join_bucket(texts: DataFrame, per_bucket: DataFrame, how: str) -> DataFrame:
-    """Join texts to the one row of their bucket (n, prefix)."""
-    return join_unique(texts, per_bucket, _BUCKET, how, ["masked"])
+def join_bucket(
+    texts: DataFrame, per_bucket: DataFrame, how: str, templates: DataFrame
+) -> DataFrame:
+    """Join texts to the one row of their bucket (n, prefix), made from ``templates``."""
+    return join_unique(texts, per_bucket, _BUCKET, how, ["masked"], measured=templates)
 
 
 def match_texts(
@@ -43,8 +51,11 @@ def match_texts(
     travel as one array, so each text is compared in place and no pair becomes a row. Highest
     similarity wins, the earliest template on ties.
     """
+    templates = templates.select(*_BUCKET, "ord", "event_id", "template")
     per_bucket = templates.groupBy(*_BUCKET).agg(
-        F.collect_list(F.struct("ord", "event_id", "tokens", "template")).alias("known")
+        F.collect_list(
+            F.struct("ord", "event_id", "template", tpl.tokens(F.col("template")).alias("tokens"))
+        ).alias("known")
     )
     toks = tpl.tokens(F.col("masked"))
     scored = F.transform(
@@ -60,7 +71,7 @@ def match_texts(
     share = best["hits"] / F.nullif(F.col("n"), F.lit(0))
     good = best.isNotNull() & F.coalesce(share >= F.lit(float(sim_threshold)), F.lit(True))
     return (
-        join_bucket(texts, per_bucket, "left")
+        join_bucket(texts, per_bucket, "left", templates)
         .withColumn("best", F.array_max(scored))
         .select(
             *texts.columns,

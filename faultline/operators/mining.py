@@ -145,7 +145,7 @@ def _uncovered(texts: DataFrame, going_on: DataFrame) -> DataFrame:
         F.collect_list("template").alias("known"),  # at most max_children + 1
     )
     toks = tpl.tokens(F.col("masked"))
-    left = join_bucket(texts, per_bucket, "inner").filter(F.col("pos") > F.col("last_pos"))
+    left = join_bucket(texts, per_bucket, "inner", going_on).filter(F.col("pos") > F.col("last_pos"))
     return left.filter(~F.exists("known", lambda t: _covers(t, toks))).select(*texts.columns)
 
 

@@ -12,9 +12,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -66,6 +69,16 @@ def job_staging(spark: SparkSession) -> Iterator[None]:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Measure a would-be broadcast side, which should be a staged table: is it small?"""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    measured = df.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"]
+    size = reduce(add, map(_width, df.schema.fields))
+    measured = df.agg(F.sum(size).alias("bytes")).first()["bytes"]
     return (measured or 0) <= BROADCAST_BYTES
+
+
+def _width(field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        width = F.octet_length(field.name)
+    elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        width = F.octet_length(F.to_json(F.struct(field.name)))
+    else:
+        width = F.lit(8)
+    return F.coalesce(width, F.lit(0)).cast("bigint") + F.lit(8)
