@@ -130,3 +130,20 @@ def test_rules_table(spark):
     rows = rules_table(spark).orderBy("rule_ord").collect()
     assert [r["name"] for r in rows] == [rule.name for rule in RULE_LIBRARY]
     assert [r["rule_ord"] for r in rows if r["burst_min"] is not None] == [5, 8]
+
+
+def test_literals_only_save_time(spark):
+    texts = [
+        "Already Free: the tİmer", "USE AFTER FREE", "use-after-Free", "Log Type:DIAGNOSTICError Msg:",
+        "check_for_bad_handle: it is already free", "x|SSPLogger   |ERROR: y", "kernel panic",
+        "ASSOC_RESP Association Failed with status code = 5", "WatchDog has Reset", "forced reboot",
+        "wifi_set_background_scan_cnf with result failure", "trecknetworkadapter send failure",
+        "SDPQueueManager: Classic Queue Full", "DeauthentIcated(reason 0x2)", "nothing to see",
+        "\u212aernel panic", "forced reboot during hardReset",
+    ]
+    rows = [("f", i, f"[1.0] [t] [C] {t}") for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "file STRING, line_no BIGINT, value STRING")
+    plain = [rule._replace(literals=()) for rule in RULE_LIBRARY]
+    expected = sorted(map(tuple, rule_hits(lines, plain).collect()))
+    assert len({r[4] for r in expected}) >= 8
+    assert sorted(map(tuple, rule_hits(lines).collect())) == expected
