@@ -1,5 +1,103 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)
+), later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings)
+  WHERE r > 1
+), bytes AS (
+  SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d WHERE doc_id IN (FROM (SELECT doc_id FROM later))
+), marked AS (
+  SELECT b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) AS x,
+    coalesce(b.i - max(l.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) < 100, false) AS gone
+  FROM bytes b LEFT JOIN later l ON l.doc_id = b.doc_id AND l.i = b.i
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked
+), cut AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS every FROM documents
+), l AS (
+  SELECT doc_id, list_filter(every, lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS w FROM d
+), places AS (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS n
+  FROM l, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS k) WHERE len(w) >= k
+), runs AS (
+  SELECT doc_id, k, n, array_to_string(w[n:n + k - 1], chr(10)) AS run FROM places
+), ranked AS (
+  SELECT doc_id, k, n, run,
+    row_number() OVER (PARTITION BY k, run ORDER BY doc_id, n) AS r,
+    count(*) OVER (PARTITION BY k, run) AS many
+  FROM runs
+), longest AS (
+  SELECT doc_id, max(k) AS longest_run FROM ranked WHERE many > 1 GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(n, n + k)) AS n FROM ranked
+  WHERE r > 1 AND (k = 4 OR k < 4 AND
+    len(list_filter(regexp_split_to_array(run, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) >= 20)
+), lines AS (
+  SELECT doc_id, i, line, regexp_matches(line, '[^ \t\n\x0B\f\r]') AS filled,
+    sum(regexp_matches(line, '[^ \t\n\x0B\f\r]')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n
+  FROM (SELECT doc_id, unnest(every) AS line, generate_subscripts(every, 1) AS i FROM d)
+), kept AS (
+  SELECT lines.doc_id, sum(filled::INT) AS n_lines, count(gone.n) FILTER (filled) AS n_removed,
+    string_agg(line, chr(10) ORDER BY i) FILTER (NOT filled OR gone.n IS NULL) AS text
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.n = lines.n GROUP BY lines.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (
+  SELECT item, w, least(13, len(w)) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+  FROM b WHERE len(w) > 0
+), patterns AS (
+  SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS key FROM starts
+), places AS (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+  FROM d, (SELECT DISTINCT m FROM patterns) WHERE len(w) >= m
+), hits AS (
+  SELECT doc_id, i, places.m, item FROM places
+  JOIN patterns ON patterns.m = places.m AND key = array_to_string(w[i:i + places.m - 1], ' ')
+), words AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP6 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -21,4 +119,9 @@ SELECT conv_id,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLES = {"op6_chat_format": OP6}
+ORACLES = {
+    "op1_suffix_dedup": OP1,
+    "op3_decontaminate": OP3,
+    "op5_line_dedup": OP5,
+    "op6_chat_format": OP6,
+}

@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.llm import oracles
 from faultline.llm.chat_format import chat_digests, format_chats
+from faultline.llm.decontaminate import contamination
+from faultline.llm.language import identify_languages
+from faultline.llm.line_dedup import line_report
+from faultline.llm.packing import packed_documents
+from faultline.llm.pii import find_personal_data
 from faultline.llm.quality import quality_rules
+from faultline.llm.simhash import simhash_groups
+from faultline.llm.suffix_dedup import remove_repeats
+from faultline.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return contamination(documents, benchmark).drop("items")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
@@ -27,8 +59,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return groups.select("doc_id", fingerprint, "component_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packed_documents(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language": op8_language,
+    "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 ORACLES = oracles.ORACLES

@@ -15,6 +15,18 @@ SLICE_BYTES = 4 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+# Lower-cases A-Z; digits, a-z and all bytes of non-ASCII characters stay; the rest separates.
+_FOLD = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
+    for b in range(256)
+)
+
+
+def folded_words(text: bytes) -> list[bytes]:
+    """Lower-cased words of ASCII letters and digits and any characters beyond ASCII."""
+    return text.translate(_FOLD).split()
+
+
 def utf8(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
