@@ -5,11 +5,12 @@ other: each goes to the fill level (or a new window) for which the sum of the sq
 partly filled windows per level grows least. The numbers live in one array with a place for each
 level. Tokenising is map-only; only the narrow rows of the pieces are dealt out, by hash, to groups
 of about ``GROUP`` pieces, each packed by one task with an array of its own. Windows that are still
-open at a group's end are poured together where they fit.
+open at a group's end are poured together where they fit. A small share of the documents is held
+back as fillers: their last pieces, with their ids, are cut to exactly the room that is left.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed as documents of
 their own, and pieces without a doc_id as well. Within a group, pieces come in the order of
-(doc_id, start, length, the other carried columns), nulls last. No documents give no rows.
+(doc_id, start, length, checksum), nulls last. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ END_ID = 0
 GROUP = 50_000
 _GROUP_BITS = 24  # places for windows within a group's sequence numbers
 
-_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 # Before a space that stands between two visible characters a new word begins for the tokenizer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _WIDE_GAP = re.compile(r"\s\s|\A\s|\s\Z")
@@ -76,8 +79,15 @@ def _words(text: str) -> list[str]:
     return [first, *[" " + word for word in rest]]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """Pieces of at most ``window`` ids: doc_id, start, length, ids, doc_tokens (end id included)."""
+def token_pieces(
+    docs: DataFrame, tokenizer: str, fillers: float = 0.0, window: int = WINDOW
+) -> DataFrame:
+    """Pieces of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens, ids.
+
+    The end id counts. ``ids`` (little-endian unsigned 32-bit) are kept for the last pieces of
+    about the share ``fillers`` of the documents, drawn by a checksum of theirs, and for all pieces
+    if it is 1; else they are null.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +98,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
                 for doc_id, ids in zip(doc_ids[lo:hi], token_ids(texts[lo:hi], tokenizer)):
                     ids += END_ID.to_bytes(4, "little")
                     tokens = len(ids) // 4
+                    drawn = crc32(f"{doc_id} {crc32(ids)}".encode()) < fillers * (1 << 32)
                     for start in range(0, tokens, window):
                         piece = ids[4 * start : 4 * (start + window)]
-                        rows.append((doc_id, start, len(piece) // 4, piece, tokens))
+                        kept = drawn and (fillers >= 1 or len(piece) < 4 * window)
+                        rows.append(
+                            (doc_id, start, len(piece) // 4, crc32(piece), tokens, piece if kept else None)
+                        )
                 yield _batch(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -99,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
     columns = list(zip(*rows)) or [[]] * len(kinds)
     names = [field.split()[0] for field in _PIECES.split(", ")]
     return pa.RecordBatch.from_arrays(
@@ -108,33 +122,62 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``pieces`` with sequence_id and offset; all their columns travel along.
+    """Pieces with their sequence_id and offset; those with ids may come back as several.
 
-    They are read twice, so they should be a written table.
+    ``pieces`` are read twice, so they should be a written table.
     """
     groups = -(-pieces.count() // group) or 1
-    others = [c for c in pieces.columns if c not in ("doc_id", "start", "length")]
-    order = [(name, "ascending") for name in ("doc_id", "start", "length", *others)]
     dealt = pieces.withColumn(
         "_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)).cast("long")
     )
-
-    def place(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        sequence, offset = sum_of_squares(rows["length"].to_pylist(), window)
-        first = rows["_group"][0].as_py() << _GROUP_BITS
-        return (
-            rows.drop_columns("_group")
-            .append_column("sequence_id", pa.array(np.asarray(sequence, np.int64) + first))
-            .append_column("offset", pa.array(offset, pa.int64()))
+    order = [(name, "ascending") for name in pieces.columns]
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        filler = pc.and_(pc.is_valid(table["ids"]), pc.less(table["length"], window))
+        rows = table.filter(pc.invert(filler)).drop_columns("_group")
+        sequence, offset, fills = sum_of_squares(rows["length"].to_pylist(), window)
+        added = fill_gaps(table.filter(filler).drop_columns("_group").to_pylist(), fills, window)
+        placed = rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column(
+            "offset", pa.array(offset, pa.int64())
         )
+        placed = pa.concat_tables([placed, pa.Table.from_pylist(added, placed.schema)])
+        first = table["_group"][0].as_py() << _GROUP_BITS
+        at = placed.column_names.index("sequence_id")
+        return placed.set_column(at, "sequence_id", pc.add(placed["sequence_id"], first))
 
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in pieces.dtypes)
-    return dealt.groupBy("_group").applyInArrow(place, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(
+        place, f"{_PIECES}, sequence_id long, offset long"
+    )
 
 
-def sum_of_squares(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
-    """The window of each piece and its offset there."""
+def fill_gaps(fillers: list[dict], fills: list[int], window: int) -> list[dict]:
+    """Cut fillers to the room that the windows have left, the fullest first, then to new ones."""
+    open_windows = sorted((n for n, fill in enumerate(fills) if 0 < fill < window), key=lambda n: fills[n])
+    added = []
+    for piece in fillers:
+        done = 0
+        while done < piece["length"]:
+            if not open_windows:
+                open_windows.append(len(fills))
+                fills.append(0)
+            number = open_windows[-1]
+            length = min(window - fills[number], piece["length"] - done)
+            ids = piece["ids"][4 * done : 4 * (done + length)]
+            added.append(
+                piece
+                | {"start": piece["start"] + done, "length": length, "ids": ids, "ids_crc32": crc32(ids)}
+                | {"sequence_id": number, "offset": fills[number]}
+            )
+            done += length
+            fills[number] += length
+            if fills[number] == window:
+                open_windows.pop()
+    return added
+
+
+def sum_of_squares(lengths: list[int], window: int) -> tuple[list[int], list[int], list[int]]:
+    """The window of each piece and its offset there, and how full each window is in the end."""
     open_at: list[list[int]] = [[] for _ in range(window + 1)]
     counts = np.zeros(window + 1, np.int64)  # partly filled windows by fill level
     sequence, offset, fills = [], [], []
@@ -168,27 +211,32 @@ def _best_level(counts: np.ndarray, length: int, window: int) -> int:
 
 def _pour_together(
     sequence: list[int], offset: list[int], fills: list[int], window: int
-) -> tuple[list[int], list[int]]:
+) -> tuple[list[int], list[int], list[int]]:
     """Join open windows, the fullest first, each into the fullest one that has room."""
     order = sorted((n for n, fill in enumerate(fills) if fill < window), key=lambda n: -fills[n])
     into, moved = list(range(len(fills))), [0] * len(fills)
-    filled: dict[int, int] = {}
+    joined = list(fills)
+    homes: list[int] = []
     for number in order:
-        room = [n for n, fill in filled.items() if fill + fills[number] <= window]
+        room = [n for n in homes if joined[n] + fills[number] <= window]
         if room:
-            home = max(room, key=filled.__getitem__)
-            into[number], moved[number] = home, filled[home]
-            filled[home] += fills[number]
+            home = max(room, key=joined.__getitem__)
+            into[number], moved[number] = home, joined[home]
+            joined[home] += fills[number]
+            joined[number] = 0
         else:
-            filled[number] = fills[number]
-    return [into[s] for s in sequence], [o + moved[s] for o, s in zip(offset, sequence)]
+            homes.append(number)
+    return [into[s] for s in sequence], [o + moved[s] for o, s in zip(offset, sequence)], joined
+
+
+def filler_share(documents: int, group: int = GROUP) -> float:
+    """Enough for the room that is left in the end, which grows with the root of the pieces."""
+    return min(0.25, max(0.02, 4 / max(1, min(documents, group)) ** 0.5))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Where each piece of each document goes, with a checksum of its ids instead of them."""
-    pieces = token_pieces(docs, tokenizer).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
-    )
-    return pack(stage(pieces, "pieces")).select(
+    pieces = stage(token_pieces(docs, tokenizer, filler_share(docs.count())), "pieces")
+    return pack(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

@@ -608,7 +608,8 @@ def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int =
     ).select(
         "id",
         "tag",
-        *[F.flatten(F.transform("parts", lambda p, c=c: p[c])).alias(c) for c in ("anchors", "places")],
+        F.flatten(F.transform("parts", lambda p: p["anchors"])).alias("anchors"),
+        F.flatten(F.transform("parts", lambda p: p["places"])).alias("places"),
     )
     held = _compressed(docs).join(listed, ["id", "tag"]).select("id", "tag", "text", "anchors", "places")
     shards = held.mapInArrow(_send_shards(-(-many // BUCKET_CONTEXTS) or 1), _SHARDS)

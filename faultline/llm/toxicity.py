@@ -7,7 +7,7 @@ vectors less the sum of their squares is the same number.
 
 The fit sees at most ``SAMPLE_PER_CLASS`` labelled documents of each class, those with the smallest
 hash of their doc_id, weighted back to the share of their class among all labelled documents. Terms
-that tell the classes apart least are left out of the machine. Scoring is map-only; the machine is
+that tell the classes apart no better than chance are left out of the machine. Scoring is map-only; the machine is
 of fixed size.
 
 Defined cases: a null or empty text has no terms and scores the base rate; a document with several
@@ -30,7 +30,6 @@ from faultline.llm.texts import folded_words, remainder, utf8
 BUCKETS = 1 << 18
 SAMPLE_PER_CLASS = 4000
 TERMS = 2048
-MIN_DOCUMENTS = 3
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -89,18 +88,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "toxic", buckets(utf8()).alias("terms"))
+        .select("toxic", buckets(utf8()).alias("terms"))
         .collect()
     )
-    rows.sort(key=lambda row: (row["doc_id"], row["toxic"], row["terms"]))
+    # Equal documents would count their accidental words over and over.
+    rows = sorted({(row["toxic"], tuple(row["terms"])) for row in rows})
     if not rows:
         return None
-    sampled = pd.Series([row["toxic"] for row in rows]).value_counts()
+    sampled = pd.Series([kind for kind, _ in rows]).value_counts()
     share = {kind: totals[kind] / sampled[kind] for kind in sampled.index}
     return fit(
-        [np.array(row["terms"], np.int64) for row in rows],
-        np.array([row["toxic"] for row in rows], np.float64),
-        np.array([share[row["toxic"]] for row in rows]),
+        [np.array(terms, np.int64) for _, terms in rows],
+        np.array([kind for kind, _ in rows], np.float64),
+        np.array([share[kind] for kind, _ in rows]),
     )
 
 
@@ -141,18 +141,24 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> M
 
 
 def _telling_terms(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The terms whose frequency differs most between the classes, in standard deviations."""
+    """The terms whose frequency tells the classes apart by more than chance among all terms."""
     seen = [
         np.bincount(np.concatenate([[], *own]).astype(np.int64), minlength=BUCKETS)
         for own in ([d for d, t in zip(documents, toxic) if t == kind] for kind in (0, 1))
     ]
     many = [max(1, int((toxic == kind).sum())) for kind in (0, 1)]
     both = (seen[0] + seen[1]) / sum(many)
-    spread = np.sqrt(both * (1 - both) * (1 / many[0] + 1 / many[1])) + 1e-9
-    score = np.abs(seen[1] / many[1] - seen[0] / many[0]) / spread
-    score[seen[0] + seen[1] < MIN_DOCUMENTS] = 0
-    best = np.argsort(-score, kind="stable")[:TERMS]
-    return np.sort(best[score[best] > 0])
+    ratio = np.zeros(BUCKETS)  # log-likelihood ratio of each term
+    for own, n in zip(seen, many):
+        ratio += _log_share(own, n * both) + _log_share(n - own, n * (1 - both))
+    candidates = max(2, np.count_nonzero(both))
+    best = np.argsort(-ratio, kind="stable")[:TERMS]
+    return np.sort(best[ratio[best] > 2 * np.log(candidates)])
+
+
+def _log_share(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    filled = seen > 0
+    return np.where(filled, 2 * seen * np.log(np.where(filled, seen, 1) / np.where(filled, expected, 1)), 0)
 
 
 def _gradients(params, x, toxic, weight):
