@@ -1,10 +1,19 @@
-"""Cleaning and packing of a document corpus: the stages of the training-data pipeline."""
+"""Cleaning and packing of a document corpus: the stages of the training-data pipeline.
+
+``STAGES`` lists (name, function). Each function takes (spark, docs, sf_dir); all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.decontaminate import keep_uncontaminated
+from faultline.llm.line_dedup import dedup_lines
+from faultline.llm.packing import packed_documents
 from faultline.llm.quality import keep_quality
+from faultline.llm.simhash import keep_first
 from faultline.session import ship_package
 from faultline.staging import stage
 
@@ -15,9 +24,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_quality(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, the rest of their documents stays."""
+    ship_package(spark)
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    ship_package(spark)
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    ship_package(spark)
+    return keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    ship_package(spark)
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-# The first stage measures zstandard ratios, which SQL has no function for.
+# SQL has no function for zstandard ratios, XXH64 or the tokenizer's ids.
 ORACLE_SQL = None
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.texts import folded_words, slices, utf8
+from faultline.llm.texts import folded_words, slices, unused, utf8
 from faultline.staging import stage
 
 WINDOW = 13
@@ -194,14 +194,14 @@ def with_contamination(
 
         return docs.withColumn(out, judged(utf8()))
 
-    # Work columns get names that no column of the input has.
-    spans = [f"_{out}_{name}" for name in _names(_FOUND)]
+    spans = [unused(docs, f"_{name}") for name in _names(_FOUND)]
+    now = unused(docs, "_found")
     for number, block in enumerate(blocks):
-        docs = docs.withColumn("_found", _finder(_send(docs, block))(utf8()))
-        parts = [F.col(f"_found.{name}") for name in _names(_FOUND)]
+        docs = docs.withColumn(now, _finder(_send(docs, block))(utf8()))
+        parts = [F.col(f"{now}.{name}") for name in _names(_FOUND)]
         if number:
             parts[1:] = [F.concat(F.col(s), p) for s, p in zip(spans[1:], parts[1:])]
-        docs = stage(docs.withColumns(dict(zip(spans, parts))).drop("_found"), "contamination")
+        docs = stage(docs.withColumns(dict(zip(spans, parts))).drop(now), "contamination")
 
     @F.pandas_udf(_JUDGED)
     def combined(n: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -219,8 +219,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    marked = with_contamination(docs, benchmark, "_contamination")
-    return marked.filter(~F.col("_contamination.contaminated")).select(*docs.columns)
+    verdict = unused(docs, "_contamination")
+    marked = with_contamination(docs, benchmark, verdict)
+    return marked.filter(~F.col(f"{verdict}.contaminated")).drop(verdict)
 
 
 def _names(schema: str) -> list[str]:

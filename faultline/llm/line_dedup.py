@@ -19,8 +19,6 @@ what an earlier document has, neither counts as a copy of the other.
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +45,6 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda s: s.rlike(_HAS_WORD))
     return (
         docs.select(*document_key(), lines.alias("lines"))
-        .distinct()
         .select("id", "tag", F.posexplode("lines").alias("n", "line"))
         .select(
             "id",
@@ -59,6 +56,7 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
             .cast("long")
             .alias("words"),
         )
+        .distinct()
     )
 
 
@@ -114,7 +112,7 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     )
 
 
-def later_copies(levels: list[DataFrame]) -> DataFrame:
+def later_copies(levels: list[DataFrame]) -> DataFrame | None:
     """Numbers of the lines to delete: id, tag, removed (array)."""
     parts = []
     for k, level in enumerate(levels[: MIN_LINES.bit_length()]):
@@ -205,7 +203,3 @@ def line_report(docs: DataFrame) -> DataFrame:
         F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"),
         F.sha2(F.coalesce("_cut.kept", F.lit("")), 256).alias("kept_sha256"),
     )
-
-
-def kept_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

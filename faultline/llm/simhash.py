@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.texts import LOWER, utf8
+from faultline.llm.texts import LOWER, unused, utf8
 from faultline.staging import fits_broadcast, stage
 
 BITS = 64
@@ -97,9 +97,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A group without any doc_id keeps one row; of equal rows with the kept doc_id one stays.
     """
-    own = "_fp"
-    while own in docs.columns:
-        own = f"_{own}"
+    own, id_name, fp_name = (unused(docs, name) for name in ("_fp", "_chosen_id", "_chosen_fp"))
     marked = stage(docs.withColumn(own, fingerprint(utf8())), "marked-documents")
     prints = marked.select("doc_id", F.col(own).alias("fp"))
     order = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")
@@ -107,18 +105,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
         rooted_prints(prints)
         .groupBy("root")
         .agg(F.min(order).alias("first"))
-        .select(F.col("first.first_id").alias("chosen_id"), F.col("first.fp").alias("chosen_fp"))
+        .select(F.col("first.first_id").alias(id_name), F.col("first.fp").alias(fp_name))
     )
     chosen = stage(chosen, "chosen-documents")
     if fits_broadcast(chosen):
         chosen = F.broadcast(chosen)
-    same = (F.col(own) == F.col("chosen_fp")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
+    same = (F.col(own) == F.col(fp_name)) & F.col("doc_id").eqNullSafe(F.col(id_name))
     kept = marked.join(chosen, same, "left_semi")
-    repeated = prints.join(
-        chosen,
-        (F.col("fp") == F.col("chosen_fp")) & F.col("doc_id").eqNullSafe(F.col("chosen_id")),
-        "left_semi",
-    ).groupBy("doc_id", "fp").count().filter("count > 1")
+    repeated = kept.groupBy("doc_id", own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id", own])
     return kept.select(*docs.columns)

@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its words, hashed to ``BUCKETS``. The machine adds a weight for each term
+A document is the set of its terms, hashed to ``BUCKETS``: its words, and the pieces of ``PIECES``
+bytes in them, since insults are inflected and compounded. The machine adds a weight for each term
 and, for each pair of terms, the product of their factor vectors, so a pair can count for more (or
 less) than its two words do alone. The pairs are never listed: half of the squared sum of the
 vectors less the sum of their squares is the same number.
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from faultline.llm.texts import folded_words, remainder, utf8
 
 BUCKETS = 1 << 18
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2000
 TERMS = 2048
+PIECES = (5, 6, 7)
 FACTORS = 8
-EPOCHS = 30
+STEPS = 2500
 BATCH = 256
-RATE = 0.01
-DECAY = 1e-3
+RATE = 0.02
+DECAY = 1e-4
 FOLDS, HELD_OUT = 5, 0
 _MEMO = 300_000
 
@@ -55,8 +57,13 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(remainder(column, FOLDS) == HELD_OUT, F.lit(False))
 
 
-def bucket_of(word: bytes) -> int:
-    return crc32(word) & (BUCKETS - 1)
+def buckets_of(word: bytes) -> set[int]:
+    """Buckets of a word and of its pieces; the word's ends are marked."""
+    marked = b"<" + word + b">"
+    terms = {marked}
+    for size in PIECES:
+        terms.update(marked[at : at + size] for at in range(len(marked) - size + 1))
+    return {crc32(term) & (BUCKETS - 1) for term in terms}
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine | None:
@@ -64,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     known = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
         .filter(~held_out())
     )
     totals = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
@@ -80,9 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     if chosen is None:
         return None
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def buckets(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({bucket_of(w) for w in folded_words(t)}) for t in texts])
+        return pd.Series([_terms(text).tobytes() for text in texts])
 
     # At most 2 * per_class narrow rows, so sending them to the documents is bounded.
     rows = (
@@ -92,18 +99,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         .collect()
     )
     # Equal documents would count their accidental words over and over.
-    rows = sorted({(row["toxic"], tuple(row["terms"])) for row in rows})
+    rows = sorted({(row["toxic"], bytes(row["terms"])) for row in rows})
     if not rows:
         return None
     sampled = pd.Series([kind for kind, _ in rows]).value_counts()
     share = {kind: totals[kind] / sampled[kind] for kind in sampled.index}
     return fit(
-        [np.array(terms, np.int64) for _, terms in rows],
+        [np.frombuffer(terms, np.int32) for _, terms in rows],
         np.array([kind for kind, _ in rows], np.float64),
         np.array([share[kind] for kind, _ in rows]),
     )
 
 
+def _terms(text: bytes) -> np.ndarray:
+    return np.array(sorted(set().union(*map(buckets_of, set(folded_words(text))))), np.int32)
+
+
 def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Machine:
     """Minimise weighted logistic loss by Adam over shuffled batches."""
     terms = _telling_terms(documents, toxic)
@@ -122,30 +133,23 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> M
         random.normal(0, 0.01, (len(terms), FACTORS)),
     ]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
-        order = random.permutation(len(documents))
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
-            step += 1
-            for param, grad, (mean, square) in zip(
-                params, _gradients(params, x[part], toxic[part], weight[part]), moments
-            ):
-                mean += 0.1 * (grad - mean)
-                square += 0.001 * (grad**2 - square)
-                param -= (
-                    RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-                )
+    for step in range(1, STEPS + 1):
+        part = random.integers(0, len(documents), BATCH)
+        for param, grad, (mean, square) in zip(
+            params, _gradients(params, x[part], toxic[part], weight[part]), moments
+        ):
+            mean += 0.1 * (grad - mean)
+            square += 0.001 * (grad**2 - square)
+            param -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     base, linear, factor = params
     return Machine(float(base[0]), place, linear, factor)
 
 
 def _telling_terms(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """The terms whose frequency tells the classes apart by more than chance among all terms."""
-    seen = [
-        np.bincount(np.concatenate([[], *own]).astype(np.int64), minlength=BUCKETS)
-        for own in ([d for d, t in zip(documents, toxic) if t == kind] for kind in (0, 1))
-    ]
+    seen = np.zeros((2, BUCKETS))
+    for terms, kind in zip(documents, toxic.astype(int)):
+        seen[kind, terms] += 1
     many = [max(1, int((toxic == kind).sum())) for kind in (0, 1)]
     both = (seen[0] + seen[1]) / sum(many)
     ratio = np.zeros(BUCKETS)  # log-likelihood ratio of each term
@@ -187,18 +191,18 @@ def toxicity(text: Column, machine: Machine | None, spark) -> Column:
         model = sent.value
         if model is None:
             return pd.Series(np.zeros(len(texts)))
-        memo: dict[bytes, int] = {}
+        memo: dict[bytes, frozenset[int]] = {}
         margins = np.empty(len(texts))
         for at, text in enumerate(texts):
             if len(memo) > _MEMO:
                 memo.clear()
-            found = set()
+            found: set[int] = set()
             for word in set(folded_words(text)):
-                number = memo.get(word)
-                if number is None:
-                    number = memo[word] = int(model.place[bucket_of(word)])
-                if number >= 0:
-                    found.add(number)
+                own = memo.get(word)
+                if own is None:
+                    numbers = {int(model.place[bucket]) for bucket in buckets_of(word)}
+                    own = memo[word] = frozenset(numbers - {-1})
+                found |= own
             margins[at] = model.margin(np.array(sorted(found), np.int64))
         return pd.Series(_sigmoid(margins))
 
