@@ -8,38 +8,22 @@ from pyspark.sql import functions as F
 from faultline.functions import templates as tpl
 from faultline.staging import fits_broadcast, stage
 
-# Tasks that share one hot key in a shuffle join.
-SALTS = 64
-
 _BUCKET = ["n", "prefix"]
 
 
-def join_unique(
-    rows: DataFrame,
-    side: DataFrame,
-    on: list[str],
-    how: str,
-    spread_by: list[str],
-    measured: DataFrame | None = None,
-) -> DataFrame:
+def join_unique(rows: DataFrame, side: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join rows to a side with one row per key, where one key may be most of the rows.
 
-    A small side is broadcast and the rows stay where they are. Otherwise both are shuffled
-    on the key and a salt taken from ``spread_by``, and the side is copied once per salt.
-    ``measured`` is the table the side was grouped from, if its size is cheaper to read there.
+    A side that measures small is broadcast and the rows stay where they are. Otherwise both are
+    shuffled on the key; adaptive execution splits the rows of a hot key over several tasks, each
+    with its one row of the side.
     """
-    if fits_broadcast(side if measured is None else measured):
-        return rows.join(F.broadcast(side), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(F.broadcast(side) if fits_broadcast(side) else side, on, how)
 
 
-def join_bucket(
-    texts: DataFrame, per_bucket: DataFrame, how: str, templates: DataFrame
-) -> DataFrame:
-    """Join texts to the one row of their bucket (n, prefix), made from ``templates``."""
-    return join_unique(texts, per_bucket, _BUCKET, how, ["masked"], measured=templates)
+def join_bucket(texts: DataFrame, per_bucket: DataFrame, how: str) -> DataFrame:
+    """Join texts to the one row of their bucket (n, prefix)."""
+    return join_unique(texts, stage(per_bucket, "buckets"), _BUCKET, how)
 
 
 def match_texts(
@@ -71,7 +55,7 @@ def match_texts(
     share = best["hits"] / F.nullif(F.col("n"), F.lit(0))
     good = best.isNotNull() & F.coalesce(share >= F.lit(float(sim_threshold)), F.lit(True))
     return (
-        join_bucket(texts, per_bucket, "left", templates)
+        join_bucket(texts, per_bucket, "left")
         .withColumn("best", F.array_max(scored))
         .select(
             *texts.columns,
@@ -118,22 +102,27 @@ def resolve_texts(matched: DataFrame, neighbours: DataFrame | None) -> DataFrame
 
 
 def tag_entries(entries: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Give every entry the id of its masked text, its template and its dynamic values."""
+    """Give every entry the id of its masked text, its template and its dynamic values.
+
+    A text that is not among the resolved ones is unknown and stands for itself.
+    """
     message = F.col("message")
     keyed = entries.withColumns({"masked": tpl.masked_text(message), "params": tpl.params(message)})
     tags = resolved.select("masked", "event_id", "template", "resolved_via_oov", "oov_similarity")
-    joined = join_unique(keyed, stage(tags, "tags"), ["masked"], "inner", ["file", "line_no"])
+    joined = join_unique(keyed, stage(tags, "tags"), ["masked"], "left")
     return joined.select(
-        *entries.columns, "event_id", "template", "params", "resolved_via_oov", "oov_similarity"
+        *entries.columns,
+        F.coalesce("event_id", F.lit(tpl.UNKNOWN_ID)).alias("event_id"),
+        F.coalesce("template", "masked").alias("template"),
+        "params",
+        "resolved_via_oov",
+        "oov_similarity",
     )
 
 
 def template_text(rows: DataFrame, templates: DataFrame) -> DataFrame:
-    """Add the template of each row's event_id; an id the dictionary lacks stands for itself.
-
-    Rows need a line_no, which spreads the rows of a frequent id in a shuffle join.
-    """
+    """Add the template of each row's event_id; an id the dictionary lacks stands for itself."""
     texts = templates.select("event_id", "template")
-    return join_unique(rows, texts, ["event_id"], "left", ["line_no"]).withColumn(
+    return join_unique(rows, texts, ["event_id"], "left").withColumn(
         "template", F.coalesce("template", "event_id")
     )

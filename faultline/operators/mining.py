@@ -15,9 +15,10 @@ The result depends on the order, yet little of the work is sequential:
   least one position, and a bucket has room for only about ``max_children * tokens`` such
   changes.
 
-So each round takes the first ``round_size`` open texts of every bucket, folds them in order
-in one task per bucket, and drops, in parallel, all later texts the new templates cover. No
-task ever sees more than ``round_size`` texts of a bucket, however large it is.
+Any first part of a bucket, in order, can be folded alone. So each round finds, by counts per cell
+of positions, where at most ``2 * round_size`` open texts of every bucket end, and drops the later
+texts before anything is shuffled. One task per bucket folds the rest in order, and all later
+texts that the new templates cover are dropped in parallel.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import templates as tpl
-from faultline.operators.matching import join_bucket
+from faultline.operators.matching import join_bucket, join_unique
 from faultline.operators.ordered import with_row_number
 from faultline.staging import stage
 
@@ -38,6 +39,9 @@ ROUND_SIZE = 20_000
 POSITION_CHUNK = 1 << 20
 
 _BUCKET = ["n", "prefix"]
+# Cells a bucket's positions are counted in to find where a round ends.
+CELLS = 1024
+
 _STATE = "n INT, prefix STRING, pos BIGINT, template STRING, last_pos BIGINT, open BOOLEAN"
 _STATE_COLUMNS = [field.split()[0] for field in _STATE.split(", ")]
 
@@ -75,7 +79,7 @@ def mine_templates(
     """Templates of the distinct masked ``texts``: n, prefix, pos (of creation), template."""
     if not 0 < sim_threshold <= 1:
         raise ValueError("sim_threshold must lie in (0, 1]")
-    fold = _folder(sim_threshold, max_children, round_size)
+    fold = _folder(sim_threshold, max_children)
     remaining = texts.select(*_BUCKET, "pos", "masked")
     state = stage(_fold_buckets(_first(remaining, round_size), fold), "templates")
     finished = state.filter(~F.col("open"))
@@ -117,40 +121,103 @@ def count_lines(templates: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def _first(texts: DataFrame, round_size: int, known: DataFrame | None = None) -> DataFrame:
-    """The first texts of each bucket, together with the templates it has already.
+    """The first texts of each bucket, at most ``2 * round_size``, and its templates so far.
 
-    Spark drops the later texts before the shuffle, so a bucket brings a task at most its
-    templates and ``round_size`` texts.
+    ``cut`` tells whether the bucket has more. Later texts leave in the map step.
     """
-    in_order = Window.partitionBy(*_BUCKET).orderBy("pos")
-    head = (
-        texts.withColumn("_rank", F.row_number().over(in_order))
-        .filter(F.col("_rank") <= round_size)
-        .select(*_BUCKET, F.lit(True).alias("is_text"), "pos", "masked")
-    )
+    ends = round_ends(texts, round_size)
+    if ends is None:
+        head = texts.withColumn("cut", F.lit(False))
+    else:
+        head = join_unique(texts, ends, _BUCKET, "left").filter(
+            F.col("end").isNull() | (F.col("pos") < F.col("end"))
+        )
+        head = head.withColumn("cut", F.col("end").isNotNull())
+    head = head.select(*_BUCKET, F.lit(True).alias("is_text"), "pos", "masked", "cut")
     if known is None:
         return head
-    return head.unionByName(known.withColumn("is_text", F.lit(False)))
+    return head.unionByName(known.withColumns({"is_text": F.lit(False), "cut": F.lit(False)}))
+
+
+def round_ends(texts: DataFrame, round_size: int) -> DataFrame | None:
+    """For buckets of over ``round_size`` texts a position ``end``: 1 to 2 * round_size lie before.
+
+    None if no bucket is so large. Positions are unique within a bucket, so the search, which
+    looks closer at a cell that holds too many, ends at cells of one position at the latest.
+    """
+    sizes = texts.groupBy(*_BUCKET).agg(
+        F.count(F.lit(1)).alias("many"),
+        F.min("pos").alias("low"),
+        (F.max("pos") + 1).alias("high"),
+    )
+    open_spans = stage(sizes.filter(F.col("many") > round_size).drop("many"), "large-buckets")
+    found = None
+    while not open_spans.isEmpty():
+        width = F.ceil((F.col("high") - F.col("low")) / F.lit(CELLS))
+        spans = open_spans.withColumn("width", width.cast("bigint"))
+        cell = F.floor((F.col("pos") - F.col("low")) / F.col("width")).cast("bigint")
+        inside = (
+            join_unique(texts.select(*_BUCKET, "pos"), spans, _BUCKET, "inner")
+            .filter((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
+            .groupBy(*_BUCKET, "low", "width", cell.alias("cell"))
+            .agg(F.count(F.lit(1)).alias("many"))
+        )
+        per_bucket = inside.groupBy(*_BUCKET, "low", "width").agg(
+            F.array_sort(F.collect_list(F.struct("cell", "many"))).alias("cells")  # at most CELLS
+        )
+        looked = stage(
+            per_bucket.select(
+                *_BUCKET,
+                "low",
+                "width",
+                F.element_at("cells", 1)["cell"].alias("first"),
+                _last_within("cells", 2 * round_size).alias("last"),
+            ),
+            "bucket-cells",
+        )
+        ends = looked.filter("last >= 0").select(
+            *_BUCKET, (F.col("low") + (F.col("last") + 1) * F.col("width")).alias("end")
+        )
+        found = ends if found is None else found.unionByName(ends)
+        closer = F.col("low") + F.col("first") * F.col("width")
+        open_spans = looked.filter("last < 0").select(
+            *_BUCKET, closer.alias("low"), (closer + F.col("width")).alias("high")
+        )
+    return found
+
+
+def _last_within(cells: str, most: int) -> Column:
+    """The last cell up to which at most ``most`` texts lie; -1 if the first has more."""
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).cast("bigint").alias("last"))
+
+    def add(done: Column, cell: Column) -> Column:
+        total = done["sum"] + cell["many"]
+        return F.struct(
+            total.alias("sum"), F.when(total <= most, cell["cell"]).otherwise(done["last"]).alias("last")
+        )
+
+    return F.aggregate(cells, start, add)["last"]
 
 
 def _fold_buckets(rows: DataFrame, fold) -> DataFrame:
     """Stream every bucket, in order, through ``fold``: many small buckets share a task."""
     ordered = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "is_text", "pos")
-    return ordered.select(*_BUCKET, "is_text", "pos", "masked").mapInPandas(fold, _STATE)
+    return ordered.select(*_BUCKET, "is_text", "pos", "masked", "cut").mapInPandas(fold, _STATE)
 
 
 def _uncovered(texts: DataFrame, going_on: DataFrame) -> DataFrame:
     per_bucket = going_on.groupBy(*_BUCKET).agg(
         F.max("last_pos").alias("last_pos"),
-        F.collect_list("template").alias("known"),  # at most max_children + 1
+        # At most max_children + 1 of them.
+        F.collect_list(tpl.tokens(F.col("template"))).alias("known"),
     )
     toks = tpl.tokens(F.col("masked"))
-    left = join_bucket(texts, per_bucket, "inner", going_on).filter(F.col("pos") > F.col("last_pos"))
+    left = join_bucket(texts, per_bucket, "inner").filter(F.col("pos") > F.col("last_pos"))
     return left.filter(~F.exists("known", lambda t: _covers(t, toks))).select(*texts.columns)
 
 
 def _covers(template: Column, toks: Column) -> Column:
-    pairs = F.zip_with(toks, F.split(template, " "), lambda t, m: (m == tpl.WILDCARD) | (m == t))
+    pairs = F.zip_with(toks, template, lambda t, m: (m == tpl.WILDCARD) | (m == t))
     return F.forall(pairs, lambda same: same)
 
 
@@ -162,7 +229,7 @@ class _Bucket:
         self.codes = {tpl.WILDCARD: 0}
         self.grid = np.zeros((4, n), dtype=np.int32)
         self.created: list[int] = []
-        self.n_texts, self.last_pos = 0, -1
+        self.cut, self.last_pos = False, -1
 
     @property
     def swallows_all(self) -> bool:
@@ -179,9 +246,8 @@ class _Bucket:
         self.grid[size] = toks
         self.created.append(pos)
 
-    def add_text(self, pos: int, text: str, sim_threshold: float) -> None:
-        self.n_texts += 1
-        self.last_pos = pos
+    def add_text(self, pos: int, text: str, cut: bool, sim_threshold: float) -> None:
+        self.cut, self.last_pos = cut, pos
         if self.swallows_all:
             return
         toks = self.encode(text)
@@ -195,32 +261,32 @@ class _Bucket:
                 return
         self.append(pos, toks if size < self.max_children else [0] * self.n)
 
-    def templates(self, round_size: int) -> Iterator[tuple]:
+    def templates(self) -> Iterator[tuple]:
         words = list(self.codes)
-        is_open = self.n_texts >= round_size and not self.swallows_all
+        is_open = self.cut and not self.swallows_all
         for pos, codes in zip(self.created, self.grid.tolist()):
             template = " ".join([words[c] for c in codes])
             yield self.n, self.prefix, pos, template, self.last_pos, is_open
 
 
-def _folder(sim_threshold: float, max_children: int, round_size: int):
+def _folder(sim_threshold: float, max_children: int):
     """The sequential step over rows sorted by bucket, templates before texts."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket: _Bucket | None = None
         for batch in batches:
             done: list[tuple] = []
-            for n, prefix, is_text, pos, text in batch.itertuples(index=False, name=None):
+            for n, prefix, is_text, pos, text, cut in batch.itertuples(index=False, name=None):
                 if bucket is None or bucket.n != n or bucket.prefix != prefix:
                     if bucket is not None:
-                        done.extend(bucket.templates(round_size))
+                        done.extend(bucket.templates())
                     bucket = _Bucket(n, prefix, max_children)
                 if is_text:
-                    bucket.add_text(pos, text, sim_threshold)
+                    bucket.add_text(pos, text, cut, sim_threshold)
                 else:
                     bucket.append(pos, bucket.encode(text))
             yield pd.DataFrame(done, columns=_STATE_COLUMNS)
         if bucket is not None:
-            yield pd.DataFrame(bucket.templates(round_size), columns=_STATE_COLUMNS)
+            yield pd.DataFrame(bucket.templates(), columns=_STATE_COLUMNS)
 
     return fold

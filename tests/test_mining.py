@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators import mining
 from faultline.operators.matching import match_texts, resolve_texts, tag_entries
 from faultline.operators.mining import (
     count_lines,
@@ -100,7 +101,7 @@ def force_shuffle(monkeypatch):
     monkeypatch.setattr("faultline.operators.matching.fits_broadcast", lambda df: False)
 
 
-def test_salted_joins_give_the_same(spark, monkeypatch):
+def test_shuffle_joins_give_the_same(spark, monkeypatch):
     messages = random_messages(random.Random(4), 200)
     texts = texts_of(spark, messages)
     templates = number_templates(mine_templates(texts, 0.5, 8)).cache()
@@ -118,7 +119,7 @@ def test_salted_joins_give_the_same(spark, monkeypatch):
     assert len(broadcast) == 200
 
 
-def test_rounds_with_salted_joins(spark, monkeypatch):
+def test_rounds_with_shuffle_joins(spark, monkeypatch):
     messages = random_messages(random.Random(6), 150)
     expected = sorted(map(str, templates_of(spark, messages, 0.6, 5).collect()))
     force_shuffle(monkeypatch)
@@ -151,3 +152,21 @@ def test_tagging(spark):
         ("<unk>", "nothing like it at all", [], False, None),
     ]
     assert tags(None)[1] == ("<unk>", "links are up", [], False, None)
+
+
+def test_a_text_without_an_answer_is_unknown(spark):
+    entries = spark.createDataFrame([("f", 1, "a 7")], "file STRING, line_no BIGINT, message STRING")
+    none = resolve_texts(match_texts(texts_of(spark, ["b"]), templates_of(spark, ["b"], 0.5, 4)), None)
+    row = tag_entries(entries, none).first()
+    assert (row["event_id"], row["template"], row["params"]) == ("<unk>", "a <*>", ["7"])
+
+
+def test_rounds_of_a_hot_bucket_are_bounded_without_a_window(spark):
+    rows = [(i * i, 2, "x", f"x {i}") for i in range(3000)] + [(7, 1, "y", "y")]
+    texts = spark.createDataFrame(rows, "pos BIGINT, n INT, prefix STRING, masked STRING")
+    head = mining._first(texts, 100)
+    assert "Window" not in head._jdf.queryExecution().toString()
+    taken = {r["prefix"]: r for r in head.groupBy("prefix").agg(F.count("pos").alias("k"), F.max("pos").alias("last"), F.first("cut").alias("cut")).collect()}
+    assert 1 <= taken["x"]["k"] <= 200 and taken["x"]["cut"]
+    assert taken["x"]["last"] == (taken["x"]["k"] - 1) ** 2
+    assert taken["y"]["k"] == 1 and not taken["y"]["cut"]
