@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.vectors import Embedder, embed_templates, hash_embedding
@@ -18,19 +18,27 @@ from faultline.operators.neighbours import resolve_unmatched
 from faultline.operators.rare import known_ids
 from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import Model, save_table
-from faultline.staging import job_staging, stage
-
-# Positions order the lines of all files: file number in the high bits, line below.
-LINE_BITS = 38
+from faultline.staging import fits_broadcast, job_staging, stage
 
 SIM_THRESHOLD = 0.5
 MAX_CHILDREN = 128
 MIN_SIMILARITY = 0.55
 
 
-def position(file_ord: str = "file_ord", line_no: str = "line_no"):
-    """One number that orders lines by file, then line."""
-    return F.shiftleft(F.col(file_ord), LINE_BITS) + F.col(line_no)
+def with_positions(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add pos, one number that orders entries by file_ord, then line_no.
+
+    It counts the lines of all files before, so it is dense and cannot overflow.
+    """
+    # One narrow row per file, as many as the driver listed.
+    sizes = lines.groupBy("file_ord").agg(F.max("line_no").alias("n"))
+    earlier = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(
+        sizes.select("file_ord", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")),
+        "file-starts",
+    )
+    side = F.broadcast(starts) if fits_broadcast(starts) else starts
+    return entries.join(side, "file_ord").withColumn("pos", F.col("first") + F.col("line_no")).drop("first")
 
 
 def resolve(
@@ -98,15 +106,19 @@ def train(
     if n_normal + anomaly_files.count() == 0:
         raise ValueError(f"no log files in {normal_dir} or {anomaly_dir}")
     with job_staging(spark):
-        corpora = [
-            assemble_entries(read_lines(spark, folder, files, skip_unreadable)).select(
-                position().alias("pos"), "message", F.lit(healthy).alias("normal")
-            )
-            for folder, files, healthy in (
-                (normal_dir, normal_files, True),
-                (anomaly_dir, anomaly_files, False),
-            )
+        lines = [
+            read_lines(spark, folder, files, skip_unreadable)
+            for folder, files in ((normal_dir, normal_files), (anomaly_dir, anomaly_files))
         ]
+        every = with_positions(
+            assemble_entries(lines[0]).unionByName(assemble_entries(lines[1])),
+            lines[0].unionByName(lines[1]).select("file_ord", "line_no"),
+        )
+        healthy = F.col("file_ord") < n_normal
         return train_entries(
-            corpora[0].unionByName(corpora[1]), model_dir, sim_threshold, max_children, embedder
+            every.select("pos", "message", healthy.alias("normal")),
+            model_dir,
+            sim_threshold,
+            max_children,
+            embedder,
         )
