@@ -37,23 +37,33 @@ def _slot(feature: str) -> tuple[int, int]:
     return code % DIM, 1 if code >> 63 else -1
 
 
-def hash_vector(text: str) -> np.ndarray:
-    """Signed feature counts of the words and character trigrams, at unit length."""
-    low = text.lower()
-    features = [(WORD_TAG + word, WORD_WEIGHT) for word in WORD.findall(low)]
-    features += [(TRIGRAM_TAG + low[i : i + 3], TRIGRAM_WEIGHT) for i in range(len(low) - 2)]
-    vector = np.zeros(DIM)
-    for feature, weight in features:
-        index, sign = _slot(feature)
-        vector[index] += sign * weight
-    length = np.linalg.norm(vector)
-    return (vector / length if length else vector).astype(np.float32)
+def hash_vectors(texts: list[str]) -> np.ndarray:
+    """Signed feature counts of the words and character trigrams, at unit length, one row a text.
+
+    The features of all texts are numbered first, so each different one is hashed once.
+    """
+    numbers: dict[str, int] = {}
+    owners, features, weights = [], [], []
+    for row, text in enumerate(texts):
+        low = text.lower()
+        words = [WORD_TAG + word for word in WORD.findall(low)]
+        trigrams = [TRIGRAM_TAG + low[i : i + 3] for i in range(len(low) - 2)]
+        features.extend(numbers.setdefault(f, len(numbers)) for f in words + trigrams)
+        weights.extend([WORD_WEIGHT] * len(words) + [TRIGRAM_WEIGHT] * len(trigrams))
+        owners.append(len(words) + len(trigrams))
+    slots = np.array([_slot(feature) for feature in numbers], np.int64).reshape(-1, 2)
+    which = np.array(features, np.int64)
+    at = np.repeat(np.arange(len(texts)), owners) * DIM + slots[which, 0]
+    signed = np.array(weights, np.float64) * slots[which, 1]
+    vectors = np.bincount(at, signed, minlength=len(texts) * DIM).reshape(-1, DIM)
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return (vectors / np.where(lengths > 0, lengths, 1)).astype(np.float32)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
-    """Arrow-batched ``hash_vector``; Spark SQL has no BLAKE2b. Run it on distinct texts."""
-    return texts.map(hash_vector)
+    """Arrow-batched ``hash_vectors``; Spark SQL has no BLAKE2b. Run it on distinct texts."""
+    return pd.Series(list(hash_vectors(texts.tolist())), dtype=object)
 
 
 def embed_templates(

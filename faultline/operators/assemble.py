@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.lines import is_continuation, is_ps_line, ps_fields, strip
 from faultline.operators.ordered import CHUNK_LINES, chunk_of
+from faultline.staging import fits_broadcast, stage
 
 
 def assemble_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -16,9 +17,9 @@ def assemble_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFr
     and do not end the entry; lines above the first PS line are dropped. Columns besides
     ``line_no`` and ``value`` that belong to the file (file, file_ord) stay.
 
-    Lines are shuffled once, by chunks of a file. Only the last entry of a chunk and the
-    indented lines before a chunk's first PS line can belong together across a border;
-    those few pieces are joined up in a second, small step.
+    A narrow first pass finds each chunk's first and last PS line. An indented line above the first
+    one of its chunk belongs to the last PS line of some earlier chunk, so the map step sends it
+    to that chunk. Then lines are shuffled, sorted and aggregated once.
     """
     keys = [c for c in lines.columns if c not in ("line_no", "value")]
     value, is_ps = F.col("value"), F.col("is_ps")
@@ -29,36 +30,49 @@ def assemble_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFr
         .withColumn("is_ps", is_ps_line(value))
         .withColumn("chunk", chunk_of("line_no", chunk_lines))
     )
-    in_chunk = Window.partitionBy("file", "chunk")
-    so_far = in_chunk.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ps_line = F.when(is_ps, F.col("line_no"))
-    anchored = kept.select(
+    chunks = stage(_chunk_anchors(kept), "chunk-anchors")
+    side = F.broadcast(chunks) if fits_broadcast(chunks) else chunks
+    # Null where no PS line comes before.
+    target = F.when(F.col("line_no") < F.col("first_ps"), F.col("carried")).otherwise(F.col("chunk"))
+    routed = (
+        kept.join(side, ["file", "chunk"])
+        .withColumn("chunk", target)
+        .filter("chunk IS NOT NULL")
+    )
+    so_far = (
+        Window.partitionBy("file", "chunk")
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    anchored = routed.select(
         *keys, "line_no", "value", "is_ps", "chunk",
-        F.last(ps_line, ignorenulls=True).over(so_far).alias("anchor"),
-        F.max(ps_line).over(in_chunk).alias("last_ps"),
+        F.last(F.when(is_ps, F.col("line_no")), ignorenulls=True).over(so_far).alias("anchor"),
     )
     # A struct starts with its line number, so sorting the list restores the line order.
     tail = F.when(is_continuation(value), F.struct("line_no", strip(value).alias("text")))
-    pieces = anchored.groupBy(*keys, "chunk", "anchor", "last_ps").agg(
+    pieces = anchored.groupBy(*keys, "chunk", "anchor").agg(
         F.max(F.when(is_ps, value)).alias("head"),
         F.array_sort(F.collect_list(tail)).alias("tail"),
     )
-    inside = pieces.filter(F.col("anchor") < F.col("last_ps")).drop("chunk", "last_ps")
-    border = pieces.filter(F.col("anchor").isNull() | (F.col("anchor") == F.col("last_ps")))
-    return _finish(inside.unionByName(_join_border(border, keys)), keys)
+    return _finish(pieces, keys)
+
 
+def _chunk_anchors(kept: DataFrame) -> DataFrame:
+    """For each chunk its first PS line and the last chunk before it that has one.
 
-def _join_border(border: DataFrame, keys: list[str]) -> DataFrame:
-    """Give pieces without an anchor the latest one above; at most two rows per chunk."""
-    above = Window.partitionBy("file").orderBy("chunk", F.col("anchor").asc_nulls_first())
-    return (
-        border.withColumn("anchor", F.last("anchor", ignorenulls=True).over(above))
-        .filter(F.col("anchor").isNotNull())
-        .groupBy(*keys, "anchor")
-        .agg(
-            F.max("head").alias("head"),
-            F.array_sort(F.flatten(F.collect_list("tail"))).alias("tail"),
-        )
+    A chunk without a PS line has a first one past all its lines. One row per chunk.
+    """
+    ps_line = F.when(F.col("is_ps"), F.col("line_no"))
+    chunks = kept.groupBy("file", "chunk").agg(F.min(ps_line).alias("first_ps"))
+    above = (
+        Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    own = F.when(F.col("first_ps").isNotNull(), F.col("chunk"))
+    return chunks.select(
+        "file",
+        "chunk",
+        F.coalesce("first_ps", F.lit((1 << 63) - 1)).alias("first_ps"),
+        F.last(own, ignorenulls=True).over(above).alias("carried"),
     )
 
 

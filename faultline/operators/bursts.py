@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.ordered import CHUNK_LINES, map_groups, with_running
 from faultline.rules import RULE_LIBRARY, Rule
-from faultline.staging import stage
+from faultline.staging import fits_broadcast, stage
 
 MAX_LINE_GAP = 50  # fixed value: gap that breaks a cluster without a clock
 WINDOWS_PER_SPAN = 4096
@@ -65,22 +65,22 @@ def burst_clusters(
     ``hits`` needs file, rule_ord, line_no and elapsed_ms; rules without settings are left
     out. ``lines`` lists the members in order.
     """
-    members = burst_members(hits, settings, chunk_lines, windows_per_span)
-    return (
-        members.groupBy(*_GROUP, "anchor_line")
-        .agg(
-            F.array_sort(F.collect_list("line_no")).alias("lines"),
-            F.first("burst_min").alias("burst_min"),
-        )
-        .select(
-            *_GROUP,
-            F.col("anchor_line").alias("line_no"),
-            "lines",
-            F.size("lines").alias("size"),
-            "burst_min",
-        )
+    members = stage(burst_members(hits, settings, chunk_lines, windows_per_span), "burst-members")
+    cluster = [*_GROUP, "anchor_line"]
+    # Sizes first, so that lists are gathered of reported clusters only.
+    reported = stage(
+        members.groupBy(*cluster, "burst_min")
+        .agg(F.count(F.lit(1)).cast("int").alias("size"))
         .filter(F.col("size") >= F.col("burst_min"))
-        .drop("burst_min")
+        .drop("burst_min"),
+        "burst-sizes",
+    )
+    side = F.broadcast(reported) if fits_broadcast(reported) else reported
+    return (
+        members.join(side, cluster)
+        .groupBy(*cluster, "size")
+        .agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
+        .select(*_GROUP, F.col("anchor_line").alias("line_no"), "lines", "size")
     )
 
 

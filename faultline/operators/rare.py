@@ -31,55 +31,70 @@ def known_ids(resolved: DataFrame) -> DataFrame:
 
 
 def first_per_text(entries: DataFrame) -> DataFrame:
-    """Per (file, masked text) the first entry, and the first whose message shows an error.
+    """Per (file, masked text) the first line, and the first whose message shows an error.
 
     This runs before any join on the text: a text that fills a third of the corpus shrinks to
-    one row per file in the map-side half of the aggregation.
+    one row per file in the map-side half of the aggregation, which holds two numbers per text;
+    the entries themselves are looked up when only the findings are left.
     """
-    entry = F.struct(*_FIELDS)
     hinted = F.when(has_error_hint(F.col("message")), F.col("line_no"))
     return (
-        entries.withColumn("masked", tpl.masked_text(F.col("message")))
-        .groupBy("file", "masked")
-        .agg(
-            F.min_by(entry, F.col("line_no")).alias("first_entry"),
-            F.min_by(entry, hinted).alias("first_hinted"),
+        entries.select(
+            "file", "line_no", hinted.alias("hinted"), tpl.masked_text(F.col("message")).alias("masked")
         )
+        .groupBy("file", "masked")
+        .agg(F.min("line_no").alias("first_line"), F.min("hinted").alias("first_hinted"))
     )
 
 
 def first_error_per_template(firsts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Per (file, event_id) the first entry whose template or message shows an error."""
+    """Per file and template the first line whose template or message shows an error."""
     tags = stage(
         resolved.select("masked", "event_id", "template").filter(
             ~F.col("event_id").isin("", tpl.UNKNOWN_ID)
         ),
         "tags",
     )
-    tagged = join_unique(firsts, tags, ["masked"], "inner", ["file"])
-    entry = F.when(has_error_hint(F.col("template")), F.col("first_entry")).otherwise(
+    tagged = join_unique(firsts, tags, ["masked"], "inner")
+    line = F.when(has_error_hint(F.col("template")), F.col("first_line")).otherwise(
         F.col("first_hinted")
     )
     return (
-        tagged.select("file", "event_id", "template", entry.alias("entry"))
-        .filter(F.col("entry").isNotNull())
-        .groupBy("file", "event_id")
-        .agg(F.min_by(F.struct("entry", "template"), F.col("entry.line_no")).alias("first"))
-        .select("file", "event_id", "first.template", "first.entry.*")
+        tagged.select("file", "event_id", "template", line.alias("line_no"))
+        .filter(F.col("line_no").isNotNull())
+        .groupBy("file", "event_id", "template")
+        .agg(F.min("line_no").alias("line_no"))
     )
 
 
+def with_entry(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """Add the fields of the entry at (file, line_no); ``found`` is the small side."""
+    found = stage(found, "found-lines")
+    side = F.broadcast(found) if fits_broadcast(found) else found
+    return entries.select("file", *_FIELDS).join(side, ["file", "line_no"])
+
+
 def rare_findings(
-    firsts: DataFrame, resolved: DataFrame, normal_ids: DataFrame, max_per_file: int = MAX_PER_FILE
+    firsts: DataFrame,
+    entries: DataFrame,
+    resolved: DataFrame,
+    normal_ids: DataFrame,
+    max_per_file: int = MAX_PER_FILE,
 ) -> DataFrame:
-    """The first ``max_per_file`` novel templates of each file, in line order, as findings."""
+    """The first ``max_per_file`` novel templates of each file, in line order, as findings.
+
+    ``entries``, which ``firsts`` were taken from, are read once more and should be a written table.
+    """
     candidates = first_error_per_template(firsts, resolved)
     normal = F.broadcast(normal_ids) if fits_broadcast(normal_ids) else normal_ids
     novel = candidates.join(normal, "event_id", "left_anti")
     # Spark keeps only this many rows per file before the shuffle.
     in_order = Window.partitionBy("file").orderBy("line_no")
-    kept = novel.withColumn("_nth", F.row_number().over(in_order)).filter(
-        F.col("_nth") <= max_per_file
+    kept = with_entry(
+        novel.withColumn("_nth", F.row_number().over(in_order))
+        .filter(F.col("_nth") <= max_per_file)
+        .select("file", "line_no", "template"),
+        entries,
     )
     no_text, no_lines = F.array().cast("array<string>"), F.array().cast("array<bigint>")
     return kept.select(

@@ -31,9 +31,11 @@ def may_match(rules: Sequence[Rule], value: Column) -> Column:
     """
     if not all(rule.literals for rule in rules):
         return F.lit(True)
-    low = F.lower(value)
     literals = sorted({text for rule in rules for text in rule.literals})
-    found = reduce(or_, (F.contains(low, F.lit(text)) for text in literals))
+    # As a lambda's variable the lower-cased line is made once, not once per text.
+    found = F.exists(
+        F.array(F.lower(value)), lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in literals))
+    )
     return found | (F.octet_length(value) != F.char_length(value))
 
 
@@ -51,7 +53,8 @@ def rule_hits(lines: DataFrame, rules: Sequence[Rule] = RULE_LIBRARY) -> DataFra
     )
     return (
         lines.select("file", "line_no", "value")
-        .filter(may_match(rules, value) & is_ps_line(value))
+        # From the cheapest test to the dearest.
+        .filter(value.startswith("[") & may_match(rules, value) & is_ps_line(value))
         .select(
             "file",
             "line_no",

@@ -46,7 +46,8 @@ def scan(
     by_rule = stage(rule_findings(lines, rules), "rule-findings")
     if model is None or model.normal_ids is None or model.normal_ids.isEmpty():
         return rank_findings(by_rule)
-    firsts = stage(first_per_text(assemble_entries(lines)), "first-entries")
+    entries = stage(assemble_entries(lines), "entries")
+    firsts = stage(first_per_text(entries), "first-lines")
     masked = F.col("masked")
     texts = (
         firsts.select("masked")
@@ -57,7 +58,7 @@ def scan(
     )
     resolved = resolve(texts, model, sim_threshold, min_similarity, embedder)
     novel = without_rule_lines(
-        rare_findings(firsts, resolved, model.normal_ids, max_rare), by_rule
+        rare_findings(firsts, entries, resolved, model.normal_ids, max_rare), by_rule
     )
     return rank_findings(by_rule.unionByName(stage(novel, "novel")))
 

@@ -166,6 +166,8 @@ def write_documents(report: DataFrame, path: str, suffix: str) -> None:
         .sortWithinPartitions("report", "seq")
         .select("report", "text")
         .write.mode("overwrite")
+        # Reports of files that are gone go as well, whatever the session's mode is.
+        .option("partitionOverwriteMode", "static")
         .partitionBy("report")
         .text(path)
     )

@@ -24,6 +24,10 @@ def _scan(spark: SparkSession, log_dir: str, skip_unreadable: bool = False) -> D
     )
 
 
+def _unlisted(file: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("not among the listed files: "), file)).cast("bigint")
+
+
 def list_files(
     spark: SparkSession, log_dir: str, corpus_rank: int = 0, first_ord: int = 0
 ) -> DataFrame:
@@ -52,7 +56,8 @@ def read_lines(
 ) -> DataFrame:
     """Every line of the corpus: file, file_ord, line_no (from 1) and decoded value.
 
-    ``skip_unreadable`` leaves out the rest of a file that fails while it is read.
+    ``skip_unreadable`` leaves out the rest of a file that fails while it is read. A file that
+    appears after ``files`` was listed is an error, not left out.
 
     Splits lose the position in the file, so one map-only pass writes each line with its
     split and a running id; the per-split counts then give every split its first line
@@ -90,7 +95,9 @@ def number_lines(staged: DataFrame, files: DataFrame) -> DataFrame:
             # line_no = mid + shift
             (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_mid") + 1).alias("shift"),
             F.bool_and("valid").over(whole_file).alias("utf8"),
-        ).join(files.select("file", "file_ord"), "file"),
+        )
+        .join(files.select("file", "file_ord"), "file", "left")
+        .withColumn("file_ord", F.coalesce("file_ord", _unlisted(F.col("file")))),
         "blocks",
     )
     side = F.broadcast(blocks) if fits_broadcast(blocks) else blocks

@@ -127,7 +127,7 @@ def detect(spark, cap):
     normal = known_ids(
         spark.createDataFrame([("E0000",), ("<unk>",), ("",), (None,)], "event_id STRING")
     )
-    return rare_findings(first_per_text(entries), resolved, normal, cap)
+    return rare_findings(first_per_text(entries), entries, resolved, normal, cap)
 
 
 def test_rare_templates(spark):
@@ -210,3 +210,9 @@ def test_context_by_shuffle_join(spark, monkeypatch):
     expected = sorted(map(str, rule_findings(lines).collect()))
     monkeypatch.setattr("faultline.operators.findings.fits_broadcast", lambda df: False)
     assert sorted(map(str, rule_findings(lines).collect())) == expected
+
+
+def test_firsts_are_hash_aggregated(spark):
+    entries = spark.createDataFrame([("f", 1, "fatal 1")], "file STRING, line_no BIGINT, message STRING")
+    plan = first_per_text(entries)._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
