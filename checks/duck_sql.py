@@ -22,16 +22,24 @@ def _quote(text: object) -> str:
 def _lines(name: str, file: str) -> str:
     return f"""
 {name}_base AS (
-  SELECT *, {file} AS file FROM (
+  SELECT *, {file} AS file,
+    CASE user_id % 4 WHEN 3 THEN 0 WHEN 2 THEN 1000000000 - ms ELSE ms END AS clock FROM (
     SELECT *, CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) - 170406720 AS ms FROM events)),
 {name} AS (
   SELECT file, row_number() OVER (PARTITION BY file ORDER BY ms, event_id) AS line_no, CASE
     WHEN event_id % 23 = 0 THEN concat('debug dump ', event_id)
     WHEN event_id % 19 = 0 THEN
       concat('  continued at 0x', lpad(CAST(event_id % 100 AS VARCHAR), 2, '0'))
-    ELSE concat('[', ms // 1000, '.', lpad(CAST(ms % 1000 AS VARCHAR), 3, '0'),
+    ELSE concat('[', clock // 1000, '.', lpad(CAST(clock % 1000 AS VARCHAR), 3, '0'),
       '] [t', user_id % 8, '] [', upper(event_type), '] ',
       CASE
+        WHEN event_id % 29 = 0 THEN (['check_for_bad_handle: timer 0x1a is already free',
+          'Log Type: DIAGNOSTIC Error Msg: assert 7',
+          'ASSOC_RESP: Association Failed with status code = 17',
+          'WIFI_SET_BACKGROUND_SCAN_CNF with result failure',
+          'kernel panic after RNDIS hardReset'])[event_id // 29 % 5 + 1]
+        WHEN event_type = 'purchase' AND event_id % 4 < 3 THEN
+          concat('SDPQueueManager: classic queue full, ', user_id, ' waiting')
         WHEN event_type = 'error' AND event_id % 7 = 0 THEN
           concat('Deauthenticated (reason 0x0', substr('1237f', CAST(event_id % 5 AS INT) + 1, 1), ')')
         WHEN event_type = 'error' THEN 'Trace |SSPLogger |Error: dump'
@@ -279,15 +287,18 @@ matched AS (
   SELECT masked, toks, event_id, template, t, sim FROM asked LEFT JOIN best USING (masked))"""
 
 
-LOG_MASKED = rf"""{_masking("entries", "file, line_no, elapsed_ms, component, level, message")},
+def _log_masked(pos: str, more: str = "") -> str:
+    return rf"""{_masking("entries", "file, line_no, elapsed_ms, component, level, message")},
 positioned AS (
-  SELECT * EXCLUDE (device, day), ((device * 1000 + day) << 38) + line_no AS pos,
-    day = 0 AND component <> 'VIEW' AS normal
+  SELECT *, {pos} AS pos, day = 0 AND component <> 'VIEW' AS normal{more}
   FROM (
     SELECT *, CAST(regexp_extract(file, '^f(\d+)-(\d+)', 1) AS BIGINT) AS device,
       CAST(regexp_extract(file, '^f(\d+)-(\d+)', 2) AS BIGINT) AS day
     FROM tokens))"""
 
+
+LOG_MASKED = _log_masked("(device * 1000 + day) * 1000000000 + line_no")
+
 DOC_MASKED = f"""{_masking("docs", "doc_id, line_no")},
 positioned AS (
   SELECT t.*, (doc_id << 32) + line_no AS pos, coalesce(quality = 1, false) AS normal
@@ -301,16 +312,53 @@ FROM templates t LEFT JOIN (
 
 HINT = "'(?i)\\b(" + "|".join(HINT_WORDS) + ")\\b'"
 
-RARE = f"""
+
+
+def _rare(normal: str, answers: str) -> str:
+    return f"""
 normal_ids AS (
-  SELECT DISTINCT event_id FROM positioned JOIN matched USING (masked) WHERE normal),
+  SELECT DISTINCT event_id FROM positioned JOIN matched USING (masked)
+  WHERE {normal} AND event_id IS NOT NULL),
 first_seen AS (
   SELECT file, event_id, template, line_no, elapsed_ms, component, message
-  FROM positioned JOIN matched USING (masked)
+  FROM positioned JOIN {answers} USING (masked)
   WHERE event_id IS NOT NULL AND regexp_matches(concat(template, ' ', message), {HINT})
   QUALIFY row_number() OVER (PARTITION BY file, event_id ORDER BY line_no) = 1)"""
 
 
+RARE = _rare("normal", "matched")
+
+
+def _vector(text: str) -> str:
+    """The md5 embedding: each word adds a weight to a slot."""
+    words = (
+        f"list_filter(regexp_split_to_array(lower(replace({text}, '<*>', '<VAR>')), '[^a-z0-9]+'),"
+        " lambda w: w <> '')"
+    )
+    parts = f"""list_transform({words}, lambda w: {{
+      'slot': CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 32,
+      'weight': 1 + (CAST(concat('0x', substr(md5(w), 9, 4)) AS BIGINT) % 997) / 997.0::DOUBLE}})"""
+    return f"""list_transform(range(32), lambda i: coalesce(list_sum(list_transform(
+      list_filter({parts}, lambda p: p.slot = i), lambda p: p.weight)), 0::DOUBLE))"""
+
+
+NEAR = f"""
+template_vectors AS (SELECT event_id, template, {_vector("template")} AS v FROM templates),
+missed_vectors AS (
+  SELECT masked, {_vector("masked")} AS v FROM matched WHERE event_id IS NULL),
+near AS (
+  SELECT masked, p.event_id AS near_id, p.template AS near_template,
+    coalesce(list_cosine_similarity(m.v, p.v), 0) AS near_sim
+  FROM missed_vectors m, template_vectors p
+  QUALIFY row_number() OVER (PARTITION BY masked ORDER BY near_sim DESC, near_id) = 1),
+answers AS (
+  SELECT masked, coalesce(event_id, CASE WHEN near_sim >= 0.55 THEN near_id END) AS event_id,
+    coalesce(template, CASE WHEN near_sim >= 0.55 THEN near_template END) AS template,
+    CASE WHEN event_id IS NULL THEN coalesce(near_sim >= 0.55, false) END AS by_near,
+    CASE WHEN event_id IS NULL AND near_sim >= 0.55 THEN near_sim END AS near_sim
+  FROM matched LEFT JOIN near USING (masked))"""
+
+
 def _rare_findings(cap: int) -> str:
     return f"""
 rare AS (
@@ -346,6 +394,21 @@ _SCAN = (
     _ranked("found"), _verdicts("found"),
 )
 
+_LOG_DIRECTORIES = (
+    DAILY, ENTRIES,
+    _log_masked(
+        "row_number() OVER (ORDER BY day, file, line_no)",
+        """,
+    day = 0 AND device < 2 AS healthy, day = 0 AND device < 2 OR day = 1 AND device = 0 AS trained""",
+    ),
+    _mining("positioned", "trained"), _matching("positioned"), NEAR,
+)
+_SCANNED = "file NOT IN ('f0-0.log', 'f1-0.log', 'f0-1.log')"
+_FIND = (
+    *_LOG_DIRECTORIES, _rare("healthy", "answers"), HITS, CLUSTERS, TRIGGERS, CONTEXT,
+    _rare_findings(15), FOUND, _ranked("found"), _verdicts("found"),
+)
+
 _JSON = {
     "context_before": "coalesce(list_before, [])",
     "context_after": "coalesce(list_after, [])",
@@ -360,6 +423,54 @@ _SEVERITY_COUNTS = ", ".join(
 )
 _FENCE = "```"
 
+def _json_rows(verdicts: str, ranked: str) -> str:
+    return f"""
+SELECT file, 0 AS seq, concat('{{"file":', to_json(file), ',"verdict":"', verdict,
+  '","finding_count":', findings, ',"findings":[') AS text FROM {verdicts} WHERE findings > 0
+UNION ALL
+SELECT file, rank, concat(CASE WHEN rank > 1 THEN ',' ELSE '' END, to_json({{{_JSON_FIELDS}}}))
+FROM {ranked} LEFT JOIN context USING (file, source_ord, line_number)
+UNION ALL
+SELECT file, findings + 1, ']}}' FROM {verdicts} WHERE findings > 0"""
+
+
+def _markdown_rows(name: str, verdicts: str, ranked: str) -> str:
+    return f"""
+SELECT file, 0 AS seq, concat_ws(chr(10), concat('# Anomaly Report: `', {name}, '`'), '',
+  concat('**Verdict:** `', verdict, '`  |  **Findings:** ', findings), '',
+  concat('**Severity summary:** ', concat_ws('  ', {_SEVERITY_COUNTS})), '') AS text
+FROM {verdicts} WHERE findings > 0
+UNION ALL
+SELECT file, rank, concat_ws(chr(10), concat('## ', rank, '. `', severity, '` ', description), '',
+  concat('- **Category:** ', category),
+  concat('- **Line:** ', line_number, '  **Timestamp:** `', timestamp, '`  **Component:** `',
+    component, '`  **Actionability:** ', format('{{:.2f}}', score)),
+  CASE WHEN burst_size > 1 THEN concat('- **Burst size:** ', burst_size,
+    ' matches starting at line ', line_number) END,
+  '', '**Trigger line:**', '{_FENCE}', trigger_line, '{_FENCE}',
+  CASE WHEN list_before IS NOT NULL OR list_after IS NOT NULL THEN concat_ws(chr(10), '',
+    '**Context:**', '{_FENCE}',
+    array_to_string(list_transform(list_before, lambda x: concat('  ', x)), chr(10)),
+    concat('> ', trigger_line),
+    array_to_string(list_transform(list_after, lambda x: concat('  ', x)), chr(10)),
+    '{_FENCE}') END,
+  '', '---', '')
+FROM {ranked} LEFT JOIN context USING (file, source_ord, line_number)"""
+
+
+def _summary_rows(name: str, verdicts: str) -> str:
+    return f"""
+SELECT '' AS file, 0 AS seq, concat('{{"total_files":', total_files, ',"verdict_counts":',
+  to_json({{{", ".join(f"'{v}': {v}" for v in VERDICTS)}}}), ',"files":[') AS text
+FROM (SELECT count(*) AS total_files, {TALLIES} FROM {verdicts})
+UNION ALL
+SELECT file, 1, concat(CASE WHEN file = (SELECT min(file) FROM {verdicts}) THEN '' ELSE ',' END,
+  to_json({{'file': {name}, 'verdict': verdict, 'findings': findings,
+    'severity': {{{", ".join(f"'{s}': {s}" for s in SEVERITIES)}}}}}))
+FROM {verdicts}
+UNION ALL SELECT '', 2, ']}}'"""
+
+
 ORACLES: dict[str, str] = {
     "corpus_files": _with(DAILY) + """
 SELECT file, row_number() OVER (ORDER BY file) - 1 AS file_ord FROM (SELECT DISTINCT file FROM log)""",
@@ -415,6 +526,10 @@ FROM positioned JOIN matched USING (masked)""",
 SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id,
   coalesce(template, '<unk>') AS template
 FROM positioned JOIN matched USING (masked)""",
+    "tagged_by_embedder": _with(*_LOG_HEALTHY, NEAR, recursive=True) + """
+SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id, coalesce(template, masked) AS template,
+  by_near AS resolved_via_oov, round(near_sim, 4) AS oov_similarity
+FROM positioned JOIN answers USING (masked)""",
     "vector_norm": """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -449,45 +564,11 @@ SELECT file, rank, rule_name, severity, line_number, trigger_line, rare_template
   round(score, 6) AS actionability_score, coalesce(context_before, '') AS context_before,
   coalesce(context_after, '') AS context_after
 FROM ranked LEFT JOIN context USING (file, source_ord, line_number)""",
-    "report_json": _with(*_SCAN, recursive=True) + f"""
-SELECT file, 0 AS seq, concat('{{"file":', to_json(file), ',"verdict":"', verdict,
-  '","finding_count":', findings, ',"findings":[') AS text FROM verdicts WHERE findings > 0
-UNION ALL
-SELECT file, rank, concat(CASE WHEN rank > 1 THEN ',' ELSE '' END, to_json({{{_JSON_FIELDS}}}))
-FROM ranked LEFT JOIN context USING (file, source_ord, line_number)
-UNION ALL
-SELECT file, findings + 1, ']}}' FROM verdicts WHERE findings > 0""",
-    "report_markdown": _with(*_SCAN, recursive=True) + f"""
-SELECT file, 0 AS seq, concat_ws(chr(10), concat('# Anomaly Report: `', file, '`'), '',
-  concat('**Verdict:** `', verdict, '`  |  **Findings:** ', findings), '',
-  concat('**Severity summary:** ', concat_ws('  ', {_SEVERITY_COUNTS})), '') AS text
-FROM verdicts WHERE findings > 0
-UNION ALL
-SELECT file, rank, concat_ws(chr(10), concat('## ', rank, '. `', severity, '` ', description), '',
-  concat('- **Category:** ', category),
-  concat('- **Line:** ', line_number, '  **Timestamp:** `', timestamp, '`  **Component:** `',
-    component, '`  **Actionability:** ', format('{{:.2f}}', score)),
-  CASE WHEN burst_size > 1 THEN concat('- **Burst size:** ', burst_size,
-    ' matches starting at line ', line_number) END,
-  '', '**Trigger line:**', '{_FENCE}', trigger_line, '{_FENCE}',
-  CASE WHEN list_before IS NOT NULL OR list_after IS NOT NULL THEN concat_ws(chr(10), '',
-    '**Context:**', '{_FENCE}',
-    array_to_string(list_transform(list_before, lambda x: concat('  ', x)), chr(10)),
-    concat('> ', trigger_line),
-    array_to_string(list_transform(list_after, lambda x: concat('  ', x)), chr(10)),
-    '{_FENCE}') END,
-  '', '---', '')
-FROM ranked LEFT JOIN context USING (file, source_ord, line_number)""",
-    "report_summary": _with(*_DAILY_RULES, _verdicts("triggers"), recursive=True) + f"""
-, tally AS (SELECT count(*) AS total_files, {TALLIES} FROM verdicts)
-SELECT '' AS file, 0 AS seq, concat('{{"total_files":', total_files, ',"verdict_counts":',
-  to_json({{{", ".join(f"'{v}': {v}" for v in VERDICTS)}}}), ',"files":[') AS text FROM tally
-UNION ALL
-SELECT file, 1, concat(CASE WHEN file = (SELECT min(file) FROM verdicts) THEN '' ELSE ',' END,
-  to_json({{'file': file, 'verdict': verdict, 'findings': findings,
-    'severity': {{{", ".join(f"'{s}': {s}" for s in SEVERITIES)}}}}}))
-FROM verdicts
-UNION ALL SELECT '', 2, ']}}'""",
+    "report_json": _with(*_SCAN, recursive=True) + _json_rows("verdicts", "ranked"),
+    "report_markdown": _with(*_SCAN, recursive=True)
+    + _markdown_rows("file", "verdicts", "ranked"),
+    "report_summary": _with(*_DAILY_RULES, _verdicts("triggers"), recursive=True)
+    + _summary_rows("file", "verdicts"),
     "train_job": _with(
         DOCS, DOC_MASKED, _mining("positioned"), _matching("positioned"), recursive=True
     ) + """
@@ -500,4 +581,20 @@ SELECT event_id, template, 0, false FROM templates
 WHERE event_id NOT IN (SELECT event_id FROM matched WHERE event_id IS NOT NULL)""",
     "find_job": _with(*_DAILY_RULES, _verdicts("triggers"), recursive=True)
     + "\nSELECT * FROM verdicts",
+    "train_directories": _with(*_LOG_DIRECTORIES, recursive=True) + f"""
+, used AS (
+  SELECT event_id, count(*) AS n_lines, bool_or(healthy) AS normal
+  FROM positioned JOIN matched USING (masked) WHERE trained GROUP BY event_id)
+SELECT event_id, t.template, coalesce(n_lines, 0) AS n_lines, coalesce(normal, false) AS normal,
+  round(coalesce(list_sum(v) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 0), 4)
+    AS vec_sum
+FROM templates t JOIN template_vectors USING (event_id) LEFT JOIN used USING (event_id)""",
+    "find_reports": _with(*_FIND, recursive=True) + f"""
+, chosen AS (SELECT * FROM verdicts WHERE {_SCANNED})
+, shown AS (SELECT * FROM ranked WHERE {_SCANNED})
+SELECT 'json' AS kind, text FROM ({_json_rows("chosen", "shown")})
+UNION ALL
+SELECT 'md', unnest(string_split(text, chr(10))) FROM ({_markdown_rows("''", "chosen", "shown")})
+UNION ALL
+SELECT 'summary', text FROM ({_summary_rows("''", "chosen")})""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tables
-from faultline import scan
+from faultline import find, scan, train
 from faultline.functions import templates as tpl
 from faultline.functions import vectors as vec
 from faultline.functions.lines import is_ps_line, ps_fields, raw_meta
@@ -40,10 +40,11 @@ from faultline.operators.rare import (
     first_per_text,
     known_ids,
     rare_findings,
+    with_entry,
     without_rule_lines,
 )
 from faultline.operators.rule_hits import rule_hits
-from faultline.plans.train import position, resolve, train_entries
+from faultline.plans.train import resolve, train_entries
 from faultline.rules import RULE_LIBRARY, rules_table
 from faultline.sinks.reports import json_report, markdown_report, summary_report
 from faultline.sources.logs import list_files, read_lines
@@ -194,11 +195,11 @@ def error_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the daily logs with their position and whether it is healthy."""
     entries = assemble_entries(tables.log_lines(spark, sf_dir, daily=True))
-    device, day = (F.regexp_extract("file", r"^f(\d+)-(\d+)", i).cast("bigint") for i in (1, 2))
+    device, day = tables.file_parts().values()
     normal = (day == tables.HEALTHY_DAY) & (F.col("component") != tables.NEW_COMPONENT)
-    return entries.withColumn("file_ord", device * 1000 + day).withColumns(
-        {"pos": position(), "normal": normal}
-    )
+    # Far more room than a file has lines.
+    place = (device * 1000 + day) * 1_000_000_000 + F.col("line_no")
+    return entries.withColumns({"pos": place, "normal": normal})
 
 
 def _dictionary(texts: DataFrame) -> DataFrame:
@@ -281,6 +282,26 @@ def tagged_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tagged_by_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagging with an embedder that the caller supplies."""
+    entries = _log_entries(spark, sf_dir)
+    model = _healthy_model(spark, entries)
+    known = stage(
+        vec.embed_templates(
+            model.templates.select("event_id", "template"), "template", tables.md5_embedding
+        ).drop("template"),
+        "embeddings",
+    )
+    resolved = resolve(
+        distinct_masked(entries), model._replace(embeddings=known), embedder=tables.md5_embedding
+    )
+    tagged = tag_entries(entries.select("file", "line_no", "message"), resolved)
+    return tagged.select(
+        "file", "line_no", "event_id", "template", "resolved_via_oov",
+        F.round("oov_similarity", 4).alias("oov_similarity"),
+    )
+
+
 # Vectors
 
 
@@ -350,13 +371,15 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Model]:
 def rare_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, model = _trained(spark, sf_dir)
     resolved = resolve(distinct_masked(entries), model)
-    return first_error_per_template(first_per_text(entries), resolved)
+    return with_entry(first_error_per_template(first_per_text(entries), resolved), entries)
 
 
 def rare_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, model = _trained(spark, sf_dir)
     resolved = resolve(distinct_masked(entries), model)
-    rare = rare_findings(first_per_text(entries), resolved, model.normal_ids, max_per_file=2)
+    rare = rare_findings(
+        first_per_text(entries), entries, resolved, model.normal_ids, max_per_file=2
+    )
     ruled = rule_triggers(tables.log_lines(spark, sf_dir, daily=True))
     return without_rule_lines(rare, ruled).select(
         "file", "line_number", "description", "timestamp", "elapsed_ms", "component",
@@ -420,6 +443,50 @@ def find_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _train_directories(spark: SparkSession, sf_dir: str) -> str:
+    model_dir = new_folder(spark, "model")
+    train(
+        spark,
+        tables.log_corpus(spark, sf_dir, F.expr(tables.NORMAL_FILES)),
+        tables.log_corpus(spark, sf_dir, F.expr(tables.ANOMALY_FILES)),
+        model_dir,
+        embedder=tables.md5_embedding,
+    )
+    return model_dir
+
+
+def train_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training on two directories of log files, as saved: templates, vectors, healthy ids."""
+    model = load_model(spark, _train_directories(spark, sf_dir))
+    total = F.aggregate("vec", F.lit(0.0), lambda done, x: done + x.cast("double"))
+    return (
+        model.templates.join(model.embeddings.select("event_id", "vec"), "event_id")
+        .join(model.normal_ids.withColumn("normal", F.lit(True)), "event_id", "left")
+        .select(
+            "event_id", "template", "n_lines", F.coalesce("normal", F.lit(False)).alias("normal"),
+            F.round(total, 4).alias("vec_sum"),
+        )
+    )
+
+
+def find_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all reports that a scan with a trained model writes, without file names."""
+    model_dir, out = _train_directories(spark, sf_dir), new_folder(spark, "reports")
+    others = ~F.expr(f"({tables.NORMAL_FILES}) OR ({tables.ANOMALY_FILES})")
+    find(
+        spark, tables.log_corpus(spark, sf_dir, others), out, model_dir,
+        embedder=tables.md5_embedding,
+    )
+    written = [
+        spark.read.text(f"{out}/{kind}").select(F.lit(kind).alias("kind"), "value")
+        for kind in ("json", "md", "summary")
+    ]
+    # Spark names the files of the corpus; the names come back without their part of the path.
+    named = F.regexp_replace("value", r'"file":"[^"]*file=(f[^/"]+)/[^"]*"', '"file":"$1"')
+    text = F.regexp_replace(named, r"part-[^\"`]*\.log", "")
+    return written[0].unionByName(written[1]).unionByName(written[2]).select("kind", text.alias("text"))
+
+
 QUERIES: dict[str, Query] = {
     "corpus_files": corpus_files,
     "corpus_lines": corpus_lines,
@@ -442,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "tagged_entries": tagged_entries,
     "dictionary_lookup": dictionary_lookup,
     "tagged_by_similarity": tagged_by_similarity,
+    "tagged_by_embedder": tagged_by_embedder,
     "vector_norm": vector_lengths,
     "nearest_neighbour": nearest_neighbour,
     "embedding_index": embedding_rows,
@@ -455,4 +523,6 @@ QUERIES: dict[str, Query] = {
     "report_summary": report_summary,
     "train_job": train_job,
     "find_job": find_job,
+    "train_directories": train_directories,
+    "find_reports": find_reports,
 }

@@ -47,16 +47,49 @@ def log_lines(spark: SparkSession, sf_dir: str, daily: bool = False) -> DataFram
     return numbered.select("file", "line_no", _line_text().alias("value"))
 
 
+# One line in so many is of a rule that the ordinary lines do not reach.
+RARE_EVENT = 29
+RARE_TEXTS = (
+    "check_for_bad_handle: timer 0x1a is already free",
+    "Log Type: DIAGNOSTIC Error Msg: assert 7",
+    "ASSOC_RESP: Association Failed with status code = 17",
+    "WIFI_SET_BACKGROUND_SCAN_CNF with result failure",
+    "kernel panic after RNDIS hardReset",
+)
+# The clock of these devices stands still, or runs backwards from a late start.
+CLOCKLESS_DEVICE, BACKWARDS_DEVICE, LATE_MS = 3, 2, 1_000_000_000
+
+
+def _clock() -> Column:
+    """What the device prints for the time ms."""
+    device = F.col("user_id") % 4
+    return (
+        F.when(device == CLOCKLESS_DEVICE, F.lit(0))
+        .when(device == BACKWARDS_DEVICE, LATE_MS - F.col("ms"))
+        .otherwise(F.col("ms"))
+        .cast("bigint")
+    )
+
+
 def _line_text() -> Column:
-    event_id, kind = F.col("event_id"), F.col("event_type")
-    second = F.floor(F.col("ms") / 1000).cast("bigint")
+    event_id, kind, clock = F.col("event_id"), F.col("event_type"), _clock()
+    second = F.floor(clock / 1000).cast("bigint")
+    rare = F.array(*map(F.lit, RARE_TEXTS))
     head = F.concat(
-        F.lit("["), _text(second), F.lit("."), F.lpad(_text(F.col("ms") % 1000), 3, "0"),
+        F.lit("["), _text(second), F.lit("."), F.lpad(_text(clock % 1000), 3, "0"),
         F.lit("] [t"), _text(F.col("user_id") % 8), F.lit("] ["), F.upper(kind), F.lit("] "),
     )
     reason = F.substr(F.lit("1237f"), (event_id % 5).cast("int") + 1, F.lit(1))
     message = (
         F.when(
+            event_id % RARE_EVENT == 0,
+            F.get(rare, (F.floor(event_id / RARE_EVENT) % len(RARE_TEXTS)).cast("int")),
+        )
+        .when(
+            (kind == "purchase") & (event_id % 4 < 3),
+            F.concat(F.lit("SDPQueueManager: classic queue full, "), _text("user_id"), F.lit(" waiting")),
+        )
+        .when(
             (kind == "error") & (event_id % 7 == 0),
             F.concat(F.lit("Deauthenticated (reason 0x0"), reason, F.lit(")")),
         )
@@ -86,12 +119,17 @@ def _line_text() -> Column:
     )
 
 
-def log_corpus(spark: SparkSession, sf_dir: str) -> str:
-    """The daily log files written as real ``.log`` files; returns the path to read."""
+def log_corpus(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> str:
+    """The daily log files written as real ``.log`` files; returns the path to read.
+
+    ``chosen`` picks files by their device and day.
+    """
     path = new_folder(spark, "corpus")
+    lines = log_lines(spark, sf_dir, daily=True)
+    if chosen is not None:
+        lines = lines.withColumns(file_parts()).filter(chosen)
     (
-        log_lines(spark, sf_dir, daily=True)
-        .repartition("file")
+        lines.repartition("file")
         .sortWithinPartitions("file", "line_no")
         .select("file", "value")
         .write.partitionBy("file")
@@ -105,6 +143,42 @@ def log_corpus(spark: SparkSession, sf_dir: str) -> str:
     return f"{path}/file=*"
 
 
+def file_parts() -> dict[str, Column]:
+    """Device and day of a daily log."""
+    device, day = (F.regexp_extract("file", r"^f(\d+)-(\d+)", i).cast("bigint") for i in (1, 2))
+    return {"device": device, "day": day}
+
+
+# Files of a training run by directory; the others are scanned.
+NORMAL_FILES = "day = 0 AND device < 2"
+ANOMALY_FILES = "day = 1 AND device = 0"
+
+MD5_DIM = 32
+
+
+def md5_embedding(text: Column) -> Column:
+    """An embedder of plain expressions: each word adds a weight to a slot, both from its md5."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+    def digits(word: Column, at: int, many: int) -> Column:
+        return F.conv(F.substring(F.md5(word.cast("binary")), at, many), 16, 10).cast("bigint")
+
+    parts = F.transform(
+        words,
+        lambda w: F.struct(
+            (digits(w, 1, 8) % MD5_DIM).alias("slot"),
+            (1 + (digits(w, 9, 4) % 997) / F.lit(997.0)).alias("weight"),
+        ),
+    )
+
+    def total(slot: Column) -> Column:
+        own = F.filter(parts, lambda part: part["slot"] == slot)
+        return F.aggregate(own, F.lit(0.0), lambda done, part: done + part["weight"])
+
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(MD5_DIM - 1).cast("bigint"))
+    return F.transform(slots, lambda slot: total(slot).cast("float"))
+
+
 def corpus_file(path: Column) -> Column:
     """Name of a daily log from the path it was written to."""
     return F.regexp_extract(path, r"file=([^/]+)/", 1)
