@@ -60,8 +60,8 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def suffix_blocks(docs: DataFrame) -> list[DataFrame]:
-    """For each round k the suffixes that share their first 2**k lines with another one.
+def suffix_blocks(docs: DataFrame, rounds: int | None = None) -> list[DataFrame]:
+    """For each round k, all or the first ``rounds``, the suffixes that share their first 2**k lines with another one.
 
     Columns id, tag, n, words (of the 2**k lines), rank (in the order of the suffix array) and
     later (whether an earlier suffix has the same lines).
@@ -70,6 +70,8 @@ def suffix_blocks(docs: DataFrame) -> list[DataFrame]:
     levels = []
     while not level.isEmpty():
         levels.append(level)
+        if len(levels) == rounds:
+            break
         step = 1 << (len(levels) - 1)
         ahead = level.select(
             "id",
@@ -152,7 +154,7 @@ def _cut(text: str | None, removed: set[int]) -> tuple[str | None, int, int]:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of the text; n_chars follows it."""
-    cut = _with_cut(docs, later_copies(suffix_blocks(docs)))
+    cut = _with_cut(docs, later_copies(suffix_blocks(docs, MIN_LINES.bit_length())))
     columns = [
         F.col("_cut.kept").alias(c)
         if c == "text"
