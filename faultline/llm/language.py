@@ -20,11 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from faultline.llm.texts import LOWER, remainder, slices, utf8
+from faultline.staging import fits_broadcast, stage
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -89,10 +89,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier | Non
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(
         F.coalesce(remainder("doc_id", FOLDS) != HELD_OUT, F.lit(True))
     ).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    totals = known.groupBy("lang").count()
+    totals = stage(known.groupBy("lang").count(), "languages")
+    side = F.broadcast(totals) if fits_broadcast(totals) else totals
     # The draw by hash leaves little more than the bound for a language, before rows are ranked.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.join(F.broadcast(totals), "lang").filter(
+    drawn = known.join(side, "lang").filter(
         draw * F.col("count") < F.lit(per_language + 5 * per_language**0.5)
     )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))

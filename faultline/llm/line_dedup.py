@@ -61,9 +61,9 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def suffix_blocks(docs: DataFrame, rounds: int | None = None) -> list[DataFrame]:
-    """For each round k, all or the first ``rounds``, the suffixes that share their first 2**k lines with another one.
+    """For each round k the suffixes that share their first 2**k lines with another one.
 
-    Columns id, tag, n, words (of the 2**k lines), rank (in the order of the suffix array) and
+    All rounds, or the first ``rounds``. Columns id, tag, n, words (of the 2**k lines), rank (in the order of the suffix array) and
     later (whether an earlier suffix has the same lines).
     """
     level = _ranked(stage(numbered_lines(docs), "lines"))
