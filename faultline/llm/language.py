@@ -51,9 +51,7 @@ FAMILIES = {
 _FAMILY_OF = {language: family for family, own in FAMILIES.items() for language in own}
 
 # Folds A-Z to a-z and all ASCII that is no letter to a space.
-_FOLD = bytes(
-    b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
+_FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 class Classifier(NamedTuple):
@@ -165,19 +163,25 @@ def _support_vectors(x: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, f
 
 def margins(model: Classifier, texts: list[bytes]) -> np.ndarray:
     """Margins of all machines for each text, (text, machine)."""
-    out = np.empty((len(texts), len(model.bias)))
-    for lo, hi in slices(texts, _SLICE):
-        folded = [fold(text) for text in texts[lo:hi]]
-        codes = trigram_codes(b"".join(folded) + b"  ")
-        ends = np.cumsum([len(f) for f in folded])
-        starts = ends - [len(f) for f in folded]
-        sums = np.concatenate(
-            [np.zeros((1, len(model.bias))), np.cumsum(model.weights[codes], axis=0, dtype=np.float64)]
-        )
-        # The two trigrams at a text's end that reach into the next text are left out.
+    sums, counts = np.zeros((len(texts), len(model.bias))), np.zeros(len(texts))
+    owners, parts = [], []
+    for number, text in enumerate(texts):
+        folded = fold(text)
+        # Parts of a long text overlap by two bytes, so each trigram is in one of them.
+        for at in range(0, max(1, len(folded) - 2), _SLICE):
+            owners.append(number)
+            parts.append(folded[at : at + _SLICE + 2])
+    for lo, hi in slices(parts, _SLICE):
+        codes = trigram_codes(b"".join(parts[lo:hi]) + b"  ")
+        ends = np.cumsum([len(part) for part in parts[lo:hi]])
+        starts = ends - [len(part) for part in parts[lo:hi]]
+        so_far = np.zeros((len(codes) + 1, len(model.bias)))
+        np.cumsum(model.weights[codes], axis=0, out=so_far[1:])
+        # The two trigrams at a part's end that reach into the next one are left out.
         last = np.maximum(ends - 2, starts)
-        out[lo:hi] = (sums[last] - sums[starts]) / np.maximum(1, last - starts)[:, None]
-    return out + model.bias
+        np.add.at(sums, owners[lo:hi], so_far[last] - so_far[starts])
+        np.add.at(counts, owners[lo:hi], last - starts)
+    return sums / np.maximum(1, counts)[:, None] + model.bias
 
 
 def decide(model: Classifier, margin: np.ndarray) -> tuple[str, float]:

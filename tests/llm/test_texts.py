@@ -231,11 +231,15 @@ def test_languages_with_nothing_to_learn(spark):
 def test_margins_of_many_texts_equal_those_of_one():
     rng = random.Random(9)
     texts = [_sentence(rng, n).encode() for n in (1, 5, 50)] + [b"", b"a"]
+    texts.append(_sentence(rng, 400_000).encode())  # longer than a slice
     x = np.random.default_rng(0).random((8, language.BUCKETS)).astype(np.float32)
     model = language.fit(x, ["en", "de", "fr", "es"] * 2)
     together = language.margins(model, texts)
     for text, row in zip(texts, together):
         assert np.allclose(language.margins(model, [text])[0], row)
+        codes = language.trigram_codes(language.fold(text)) if text else []
+        mean = model.weights[codes].mean(axis=0, dtype=np.float64) if len(codes) else 0
+        assert np.allclose(mean + model.bias, row)
 
 
 # --- chat formatting ---
