@@ -15,8 +15,8 @@
    few bytes before and after these words are compared directly.
 4. All spans of a document are joined to its text and cut out.
 
-Every group that meets in one task is a bucket by hash; hot contexts are folded together before
-they are sent. Anchors with more than ``HOT`` different contexts go another exact way: each of
+Rows meet in tasks by the hash of their anchor, sorted, and are decided a part at a time; hot
+contexts are folded together before they are sent. Anchors with more than ``HOT`` different contexts go another exact way: each of
 their strings is a row under its 128-bit digest, and the first start per digest is a plain minimum.
 
 Defined cases: null and empty texts and those under LENGTH bytes lose nothing. Documents come in
@@ -44,10 +44,10 @@ LENGTH = 100
 ANCHOR = 20
 WORD = 8
 BUFFER = 1 << 20  # bytes hashed at a time
-FLUSH = 64 << 20  # bytes of text whose records are folded together before they are sent
-BUCKET_BYTES = 32 << 20  # bytes of text whose records meet in one bucket
-BUCKET_CONTEXTS = 40_000
-HOT = 100_000
+FLUSH = 32 << 20  # bytes of text whose records are folded together before they are sent
+ROWS = 200_000  # sorted rows that are decided at a time
+BUCKET_CONTEXTS = 10_000
+HOT = 20_000
 
 _BASE = 0x9E3779B97F4A7C15
 _RECORD = {"anchor": "<u8", "context": "<u8", "doc": "<u4", "at": "<i8", "before": "u1", "owned": "u1"}
@@ -161,17 +161,26 @@ def _first_of_equal(names: list[str], columns: Columns) -> tuple[np.ndarray, np.
 
     A later copy starts elsewhere than the group's first row.
     """
-    place = ["id", "tag", "at"]
-    order = np.lexsort([columns[name] for name in [*names, *place][::-1]])
-    first = np.ones(len(order), bool)
-    if len(order) > 1:
-        first[1:] = np.any([columns[n][order][1:] != columns[n][order][:-1] for n in names], axis=0)
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    later = np.zeros(len(order), bool)
-    for name in place:
+    order = np.lexsort([columns[name] for name in [*names, "id", "tag", "at"][::-1]])
+    return order, *_groups(names, columns, order)
+
+
+def _groups(
+    names: list[str], columns: Columns, order: np.ndarray | slice = slice(None)
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of ordered rows, which start a group of equal names, and which are later copies."""
+    n = len(columns[names[0]])
+    first = np.zeros(n, bool)
+    first[:1] = True
+    for name in names:
+        own = columns[name][order]
+        first[1:] |= own[1:] != own[:-1]
+    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    later = np.zeros(n, bool)
+    for name in ("id", "tag", "at"):
         own = columns[name][order]
         later |= own != own[head]
-    return order, first, later
+    return first, later
 
 
 def _merged(spans: Columns) -> Columns:
@@ -210,7 +219,28 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-_RECORDS = "bucket long, n int, n_docs int, n_spans int, records binary, docs binary, spans binary"
+_ROWS = "anchor long, context long, id long, tag int, place long, span_end long"
+
+
+def _row_batch(rows: Columns, spans: Columns) -> pa.RecordBatch:
+    """Records, and spans (context null) under a hash of their own."""
+    own_hash = _mix(spans["id"].astype(np.uint64) * np.uint64(_BASE) + spans["start"].astype(np.uint64))
+    n, m = len(rows["id"]), len(spans["id"])
+    spans_only, records_only = np.r_[np.zeros(n, bool), np.ones(m, bool)], np.r_[np.ones(n, bool), np.zeros(m, bool)]
+    columns = [
+        pa.array(np.r_[rows["anchor"], own_hash].view(np.int64)),
+        pa.array(np.r_[rows["context"].view(np.int64), np.zeros(m, np.int64)], mask=spans_only),
+        pa.array(np.r_[rows["id"], spans["id"]], pa.int64()),
+        pa.array(np.r_[rows["tag"], spans["tag"]], pa.int32()),
+        pa.array(np.r_[_place(rows), spans["start"]], pa.int64()),
+        pa.array(np.r_[np.zeros(n, np.int64), spans["end"]], pa.int64(), mask=records_only),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _ROWS.split(", ")])
+
+
+def _place(rows: Columns) -> np.ndarray:
+    """Anchor, bytes before it and strings owned in one number, ordered by the anchor's place."""
+    return (rows["at"] << 16) | (rows["before"].astype(np.int64) << 8) | rows["owned"]
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -249,32 +279,13 @@ def _reader(flush):
     return read
 
 
-def _send_records(buckets: int, hot: np.ndarray):
-    """Records of anchors that are not hot, for their buckets; spans of local later copies."""
+def _send_records(hot: np.ndarray):
+    """Records of anchors that are not hot, one of each context; spans of local later copies."""
 
-    def flush(rows: Columns, named: Columns, _: list[bytes]) -> pa.RecordBatch:
+    def flush(rows: Columns, _: Columns, __: list[bytes]) -> pa.RecordBatch:
         rows = _take(rows, np.flatnonzero(~np.isin(rows["anchor"], hot)))
         order, first, later = _first_of_equal(["anchor", "context"], rows)
-        spans = _merged(_covered(_take(rows, order[later])))
-        rows = _take(rows, order[first])
-        bucket = _bucket_of(rows["anchor"], buckets)
-        span_bucket = _bucket_of(spans["id"].astype(np.uint64) << np.uint64(32), buckets)
-        out = []
-        for number in np.union1d(bucket, span_bucket).tolist():
-            own, cover = _take(rows, bucket == number), _take(spans, span_bucket == number)
-            docs, own["doc"] = np.unique(own["doc"], return_inverse=True)
-            out.append(
-                (
-                    number,
-                    len(own["doc"]),
-                    len(docs),
-                    len(cover["id"]),
-                    _packed(own, _RECORD),
-                    _packed(_take(named, docs), _DOCS),
-                    _packed(cover, _SPAN),
-                )
-            )
-        return _batch(_RECORDS, out)
+        return _row_batch(_take(rows, order[first]), _merged(_covered(_take(rows, order[later]))))
 
     return _reader(flush)
 
@@ -283,25 +294,48 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """Of the records of a bucket: spans of later copies, and contexts that must be compared."""
-    parts, spans = [], []
-    for row in table.to_pylist():
-        own = _unpacked(row["records"], row["n"], _RECORD)
-        parts.append({**own, **_take(_unpacked(row["docs"], row["n_docs"], _DOCS), own["doc"])})
-        spans.append(_unpacked(row["spans"], row["n_spans"], _SPAN))
-    rows = _joined(parts, {**_RECORD, **_DOCS})
-    by_anchor = np.argsort(rows["anchor"], kind="stable")
-    equal = rows["anchor"][by_anchor][1:] == rows["anchor"][by_anchor][:-1]
-    rows = _take(rows, by_anchor[np.r_[False, equal] | np.r_[equal, False]] if len(equal) else [])
-    order, first, later = _first_of_equal(["anchor", "context"], rows)
-    spans.append(_covered(_take(rows, order[later])))
-
-    compared = _take(rows, order[first])  # one of each context, by anchor
-    anchor = compared["anchor"]
-    same = anchor[1:] == anchor[:-1]
-    compared = _take(compared, np.r_[False, same] | np.r_[same, False] if len(anchor) else [])
-    return pa.concat_tables([_marks(_merged(_joined(spans, _SPAN)), None), _marks(None, compared)])
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor and context: spans of later copies, contexts to be compared."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            anchor = rows["anchor"].to_numpy()
+            whole = int(np.searchsorted(anchor != anchor[-1], False))  # the last one may go on
+            if whole:
+                yield from _decided(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+            size = len(rows) - whole
+    if held:
+        yield from _decided(pa.Table.from_batches(held))
+
+
+def _decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    is_span = table["context"].is_null().to_numpy()
+    columns = {name: table[name].fill_null(0).to_numpy() for name in table.column_names}
+    given, rows = _take(columns, is_span), _take(columns, ~is_span)
+    spans = [{"id": given["id"], "tag": given["tag"], "start": given["place"], "end": given["span_end"]}]
+    rows = {
+        "anchor": rows["anchor"],
+        "context": rows["context"],
+        "id": rows["id"],
+        "tag": rows["tag"],
+        "at": rows["place"] >> 16,
+        "before": rows["place"] >> 8 & 255,
+        "owned": rows["place"] & 255,
+    }
+    first, later = _groups(["anchor", "context"], rows)
+    spans.append(_covered(_take(rows, later)))
+
+    compared = _take(rows, first)  # one of each context, by anchor
+    same = compared["anchor"][1:] == compared["anchor"][:-1]
+    if len(compared["anchor"]):
+        compared = _take(compared, np.r_[False, same] | np.r_[same, False])
+    yield from _marks(_merged(_joined(spans, _SPAN)), None).to_batches()
+    yield from _marks(None, compared).to_batches()
 
 
 _MARKS = "id long, tag int, spans array<long>, anchors array<long>, places array<long>"
@@ -320,9 +354,7 @@ def _marks(spans: Columns | None, contexts: Columns | None) -> pa.Table:
         flat = np.stack([rows["start"][order], rows["end"][order]], axis=1).ravel()
         lists = [_lists(2 * bounds, flat), none, none]
     else:
-        place = (rows["at"] << 16) | (rows["before"].astype(np.int64) << 8) | rows["owned"]
-        anchors = rows["anchor"].view(np.int64)
-        lists = [none, _lists(bounds, anchors[order]), _lists(bounds, place[order])]
+        lists = [none, _lists(bounds, rows["anchor"][order]), _lists(bounds, _place(rows)[order])]
     columns = [pa.array(id_[at], pa.int64()), pa.array(tag[at], pa.int32()), *lists]
     return pa.table(columns, names=["id", "tag", "spans", "anchors", "places"])
 
@@ -593,13 +625,13 @@ def _hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 # --- the operator -----------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Byte spans to remove by document: id, tag, spans (start, end, start, end, ...)."""
     keyed = _with_key(docs)
-    size = keyed.agg(F.sum(F.octet_length("utf8")).alias("n")).first()["n"] or 0
     anchors = _hot_anchors(keyed, hot)
-    sent = keyed.mapInArrow(_send_records(-(-size // bucket_bytes) or 1, anchors), _RECORDS)
-    marks = stage(sent.groupBy("bucket").applyInArrow(_decide, _MARKS), "repeat-marks")
+    sent = keyed.mapInArrow(_send_records(anchors), _ROWS)
+    by_anchor = sent.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "tag", "place")
+    marks = stage(by_anchor.mapInArrow(_decide, _MARKS), "repeat-marks")
 
     contexts = marks.filter(F.size("anchors") > 0)
     many = contexts.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0
@@ -635,9 +667,9 @@ def _compressed(docs: DataFrame, *columns: Column) -> DataFrame:
 _CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
-    spans = stage(repeated_spans(docs, bucket_bytes, hot), "repeat-spans")
+    spans = stage(repeated_spans(docs, hot), "repeat-spans")
 
     @F.pandas_udf(_CUT)
     def cut(texts, spans):
