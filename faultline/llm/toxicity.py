@@ -157,7 +157,7 @@ def _telling_terms(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray
         ratio += _log_share(own, n * both) + _log_share(n - own, n * (1 - both))
     candidates = max(2, np.count_nonzero(both))
     best = np.argsort(-ratio, kind="stable")[:TERMS]
-    return np.sort(best[ratio[best] > 2 * np.log(candidates)])
+    return np.sort(best[ratio[best] > np.log(candidates)])
 
 
 def _log_share(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
