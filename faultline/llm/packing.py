@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,8 +38,8 @@ _GROUP_BITS = 24  # places for windows within a group's sequence numbers
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 # Before a space that stands between two visible characters a new word begins for the tokenizer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_WIDE_GAP = re.compile(r"\s\s|\A\s|\s\Z")
-_CACHE_WORDS = 400_000
+_MARKS = ".,;:!?%*&$#|)"
+_CACHE_WORDS = 500_000
 _CACHED_CHARS = 48
 _caches: dict[str, tuple] = {}
 
@@ -46,37 +47,63 @@ _caches: dict[str, tuple] = {}
 def token_ids(texts: list[str], tokenizer: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers, without an end id.
 
-    Words are encoded once and remembered: cutting where the tokenizer's own rule always cuts
-    gives the same ids as the whole text.
+    The tokenizer's rule always cuts before a space between two visible characters, and between a
+    letter and punctuation. So words are encoded once and remembered, without the punctuation at
+    their end, and the ids are those of the whole text.
     """
     if tokenizer not in _caches:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        loaded = Tokenizer.from_file(tokenizer)
+        loaded, uncut = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
         loaded.encode_special_tokens = True  # a text cannot hold control tokens
-        _caches[tokenizer] = (loaded, {})
-    loaded, known = _caches[tokenizer]
-    if len(known) > _CACHE_WORDS:
-        known.clear()
+        # The rule keeps a space and letters together, so these need not be searched for cuts.
+        uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        _caches[tokenizer] = (loaded, uncut, {}, {})
+    # Ids of words after a space, which is not part of the key, and of anything else.
+    loaded, uncut, words, others = _caches[tokenizer]
+    for known in (words, others):
+        if len(known) > _CACHE_WORDS:
+            known.clear()
     parts = [_words(text) for text in texts]
-    new = list({word for words in parts for word in words if word not in known})
-    encoded = loaded.encode_batch_fast(new, add_special_tokens=False)
-    fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded)}
-    del encoded
-    known.update(fresh)
-    ids = [b"".join(map(known.__getitem__, words)) for words in parts]
-    for word in fresh:
-        if len(word) > _CACHED_CHARS:
-            del known[word]
-    return ids
-
-
-def _words(text: str) -> list[str]:
-    if _WIDE_GAP.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + word for word in rest]]
+    # Words that end in marks, by what comes before them.
+    ended: dict[str, str] = {}
+    new = set().union(*(rest for _, rest in parts)).difference(words)
+    for word in new:
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and stem[-1:].isalpha():
+            ended[word] = stem
+    stems = new.difference(ended).union(ended.values()).difference(words)
+    ends = {word[len(stem) :] for word, stem in ended.items()}
+    heads = ends.union(first for first, _ in parts).difference(others)
+    letters = [stem for stem in stems if stem.isalpha()]
+    mixed = [stem for stem in stems if not stem.isalpha()]
+    words.update(zip(letters, _encoded(uncut, [" " + word for word in letters])))
+    words.update(zip(mixed, _encoded(loaded, [" " + word for word in mixed])))
+    others.update(zip(heads, _encoded(loaded, list(heads))))
+    words.update((word, words[stem] + others[word[len(stem) :]]) for word, stem in ended.items())
+    out = [others[first] + b"".join(map(words.__getitem__, rest)) for first, rest in parts]
+    for known, added in ((words, new), (words, stems), (others, heads)):
+        for word in added:
+            if len(word) > _CACHED_CHARS:
+                known.pop(word, None)
+    return out
+
+
+def _encoded(loaded, texts: list[str]) -> list[bytes]:
+    encoded = loaded.encode_batch_fast(texts, add_special_tokens=False)
+    return [array("I", e.ids).tobytes() for e in encoded]
+
+
+def _words(text: str) -> tuple[str, list[str]]:
+    """What comes before the first cut, and the words after the cuts less their space."""
+    flat = text.replace("\n", " ")
+    # Printable text has no other white space.
+    if flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " ":
+        first, *rest = text.split(" ")
+        return first, rest
+    first, *rest = _CUT.split(text)
+    return first, [word[1:] for word in rest]
 
 
 def token_pieces(
