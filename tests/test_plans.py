@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import find, scan, train
-from faultline.sources.logs import read_lines
+from faultline.operators.assemble import assemble_entries
+from faultline.plans.train import with_positions
+from faultline.sinks.reports import write_documents
+from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import load_model
 
 HEALTHY = [
@@ -112,3 +115,37 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, corpora, tmp_path):
         assert run("1") == run("7")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_positions_of_very_many_files(spark):
+    rows = [(2**25 + 1, 1, "b"), (2**25 + 1, 2, "c"), (2**40, 1, "d"), (5, 3, "a")]
+    lines = spark.createDataFrame(rows, "file_ord BIGINT, line_no BIGINT, message STRING")
+    placed = with_positions(lines, lines.select("file_ord", "line_no")).orderBy("pos").collect()
+    assert [(r["pos"], r["message"]) for r in placed] == [(3, "a"), (4, "b"), (5, "c"), (6, "d")]
+
+
+def test_a_file_that_was_not_listed_is_an_error(spark, write_log):
+    folder = write_log("a.log", HEALTHY, "late")
+    files = list_files(spark, folder).cache()
+    assert files.count() == 1
+    write_log("b.log", HEALTHY, "late")
+    with pytest.raises(Exception, match="not among the listed files"):
+        read_lines(spark, folder, files).collect()
+
+
+def test_old_reports_go_in_any_overwrite_mode(spark, tmp_path):
+    name = "spark.sql.sources.partitionOverwriteMode"
+    spark.conf.set(name, "dynamic")
+    try:
+        for file in ("/x/old.log", "/x/new.log"):
+            report = spark.createDataFrame([(file, 0, "text")], "file STRING, seq INT, text STRING")
+            write_documents(report, str(tmp_path / "json"), ".json")
+    finally:
+        spark.conf.unset(name)
+    assert [p.name for p in (tmp_path / "json").glob("report=*")] == ["report=new.json"]
+
+
+def test_lines_are_shuffled_and_sorted_once_for_entries(spark):
+    lines = spark.createDataFrame([("f", 1, HEALTHY[0]), ("f", 2, " tail")], "file STRING, line_no BIGINT, value STRING")
+    plan = assemble_entries(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Window") == 1
