@@ -39,8 +39,10 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 # Before a space that stands between two visible characters a new word begins for the tokenizer.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = ".,;:!?%*&$#|)"
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 300_000
 _CACHED_CHARS = 48
+_ENCODED_AT_A_TIME = 4096
+_CHARS_AT_A_TIME = 2 << 20
 _caches: dict[str, tuple] = {}
 
 
@@ -59,40 +61,53 @@ def token_ids(texts: list[str], tokenizer: str) -> list[bytes]:
         loaded.encode_special_tokens = True  # a text cannot hold control tokens
         # The rule keeps a space and letters together, so these need not be searched for cuts.
         uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        _caches[tokenizer] = (loaded, uncut, {}, {})
-    # Ids of words after a space, which is not part of the key, and of anything else.
-    loaded, uncut, words, others = _caches[tokenizer]
-    for known in (words, others):
-        if len(known) > _CACHE_WORDS:
-            known.clear()
+        _caches[tokenizer] = (loaded, uncut, {}, {}, {})
+    # Ids of words after a space, which is not part of the key: those met again, and those of the
+    # last call, most of which never are. Then ids of anything else.
+    loaded, uncut, known, recent, others = _caches[tokenizer]
+    for cache in (known, others):
+        if len(cache) > _CACHE_WORDS:
+            cache.clear()
     parts = [_words(text) for text in texts]
+    here = set().union(*(rest for _, rest in parts))
+    again = here.intersection(recent)
+    known.update((word, recent[word]) for word in again if len(word) <= _CACHED_CHARS)
+    words = {word: known[word] for word in here.intersection(known)}
     # Words that end in marks, by what comes before them.
     ended: dict[str, str] = {}
-    new = set().union(*(rest for _, rest in parts)).difference(words)
+    new = here.difference(words)
     for word in new:
         stem = word.rstrip(_MARKS)
         if len(stem) < len(word) and stem[-1:].isalpha():
             ended[word] = stem
-    stems = new.difference(ended).union(ended.values()).difference(words)
+    stems = new.difference(ended).union(ended.values())
+    recent.clear()
+    recent.update((stem, known[stem]) for stem in stems.intersection(known))
+    stems.difference_update(recent)
     ends = {word[len(stem) :] for word, stem in ended.items()}
-    heads = ends.union(first for first, _ in parts).difference(others)
+    heads = ends.union(first for first, _ in parts)
+    missing = list(heads.difference(others))
     letters = [stem for stem in stems if stem.isalpha()]
     mixed = [stem for stem in stems if not stem.isalpha()]
-    words.update(zip(letters, _encoded(uncut, [" " + word for word in letters])))
-    words.update(zip(mixed, _encoded(loaded, [" " + word for word in mixed])))
-    others.update(zip(heads, _encoded(loaded, list(heads))))
-    words.update((word, words[stem] + others[word[len(stem) :]]) for word, stem in ended.items())
+    recent.update(zip(letters, _encoded(uncut, [" " + word for word in letters])))
+    recent.update(zip(mixed, _encoded(loaded, [" " + word for word in mixed])))
+    others.update(zip(missing, _encoded(loaded, missing)))
+    recent.update((word, recent[stem] + others[word[len(stem) :]]) for word, stem in ended.items())
+    words.update(recent)
     out = [others[first] + b"".join(map(words.__getitem__, rest)) for first, rest in parts]
-    for known, added in ((words, new), (words, stems), (others, heads)):
-        for word in added:
-            if len(word) > _CACHED_CHARS:
-                known.pop(word, None)
+    for head in missing:
+        if len(head) > _CACHED_CHARS:
+            del others[head]
     return out
 
 
 def _encoded(loaded, texts: list[str]) -> list[bytes]:
-    encoded = loaded.encode_batch_fast(texts, add_special_tokens=False)
-    return [array("I", e.ids).tobytes() for e in encoded]
+    ids: list[bytes] = []
+    for at in range(0, len(texts), _ENCODED_AT_A_TIME):
+        some = texts[at : at + _ENCODED_AT_A_TIME]
+        encoded = loaded.encode_batch_fast(some, add_special_tokens=False)
+        ids.extend(array("I", e.ids).tobytes() for e in encoded)
+    return ids
 
 
 def _words(text: str) -> tuple[str, list[str]]:
@@ -120,7 +135,7 @@ def token_pieces(
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, _CHARS_AT_A_TIME):
                 rows = []
                 for doc_id, ids in zip(doc_ids[lo:hi], token_ids(texts[lo:hi], tokenizer)):
                     ids += END_ID.to_bytes(4, "little")
