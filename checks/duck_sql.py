@@ -403,6 +403,15 @@ _LOG_DIRECTORIES = (
     ),
     _mining("positioned", "trained"), _matching("positioned"), NEAR,
 )
+_ALL_DIRECTORIES = (
+    DAILY, ENTRIES,
+    _log_masked(
+        "row_number() OVER (ORDER BY day > 0, file, line_no)",
+        """,
+    day <= 0 AS healthy, true AS trained""",
+    ),
+    _mining("positioned", "trained"), _matching("positioned"), NEAR,
+)
 _SCANNED = "file NOT IN ('f0-0.log', 'f1-0.log', 'f0-1.log')"
 _FIND = (
     *_LOG_DIRECTORIES, _rare("healthy", "answers"), HITS, CLUSTERS, TRIGGERS, CONTEXT,
@@ -588,6 +597,14 @@ WHERE event_id NOT IN (SELECT event_id FROM matched WHERE event_id IS NOT NULL)"
 SELECT event_id, t.template, coalesce(n_lines, 0) AS n_lines, coalesce(normal, false) AS normal,
   round(coalesce(list_sum(v) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 0), 4)
     AS vec_sum
+FROM templates t JOIN template_vectors USING (event_id) LEFT JOIN used USING (event_id)""",
+    "train_all_directories": _with(*_ALL_DIRECTORIES, recursive=True) + f"""
+, used AS (
+  SELECT event_id, count(*) AS n_lines, bool_or(healthy) AS normal
+  FROM positioned JOIN matched USING (masked) WHERE trained GROUP BY event_id)
+SELECT event_id, t.template, coalesce(n_lines, 0) AS n_lines, coalesce(normal, false) AS normal,
+  round(coalesce(list_sum(v) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))), 0), 0), 4)
+    AS vec_sum
 FROM templates t JOIN template_vectors USING (event_id) LEFT JOIN used USING (event_id)""",
     "find_reports": _with(*_FIND, recursive=True) + f"""
 , chosen AS (SELECT * FROM verdicts WHERE {_SCANNED})

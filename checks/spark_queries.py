@@ -443,12 +443,17 @@ def find_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _train_directories(spark: SparkSession, sf_dir: str) -> str:
+def _train_directories(
+    spark: SparkSession,
+    sf_dir: str,
+    normal: str = tables.NORMAL_FILES,
+    anomaly: str = tables.ANOMALY_FILES,
+) -> str:
     model_dir = new_folder(spark, "model")
     train(
         spark,
-        tables.log_corpus(spark, sf_dir, F.expr(tables.NORMAL_FILES)),
-        tables.log_corpus(spark, sf_dir, F.expr(tables.ANOMALY_FILES)),
+        tables.log_corpus(spark, sf_dir, F.expr(normal)),
+        tables.log_corpus(spark, sf_dir, F.expr(anomaly)),
         model_dir,
         embedder=tables.md5_embedding,
     )
@@ -456,8 +461,21 @@ def _train_directories(spark: SparkSession, sf_dir: str) -> str:
 
 
 def train_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training on two directories of log files, as saved: templates, vectors, healthy ids."""
-    model = load_model(spark, _train_directories(spark, sf_dir))
+    """Training on two small directories, three files in all, as saved.
+
+    ``train_all_directories`` trains on every file.
+    """
+    return _saved_model(load_model(spark, _train_directories(spark, sf_dir)))
+
+
+def train_all_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training on two directories that hold every daily file between them, as saved."""
+    model_dir = _train_directories(spark, sf_dir, tables.HEALTHY_FILES, tables.OTHER_FILES)
+    return _saved_model(load_model(spark, model_dir))
+
+
+def _saved_model(model: Model) -> DataFrame:
+    """Templates, sums of their vectors, healthy ids."""
     total = F.aggregate("vec", F.lit(0.0), lambda done, x: done + x.cast("double"))
     return (
         model.templates.join(model.embeddings.select("event_id", "vec"), "event_id")
@@ -524,5 +542,6 @@ QUERIES: dict[str, Query] = {
     "train_job": train_job,
     "find_job": find_job,
     "train_directories": train_directories,
+    "train_all_directories": train_all_directories,
     "find_reports": find_reports,
 }
