@@ -12,8 +12,9 @@ hash, and then decides on every candidate that does not overlap a base span.
 Documents are read twice, map-only each time; only vote counts and the sample leave the tasks.
 
 Defined cases: null and empty texts have no spans; offsets are code points of the whole text, end
-exclusive; of overlapping additional spans the first by (start, kind) stays; repeated rows get
-equal answers. Without any candidate nothing is learned and only base spans are returned.
+exclusive; of overlapping additional spans the first by (start, kind) stays; a secret ends where its
+value ends, and one that overlaps base spans is a candidate in the parts beside them; repeated rows
+get equal answers. Without any candidate nothing is learned and only base spans are returned.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ _LOOSE = {
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "secret": re.compile(
-        r"(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[\w/+.=-]{4,128}"
-        r"|(?<!\w)(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,128}",
+        r"(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[\w/+.=-]{4,}+"
+        r"|(?<!\w)(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+",
         re.I,
     ),
     "name": re.compile(
@@ -152,7 +153,7 @@ def _luhn(text: str) -> bool:
 
 
 def candidates(text: str) -> list[Span]:
-    """Base spans, and loose ones that overlap none of them."""
+    """Base spans, and loose ones that overlap none of them, secrets in their parts beside them."""
     spans = base_spans(text)
     lowered = text.lower()
     digits = _DIGIT.search(text) is not None
@@ -170,14 +171,33 @@ def candidates(text: str) -> list[Span]:
         if wanted[kind]
         for match in form.finditer(text)
     ]
-    taken = sorted((s.start, s.end) for s in spans)
-    for span in sorted(loose, key=lambda s: (s.start, s.kind)):
-        if not _overlaps(taken, span):
-            spans.append(span)
-            insort(taken, (span.start, span.end))
+    base = sorted((s.start, s.end) for s in spans)
+    taken = base.copy()
+    for found in sorted(loose, key=lambda s: (s.start, s.kind)):
+        for span in _beside(text, found, base) if found.kind == "secret" else [found]:
+            if not _overlaps(taken, span):
+                spans.append(span)
+                insort(taken, (span.start, span.end))
     return spans
 
 
+def _beside(text: str, secret: Span, base: list[tuple[int, int]]) -> Iterator[Span]:
+    """The parts of a secret between base spans: the first if it has the form, others by length."""
+    first = max(0, bisect_left(base, (secret.start, -1)) - 4)
+    inner = [s for s in base[first : bisect_left(base, (secret.end, -1))] if s[1] > secret.start]
+    if not inner:
+        yield secret
+        return
+    head = _LOOSE["secret"].match(text, secret.start, max(secret.start, inner[0][0]))
+    if head:
+        yield Span("secret", *head.span(), False)
+    done = inner[0][1]
+    for start, end in [*inner[1:], (secret.end, secret.end)]:
+        if start - done >= 4:
+            yield Span("secret", done, start, False)
+        done = max(done, end)
+
+
 def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
     at = bisect_left(taken, (span.end, -1))
     # Base spans of two kinds may overlap each other, so a few earlier ones are looked at.
