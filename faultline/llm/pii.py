@@ -6,8 +6,9 @@ before and after, shape, checksum) each vote for, against or not at all on every
 spans included. There are few different vote patterns, so Spark counts them over all documents and
 expectation-maximisation runs on the counts: it estimates each labeler's reliability per kind and
 the chance that a vote pattern marks personal data. A logistic classifier of hashed span and
-neighbour features learns these chances from at most ``SAMPLE`` candidates, those with the smallest
-hash, and then decides on every candidate that does not overlap a base span.
+neighbour features learns these chances from at most ``SAMPLE`` different candidates, those whose
+neighbourhoods have the smallest hash, each weighted by its copies, and then decides on every
+candidate that does not overlap a base span.
 
 Documents are read twice, map-only each time; only vote counts and the sample leave the tasks.
 
@@ -29,7 +30,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from faultline.staging import stage
@@ -325,15 +326,17 @@ def reliabilities(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], f
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """Weights of the span classifier, the last one its bias; None without candidates."""
     rows = stage(vote_rows(docs), "candidates")
+    # Copies of a passage are one neighbourhood, so the draw is among different ones.
+    several = rows.groupBy("mark", "kind", "votes").agg(F.count(F.lit(1)).alias("many"))
     # At most 3 ** LABELERS patterns for each kind.
-    counted = rows.groupBy("kind", "votes").count().collect()
-    chance = reliabilities({(r["kind"], r["votes"]): r["count"] for r in counted})
-    # Marks are even over 56 bits; the draw leaves little more than the bound to be ordered.
-    share = (sample + 5 * sample**0.5) / max(1, sum(r["count"] for r in counted))
-    drawn = rows.filter(F.col("mark") < int(min(1.0, share) * (1 << 56)))
-    drawn = drawn.orderBy("mark", "kind", "votes").limit(sample).collect()
-    if not drawn:
+    counted = several.groupBy("kind", "votes")
+    counted = counted.agg(F.sum("many").alias("many"), F.count(F.lit(1)).alias("different")).collect()
+    if not counted:
         return None
+    chance = reliabilities({(r["kind"], r["votes"]): r["many"] for r in counted})
+    drawn = _drawn(rows, sample, sum(r["different"] for r in counted))
+    many = np.array([r["many"] for r in drawn], np.float64)
+    many /= many.sum()
     owners = np.repeat(np.arange(len(drawn)), [len(r["features"]) for r in drawn])
     places = np.concatenate([r["features"] for r in drawn]).astype(np.int64)
     target = np.array([chance[r["kind"], r["votes"]] for r in drawn])
@@ -341,7 +344,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     speed = np.zeros(FEATURES + 1) + 1e-8
     for _ in range(150):
         margin = np.bincount(owners, weights[places], minlength=len(drawn)) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - target) / len(drawn)
+        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - target) * many
         grad = np.append(np.bincount(places, error[owners], minlength=FEATURES), error.sum())
         grad += 1e-5 * weights
         speed += grad**2
@@ -349,6 +352,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     return weights
 
 
+def _drawn(rows: DataFrame, sample: int, different: int) -> list[Row]:
+    """The ``sample`` different candidates with the smallest marks, and how many there are of each."""
+    named = ["mark", "kind", "votes", "features"]
+    # Marks are even over 56 bits; the draw leaves little more than the bound to be ordered.
+    share = (sample + 5 * sample**0.5) / different
+    while True:
+        below = rows.filter(F.col("mark") < int(share * (1 << 56))) if share < 1 else rows
+        drawn = below.groupBy(named).agg(F.count(F.lit(1)).alias("many")).orderBy(named).limit(sample).collect()
+        if share >= 1 or len(drawn) >= sample:
+            return drawn
+        share *= 4  # several candidates may share a mark, so the draw can come up short
+
+
 def find_spans(text: str, weights: np.ndarray | None) -> list[Span]:
     """Base spans, and the candidates that the classifier accepts, by kind and start."""
     kept = [
