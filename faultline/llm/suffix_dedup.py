@@ -294,23 +294,34 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and context: spans of later copies, contexts to be compared."""
+def _decide(batches: Iterator[pa.RecordBatch], most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor and context: spans of later copies, contexts to be compared.
+
+    Whole anchors are decided once about ``most`` rows are held; only a larger anchor holds more.
+    """
+    for part in _whole_anchors(batches, most):
+        yield from _decided(part)
+
+
+def _whole_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in parts that end with the last row of an anchor."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, due = 0, most
     for batch in batches:
         held.append(batch)
         size += len(batch)
-        if size >= ROWS:
+        if size >= due:
             rows = pa.Table.from_batches(held).combine_chunks()
             anchor = rows["anchor"].to_numpy()
-            whole = int(np.searchsorted(anchor != anchor[-1], False))  # the last one may go on
+            whole = int(np.argmax(anchor == anchor[-1]))  # the last one may go on
             if whole:
-                yield from _decided(rows.slice(0, whole))
+                yield rows.slice(0, whole)
             held = rows.slice(whole).to_batches()
             size = len(rows) - whole
+            # An anchor beyond the bound is joined anew only when it has doubled.
+            due = max(most, 2 * size)
     if held:
-        yield from _decided(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
 def _decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
