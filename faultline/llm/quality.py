@@ -2,11 +2,11 @@
 
 Repetitive text compresses too well, random text hardly at all. How well clean prose compresses
 depends on its length, so each band of lengths has its own limits, for the whole document and
-for fixed chunks of it. A document is rejected when its whole ratio is outside its band, or when
+for fixed chunks of it, the last of which are its final bytes. A document is rejected when its whole ratio is outside its band, or when
 too many of its chunks are outside the chunk limits.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept. Texts
-shorter than the first band have no compression verdict. Repeated rows are judged one by one, so
+shorter than the first band have no compression verdict, those shorter than a chunk only the whole one. Repeated rows are judged one by one, so
 each gets the same verdict. Columns beside ``text`` are not looked at.
 """
 
@@ -104,10 +104,15 @@ def _row(text: bytes, bands: tuple[Band, ...], compress) -> tuple:
 
 
 def compression(text: bytes, compress) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks outside the chunk limits."""
+    """Ratio of the whole text, and the share of its chunks outside the chunk limits.
+
+    The last chunk ends with the text and may overlap the one before, so chunks cover every byte.
+    """
     if not text:
         return 0.0, 0.0
-    starts = range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)
+    starts = [*range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if starts and len(text) % CHUNK_BYTES:
+        starts.append(len(text) - CHUNK_BYTES)
     chunks = [len(compress(text[at : at + CHUNK_BYTES])) / CHUNK_BYTES for at in starts]
     outside = sum(not CHUNK_BAND.low <= c <= CHUNK_BAND.high for c in chunks)
     return len(compress(text)) / len(text), outside / max(1, len(chunks))
