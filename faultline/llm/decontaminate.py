@@ -7,8 +7,9 @@ not move, the block's hash leads to the few patterns that end with it, and the w
 Many places of a slice of texts are searched in step, so each step is one array operation.
 
 The benchmark is measured before it is sent to the executors. Beyond ``BLOCK_BYTES`` it is cut
-into blocks by item, all documents are searched for one block after the other, and the spans that
-were found are written in between.
+into blocks of distinct (item, text) rows, all documents are searched for one block after the other,
+and the spans that were found are written in between. Each block is measured, and dealt again while
+it is beyond the bound and has more than one row.
 
 Defined cases: a null or empty text has no words and is not contaminated; items without words
 never match; rows that share an item_id are one item; an item without an item_id counts as the
@@ -244,12 +245,34 @@ def _send(docs: DataFrame, items: DataFrame):
 
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Distinct rows of the benchmark in blocks of at most ``block_bytes``, or of one row."""
     name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
     items = benchmark.select(name.alias("name"), utf8().alias("_utf8"))
-    size = items.agg(F.sum(F.octet_length("_utf8") + 64).alias("n")).first()["n"] or 0
-    count = -(-size // block_bytes) or 1
-    if count == 1:
+    size, _ = _measured(items).first()
+    if size <= block_bytes:
         return [items]
-    # Items are dealt out by hash, so twice as many blocks keep all near the bound.
-    block: Column = F.pmod(F.xxhash64("name"), F.lit(2 * count))
-    return [items.filter(block == number) for number in range(2 * count)]
+    items = stage(items.distinct(), "benchmark")
+    whole = _measured(items).first()
+    return _dealt(items, *whole, block_bytes, 0)
+
+
+def _measured(items: DataFrame, *keys: Column) -> DataFrame:
+    """Bytes and number of items."""
+    size = F.coalesce(F.sum(F.octet_length("_utf8") + 64), F.lit(0))
+    return items.groupBy(*keys).agg(size.alias("size"), F.count(F.lit(1)).alias("many"))
+
+
+def _dealt(items: DataFrame, size: int, many: int, block_bytes: int, depth: int) -> list[DataFrame]:
+    if size <= block_bytes or many == 1:
+        return [items]
+    # Dealt out by a hash that differs by depth, so twice as many blocks keep nearly all below the bound.
+    count = 2 * -(-size // block_bytes)
+    block = F.pmod(F.xxhash64("name", "_utf8", F.lit(depth)), F.lit(count))
+    parts = _measured(items, block.alias("block")).orderBy("block").collect()
+    return [
+        dealt
+        for part in parts
+        for dealt in _dealt(
+            items.filter(block == part["block"]), part["size"], part["many"], block_bytes, depth + 1
+        )
+    ]
