@@ -119,9 +119,55 @@ SELECT conv_id,
 FROM escaped GROUP BY conv_id
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(w) AS term FROM d
+), vocabulary AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM words
+  GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), langs AS (
+  SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM vocabulary GROUP BY lang
+), used AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN vocabulary USING (lang, term)
+  GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN used USING (lang, source)
+  GROUP BY lang, source
+), grid AS (
+  SELECT t.lang, t.source, v.term, coalesce(u.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (t.total + 5 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (v.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN vocabulary v USING (lang)
+    LEFT JOIN used u ON u.lang = t.lang AND u.source = t.source AND u.term = v.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM grid WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (FROM pair UNION ALL FROM term)
+) WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLES = {
     "op1_suffix_dedup": OP1,
     "op3_decontaminate": OP3,
     "op5_line_dedup": OP5,
     "op6_chat_format": OP6,
+    "op13_source_divergence": OP13,
 }

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from faultline.llm import oracles
 from faultline.llm.chat_format import chat_digests, format_chats
 from faultline.llm.decontaminate import contamination
+from faultline.llm.divergence import source_divergence
+from faultline.llm.fingerprints import fingerprint_report
 from faultline.llm.language import identify_languages
 from faultline.llm.line_dedup import line_report
 from faultline.llm.packing import packed_documents
+from faultline.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from faultline.llm.pii import find_personal_data
 from faultline.llm.quality import quality_rules
 from faultline.llm.simhash import simhash_groups
@@ -74,6 +77,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -85,5 +100,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES = oracles.ORACLES
