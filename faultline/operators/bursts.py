@@ -10,17 +10,16 @@ Done naively that is one sequential pass per (file, rule). Three facts split it
 * An anchor's time is always a new maximum among the matches so far (the breaking match lies
   beyond everything its cluster could hold), so only the strictly increasing record times
   matter, and each anchor is the first record beyond the previous anchor plus the window.
-* Records fall into spans of the clock, each with at most one record per millisecond. What
-  a span does to the chain depends only on where the chain enters it, and it can enter only
-  at records within one window of the span's first. So each span is summarised, on its own,
-  by a short list entry -> last anchor; the lists are followed in order, and every span then
-  lists its anchors, again on its own.
+* Records are cut into spans of a fixed number, whatever the window. What a span does to the
+  chain is a step function: from the time up to which the last cluster before it reaches, to
+  the last anchor in the span. Each span's function is found on its own, and functions of
+  neighbours are composed, ``FAN`` at a time, in a tree; only the chain's way into each node
+  is then handed down, and every span lists its anchors on its own.
 * Matches belong to the latest anchor at or above their line: a running maximum.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,19 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import CHUNK_LINES, map_groups, with_running
+from faultline.operators.ordered import CHUNK_LINES, chunk_of, map_groups, with_row_number, with_running
 from faultline.rules import RULE_LIBRARY, Rule
 from faultline.staging import fits_broadcast, stage
 
 MAX_LINE_GAP = 50  # fixed value: gap that breaks a cluster without a clock
-WINDOWS_PER_SPAN = 4096
+SPAN_RECORDS = 1 << 16
+FAN = 8  # functions that one task composes
 
 _GROUP = ["file", "rule_ord"]
 _ANCHOR = "file STRING, rule_ord INT, line_no BIGINT"
-_ENTRY = "file STRING, rule_ord INT, span BIGINT, start_ms BIGINT"
-_SUMMARY = (
-    "file STRING, rule_ord INT, span BIGINT, window_ms BIGINT, "
-    "entry_ms ARRAY<BIGINT>, last_ms ARRAY<BIGINT>"
+_ENTRY = "file STRING, rule_ord INT, node BIGINT, bound_ms BIGINT"
+_FUNCTION = (
+    "file STRING, rule_ord INT, node BIGINT, window_ms BIGINT, first_ms BIGINT, "
+    "below_ms ARRAY<BIGINT>, last_ms ARRAY<BIGINT>"
 )
 
 
@@ -58,14 +58,14 @@ def burst_clusters(
     hits: DataFrame,
     settings: DataFrame,
     chunk_lines: int = CHUNK_LINES,
-    windows_per_span: int = WINDOWS_PER_SPAN,
+    span_records: int = SPAN_RECORDS,
 ) -> DataFrame:
     """Clusters that reach ``burst_min``: file, rule_ord, line_no (the anchor's), lines, size.
 
     ``hits`` needs file, rule_ord, line_no and elapsed_ms; rules without settings are left
     out. ``lines`` lists the members in order.
     """
-    members = stage(burst_members(hits, settings, chunk_lines, windows_per_span), "burst-members")
+    members = stage(burst_members(hits, settings, chunk_lines, span_records), "burst-members")
     cluster = [*_GROUP, "anchor_line"]
     # Sizes first, so that lists are gathered of reported clusters only.
     reported = stage(
@@ -88,7 +88,7 @@ def burst_members(
     hits: DataFrame,
     settings: DataFrame,
     chunk_lines: int = CHUNK_LINES,
-    windows_per_span: int = WINDOWS_PER_SPAN,
+    span_records: int = SPAN_RECORDS,
 ) -> DataFrame:
     """Every hit with the line of its cluster's anchor (clusters of any size)."""
     # The settings have one row per rule; the hits are few and read several times below.
@@ -124,7 +124,7 @@ def burst_members(
     ).select(*_GROUP, "line_no", "ms", "window_ms")
 
     anchors = stage(
-        zero_anchors.unionByName(_chain_anchors(records, windows_per_span)).select(
+        zero_anchors.unionByName(_chain_anchors(records, chunk_lines, span_records)).select(
             *_GROUP, "line_no", F.lit(True).alias("is_anchor")
         ),
         "anchors",
@@ -141,16 +141,53 @@ def burst_members(
     ).drop("is_anchor")
 
 
-def _chain_anchors(records: DataFrame, windows_per_span: int) -> DataFrame:
+def _chain_anchors(records: DataFrame, chunk_lines: int, span_records: int) -> DataFrame:
     """Anchors among the records: file, rule_ord, line_no."""
-    span = F.floor(
-        F.col("ms") / (F.greatest(F.col("window_ms"), F.lit(1)) * F.lit(windows_per_span))
-    ).cast("bigint")
-    spans = records.withColumn("span", span)
-    one_span = [*_GROUP, "span"]
-    summaries = map_groups(spans, one_span, ["ms"], _summarise_span, _SUMMARY)
-    entries = map_groups(summaries, _GROUP, ["span"], _follow_spans, _ENTRY)
-    return map_groups(spans.join(entries, one_span), one_span, ["ms"], _walk_span, _ANCHOR)
+    # Records rise in line_no and ms alike.
+    numbered = with_row_number(
+        records,
+        keys=_GROUP,
+        coarse={"chunk": chunk_of("line_no", chunk_lines)},
+        coarse_order=[F.col("_unit_chunk")],
+        order=[F.col("line_no")],
+        out="nth",
+    )
+    node = F.floor((F.col("nth") - 1) / F.lit(span_records)).cast("bigint")
+    spans = stage(numbered.select(*_GROUP, "line_no", "ms", "window_ms", node.alias("node")), "spans")
+    one_span = [*_GROUP, "node"]
+    if spans.agg(F.max("node")).first()[0]:
+        entered = spans.join(_entries(_function_levels(spans)), one_span)
+    else:  # every group is one span
+        entered = spans.withColumn("bound_ms", F.lit(None).cast("bigint"))
+    return map_groups(entered, one_span, ["ms"], _walk_span, _ANCHOR)
+
+
+def _function_levels(spans: DataFrame) -> list[DataFrame]:
+    """The functions of all spans, then those of FAN neighbours each, up to one node per group."""
+    levels = [
+        stage(map_groups(spans, [*_GROUP, "node"], ["ms"], _summarise_span, _FUNCTION), "functions")
+    ]
+    while levels[-1].agg(F.max("node")).first()[0]:
+        parents = levels[-1].withColumn("parent", _parent())
+        composed = map_groups(parents, [*_GROUP, "parent"], ["node"], _compose, _FUNCTION)
+        levels.append(stage(composed, "functions"))
+    return levels
+
+
+def _parent():
+    return F.floor(F.col("node") / F.lit(FAN)).cast("bigint")
+
+
+def _entries(levels: list[DataFrame]) -> DataFrame:
+    """How far the last cluster before each span reaches, for the spans that hold an anchor."""
+    entries = levels[-1].select(*_GROUP, "node", F.lit(None).cast("bigint").alias("bound_ms"))
+    for level in reversed(levels[:-1]):
+        above = entries.withColumnRenamed("node", "parent")
+        children = level.withColumn("parent", _parent()).join(above, [*_GROUP, "parent"])
+        entries = stage(
+            map_groups(children, [*_GROUP, "parent"], ["node"], _enter_children, _ENTRY), "entries"
+        )
+    return entries
 
 
 def _next_anchor(times: np.ndarray, window: int) -> np.ndarray:
@@ -167,28 +204,62 @@ def _summarise_span(span: pd.DataFrame) -> Iterator[tuple]:
         if np.array_equal(further, last):
             break
         last = further
-    n_entries = min(int(following[0]) + 1, len(times))
-    yield (
-        *span[[*_GROUP, "span"]].iloc[0], window, times[:n_entries], times[last[:n_entries]],
-    )
+    below, final = _steps(times, times[last], int(times[0]), window)
+    yield *span[[*_GROUP, "node"]].iloc[0], window, int(times[0]), below, final
+
+
+def _steps(
+    below: np.ndarray, last: np.ndarray, first: int, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """A step function in its shortest form: a cluster that reaches to a time under ``below[j]``,
+    but not under ``below[j - 1]``, is followed by anchors up to ``last[j]``.
+
+    The cluster before opened before ``first``, so it ends before first + window. One that
+    reaches all of ``below`` is followed by none.
+    """
+    used = int(np.searchsorted(below, first + window - 1, side="right")) + 1
+    below, last = below[:used], last[:used]
+    ends = np.append(last[1:] != last[:-1], True)
+    return below[ends], last[ends]
+
+
+def _after(bound: np.ndarray, below: np.ndarray, last: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """The last anchor where clusters reach to ``bound``; ``passed`` where none follows."""
+    at = np.searchsorted(below, bound, side="right")
+    return np.where(at < len(below), last[np.minimum(at, len(last) - 1)], passed)
+
+
+def _compose(children: pd.DataFrame) -> Iterator[tuple]:
+    """The function of neighbouring nodes, one after the other."""
+    window, first = int(children["window_ms"].iloc[0]), int(children["first_ms"].iloc[0])
+    below, last = (np.asarray(children[c].iloc[0]) for c in ("below_ms", "last_ms"))
+    for row in children.iloc[1:].itertuples(index=False):
+        own_below, own_last = np.asarray(row.below_ms), np.asarray(row.last_ms)
+        new = own_below > below[-1]
+        last = np.concatenate([_after(last + window, own_below, own_last, last), own_last[new]])
+        below = np.concatenate([below, own_below[new]])
+        below, last = _steps(below, last, first, window)
+    yield *children[[*_GROUP, "parent"]].iloc[0], window, first, below, last
 
 
-def _follow_spans(summaries: pd.DataFrame) -> Iterator[tuple]:
-    """The record at which the chain enters each span, if it has one there."""
-    anchor = None
-    for row in summaries.itertuples(index=False):
-        at = 0 if anchor is None else bisect_right(row.entry_ms, anchor + row.window_ms)
-        if at < len(row.entry_ms):
-            yield row.file, row.rule_ord, row.span, int(row.entry_ms[at])
-            anchor = int(row.last_ms[at])
+def _enter_children(children: pd.DataFrame) -> Iterator[tuple]:
+    """The children in which the chain has an anchor, and how far the cluster before reaches."""
+    bound = children["bound_ms"].iloc[0]
+    bound = None if pd.isna(bound) else int(bound)
+    for row in children.itertuples(index=False):
+        at = 0 if bound is None else int(np.searchsorted(row.below_ms, bound, side="right"))
+        if at < len(row.below_ms):
+            yield row.file, row.rule_ord, row.node, bound
+            bound = int(row.last_ms[at]) + row.window_ms
 
 
 def _walk_span(span: pd.DataFrame) -> Iterator[tuple]:
-    """The anchors of a span, from the record at which the chain enters it."""
+    """The anchors of a span, from the first record that the cluster before does not reach."""
     times, lines = span["ms"].to_numpy(), span["line_no"].to_numpy()
     file, rule_ord = span["file"].iloc[0], int(span["rule_ord"].iloc[0])
     following = _next_anchor(times, int(span["window_ms"].iloc[0]))
-    at = int(np.searchsorted(times, span["start_ms"].iloc[0]))
+    bound = span["bound_ms"].iloc[0]
+    at = 0 if pd.isna(bound) else int(np.searchsorted(times, bound, side="right"))
     while at < len(times):
         yield file, rule_ord, int(lines[at])
         at = int(following[at])

@@ -11,6 +11,7 @@ from faultline.functions.lines import raw_meta
 from faultline.functions.scoring import SEVERITIES, VERDICTS, actionability, severity_rank, verdict
 from faultline.operators.bursts import burst_clusters, burst_settings
 from faultline.operators.ordered import CHUNK_LINES, chunk_of, with_row_number
+from faultline.operators.runtime_filter import likely_members
 from faultline.operators.rule_hits import rule_hits
 from faultline.rules import RULE_LIBRARY, Rule, rules_table
 from faultline.staging import fits_broadcast, stage
@@ -68,7 +69,8 @@ def attach_context(triggers: DataFrame, lines: DataFrame) -> DataFrame:
 
     Findings and lines meet on (file, band of lines); a finding touches two or three bands.
     A band has few lines, so no key runs hot, and the lines need no window. While the
-    findings' keys are small they are broadcast and the lines are only scanned.
+    findings' keys are small they are broadcast and the lines are only scanned. Beyond that
+    both sides shuffle, but of the lines only those that may lie in a wanted band.
     """
     triggers = stage(triggers, "triggers")
     key = ["file", "source_ord", "line_number"]
@@ -78,11 +80,14 @@ def attach_context(triggers: DataFrame, lines: DataFrame) -> DataFrame:
     wanted = triggers.select(*key, low, high).withColumn(
         "band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high"))))
     )
-    side = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     line_no = F.col("line_no")
+    banded = lines.select("file", "line_no", "value", _band(line_no).alias("band"))
+    if fits_broadcast(wanted):
+        met = banded.join(F.broadcast(wanted), ["file", "band"])
+    else:
+        met = likely_members(banded, wanted, ["file", "band"]).join(wanted, ["file", "band"])
     around = (
-        lines.select("file", "line_no", "value", _band(line_no).alias("band"))
-        .join(side, ["file", "band"])
+        met
         .filter((line_no != number) & line_no.between(F.col("low"), F.col("high")))
         .groupBy(*key)
         .agg(

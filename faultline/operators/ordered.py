@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.staging import stage
+
 # Lines per chunk: bounds the rows any one window or grouped task sees for a key.
 CHUNK_LINES = 1 << 18
 
@@ -106,6 +108,37 @@ def with_row_number(
     )
 
 
+def with_rank(df: DataFrame, order: list[Column], out: str, parts: int | None = None) -> DataFrame:
+    """Number all rows from 1 in ``order``, whatever the values share.
+
+    Rows are dealt to ranges that a sample of them bounds, so no prefix or key of theirs decides
+    how many meet in a task. Each range is numbered where it lies; how many rows the ranges before
+    it have comes from a table with one row per range. ``order`` has to be total for numbers to be
+    repeatable; rows that agree on all of it share a range.
+    """
+    placed = _in_ranges(df, order, parts)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+    )
+    return placed.join(F.broadcast(offsets), "_range").select(  # one row per range
+        *df.columns, (F.col("_offset") + F.col("_place") + 1).cast("bigint").alias(out)
+    )
+
+
+def _in_ranges(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows with the number of their range and their place in it, as a written table."""
+    dealt = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    return stage(
+        dealt.sortWithinPartitions(*order).select(
+            "*", F.spark_partition_id().alias("_range"), in_range.alias("_place")
+        ),
+        "ranges",
+    )
+
+
 def map_groups(
     df: DataFrame,
     keys: list[str],

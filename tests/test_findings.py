@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.scoring import actionability, has_error_hint
 from faultline.operators.findings import (
+    BAND_LINES,
     corpus_summary,
     file_verdicts,
     rank_findings,
@@ -17,6 +18,7 @@ from faultline.operators.rare import (
     rare_findings,
     without_rule_lines,
 )
+from faultline.operators.runtime_filter import likely_members
 from faultline.sinks.reports import file_stem, write_reports
 
 LINES = "file STRING, line_no BIGINT, value STRING"
@@ -216,3 +218,40 @@ def test_firsts_are_hash_aggregated(spark):
     entries = spark.createDataFrame([("f", 1, "fatal 1")], "file STRING, line_no BIGINT, message STRING")
     plan = first_per_text(entries)._jdf.queryExecution().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_only_wanted_bands_are_shuffled(spark, monkeypatch):
+    """With the keys too large for a broadcast, the lines are filtered before their exchange."""
+    monkeypatch.setattr("faultline.operators.findings.fits_broadcast", lambda df: False)
+    wanted = {5: 4 + 5, 40_000: 10, 77_777: 10}
+    number = (F.col("id") + 1).alias("line_no")
+    text = F.when((F.col("id") + 1).isin(*wanted), ps("1.0", "kernel panic")).otherwise("x")
+    lines = spark.range(100_000).select(F.lit("f").alias("file"), number, text.alias("value"))
+    found = rule_findings(lines)
+    got = {r["line_number"]: len(r["context_before"] + r["context_after"]) for r in found.collect()}
+    assert got == wanted
+
+    # The exchange of lines lies above the filter, and what passes lies in the wanted bands.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_get" in plan
+    triggers = found.select("file", F.explode(F.sequence(F.col("line_number") - 5, F.col("line_number") + 5)).alias("n"))
+    bands = triggers.select("file", F.floor(F.col("n") / BAND_LINES).alias("band")).distinct()
+    banded = lines.withColumn("band", F.floor(F.col("line_no") / BAND_LINES))
+    passed = likely_members(banded, bands, ["file", "band"])
+    physical = passed.repartition("file", "band")._jdf.queryExecution().sparkPlan().toString()
+    assert physical.index("Exchange") < physical.index("bit_get") < physical.index("Range")
+    assert passed.count() <= bands.count() * BAND_LINES + 0.2 * 100_000
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1 << 16])
+def test_likely_members_are_all_members_and_few_others(spark, most_bits):
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("f"), F.col("id") % 7).alias("file"), (F.col("id") * 37 % 90_001).alias("band"), "id"
+    )
+    keys = rows.filter("id % 97 = 3").select("file", "band")
+    kept = likely_members(rows, keys, ["file", "band"], most_bits)
+    assert kept.columns == rows.columns
+    members = rows.join(keys.distinct(), ["file", "band"], "left_semi")
+    assert members.join(kept, "id", "left_anti").count() == 0
+    assert members.count() <= kept.count() < members.count() + 0.1 * 200_000
+    assert likely_members(rows, keys.limit(0), ["file", "band"]).count() == 0

@@ -5,12 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import vectors as vec
+from faultline.operators import ordered
 from faultline.operators.neighbours import (
+    best_pairs,
     embedding_index,
+    fit_basis,
     nearest_known,
     resolve_events,
     resolve_unmatched,
 )
+from faultline.operators.ordered import with_rank
 
 KNOWN = "event_id STRING, vec ARRAY<FLOAT>"
 QUERY = "key STRING, vec ARRAY<FLOAT>"
@@ -72,6 +76,71 @@ def test_nearest_equals_brute_force(spark, shard_rows, block_rows):
     assert {r["key"]: r["event_id"] for r in got}["q0"] == "E0003"
 
 
+def log_templates(rng, n):
+    parts = [
+        ["link", "modem", "disk", "wifi", "usb", "camera", "sensor", "relay"],
+        ["open", "close", "reset", "probe", "scan", "sync", "mount"],
+        ["channel", "port", "device", "slot", "unit", "bank"],
+        ["timeout", "error <*>", "code <*>", "retry", "abort <*> after <*>"],
+        ["up", "down", "idle", "unknown", "busy"],
+    ]
+    names = {"{} {} failed on {} with {} state={}".format(*(rng.choice(p) for p in parts)) for _ in range(n)}
+    return vec.hash_vectors(sorted(names)).astype(np.float64)
+
+
+@pytest.mark.parametrize("floor", [None, 0.55, 0.97])
+@pytest.mark.parametrize("kind", ["templates", "random", "few"])
+def test_pruned_pairs_are_the_best_pairs(kind, floor):
+    rng = np.random.default_rng(4)
+    if kind == "templates":
+        every = log_templates(rng, 9000)
+        every = every[rng.permutation(len(every))]
+        known, queries = every[400:], np.concatenate([every[:400], -every[:3], np.zeros((1, 384))])
+        known[70] = known[12]
+        queries[5] = known[12]
+    else:
+        size = 300 if kind == "random" else 40
+        known, queries = np.array(unit(rng, size, 384)), np.array(unit(rng, 50, 384))
+    size = 32 if kind != "few" else 8
+    basis = np.linalg.svd(known[:500], full_matrices=False)[2][:size].T
+    row, at, similarity, multiplied = best_pairs(queries, known, basis, floor)
+    product = (queries @ known.T).round(9)
+    best = product.max(axis=1)
+    kept = np.isin(np.arange(len(queries)), row)
+    assert (best[~kept] < (-2 if floor is None else floor)).all()
+    assert (similarity == best[row]).all() and (at == product.argmax(axis=1)[row]).all()
+    if kind == "templates":
+        # All coordinates of one pair in a hundred, and a twelfth of those of the others.
+        assert multiplied < 0.01 * product.size
+
+
+def test_basis_comes_from_a_bounded_sample(spark):
+    rng = np.random.default_rng(5)
+    known = spark.createDataFrame([(f"E{i}", v) for i, v in enumerate(unit(rng, 200, 256))], KNOWN)
+    basis = fit_basis(known, sample=50, size=8)
+    assert basis.shape == (256, 8) and np.allclose(basis.T @ basis, np.eye(8))
+    assert fit_basis(known.limit(5), size=8) is None  # fewer vectors than coordinates
+    assert fit_basis(known, size=100) is None  # coordinates too few for a sketch to save work
+
+
+def test_nearest_of_templates_in_shards(spark):
+    rng = np.random.default_rng(6)
+    every = log_templates(rng, 1200)
+    every = every[rng.permutation(len(every))].astype(np.float32)
+    known, queries = every[60:], every[:60]
+    got = nearest_known(
+        spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], QUERY),
+        spark.createDataFrame([(f"E{i:04d}", v.tolist()) for i, v in enumerate(known)], KNOWN),
+        400,
+        25,
+        floor=0.55,
+    ).collect()
+    product = (queries.astype(float) @ known.astype(float).T).round(9)
+    assert {(r["key"], r["event_id"], r["similarity"]) for r in got} == {
+        (f"q{i}", f"E{row.argmax():04d}", row.max()) for i, row in enumerate(product) if row.max() >= 0.55
+    }
+
+
 def test_similarity_floor(spark):
     known = spark.createDataFrame([("E0000", [1.0, 0.0])], KNOWN)
     queries = spark.createDataFrame([("a", [0.6, 0.8]), ("b", [0.5, 0.75**0.5])], QUERY)
@@ -99,6 +168,24 @@ def test_resolve(spark):
     assert {r["similarity"] for r in resolve_events(events, nothing, 0.55).collect()} == {0.0}
 
 
+def test_ranks_of_ids_with_a_common_prefix_come_from_all_tasks(spark):
+    ids = [f"E{i * 7919 % 100_000:06d}" for i in range(100_000)]
+    df = spark.createDataFrame([(i,) for i in ids], "event_id STRING")
+    ranked = with_rank(df, [F.col("event_id")], "row", parts=8)
+    got = ranked.toPandas()
+    assert dict(zip(got["event_id"], got["row"])) == {v: i for i, v in enumerate(sorted(ids), 1)}
+    ranges = ordered._in_ranges(df, [F.col("event_id")], 8).groupBy("_range").count()
+    sizes = [r["count"] for r in ranges.collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
+
+
+def test_ranks_of_ties_and_of_nothing(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4)], "k STRING, v INT")
+    got = with_rank(df, [F.col("k").asc_nulls_first(), F.col("v").desc()], "n", parts=3).collect()
+    assert sorted((r["n"], r["v"]) for r in got) == [(1, 4), (2, 2), (3, 3), (4, 1)]
+    assert with_rank(df.limit(0), [F.col("k")], "n").count() == 0
+
+
 def test_matrix_rows_follow_string_order(spark):
     ids = ["E0002", "E10000", "E9999", "E0001", "E1000"]
     got = embedding_index(spark.createDataFrame([(i, [1.0]) for i in ids], KNOWN)).collect()
