@@ -248,7 +248,7 @@ def _permutation(chosen: tuple[int, ...], blocks: int) -> tuple[np.ndarray, int]
 
 def table_keys(turned: np.ndarray, number: int, width: int) -> np.ndarray:
     """The first ``width`` bits, and the table's number. Long keys are cut to what a long holds,
-    which may only let more members meet."""
+    which only lets more members meet."""
     first = np.ascontiguousarray(turned[:, :8]).view(">u8")[:, 0].astype(np.uint64)
     bits = min(width, 50)
     return ((first >> np.uint64(64 - bits)) | np.uint64(number << 50)).astype(np.int64)
@@ -264,23 +264,25 @@ def _words(turned: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=256)
-def _earlier(number: int, tables: tuple, blocks: int) -> tuple[np.ndarray, ...]:
-    """What each earlier table compares first, as masks over the bits as this table has them."""
+def _agreements(number: int, tables: tuple, blocks: int) -> tuple[np.ndarray, ...]:
+    """What the table and each earlier one has in front, as masks over this table's bits."""
     order, _ = _permutation(tables[number], blocks)
     spans = _spans(blocks)
     masks = []
-    for chosen in tables[:number]:
+    for chosen in tables[: number + 1]:
         bits = np.isin(order, np.concatenate([spans[at] for at in chosen]))
         masks.append(_words(np.packbits(bits)[None, :])[0])
     return tuple(masks)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, number: int, tables: tuple, blocks: int, radius: int) -> np.ndarray:
-    """Which rows of words are within the radius and meet in no earlier table."""
+    """Which rows of words are within the radius, agree in this table and in no earlier one."""
     apart = a ^ b
     good = np.bitwise_count(apart).sum(axis=-1) <= radius
     at = np.flatnonzero(good)
-    for mask in _earlier(number, tables, blocks):
+    *earlier, own = _agreements(number, tables, blocks)
+    at = at[~(apart[at] & own).any(axis=-1)]
+    for mask in earlier:
         if not len(at):
             break
         at = at[(apart[at] & mask).any(axis=-1)]

@@ -25,7 +25,7 @@ def test_entry_registers_every_query():
     import __spark_entry__ as contract
 
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(contract.oracle_sql())
 
 
