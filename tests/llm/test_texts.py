@@ -1,8 +1,10 @@
 """Operators on single texts, conversations and packing against plain versions."""
 
+import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -308,6 +310,33 @@ def test_ids_equal_those_of_whole_texts():
     assert [np.frombuffer(p, "<u4").tolist() for p in packed] == _whole_ids(texts)
 
 
+def test_ids_of_all_characters_equal_those_of_the_tokenizer():
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}b 1{c}2 {c} {c}{c}. {c}'s  {c}" for c in known[:0x3200] + known[0x3200::7]]
+    packed = packing.token_ids(texts, TOKENIZER)
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == _whole_ids(texts)
+
+
+def test_other_tokenizers_are_used_as_they_are(tmp_path):
+    given = Path(TOKENIZER).read_text("utf-8")
+    assert len(packing.byte_ranks(given)) == 50_256
+    swapped = json.loads(given)
+    swapped["model"]["merges"][5], swapped["model"]["merges"][6] = swapped["model"]["merges"][6:4:-1]
+    spaced = json.loads(given)
+    spaced["pre_tokenizer"]["add_prefix_space"] = True
+    for other in (swapped, spaced):
+        assert packing.byte_ranks(json.dumps(other)) is None
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(other), "utf-8")
+        packing._encoders.pop(str(path), None)
+        from tokenizers import Tokenizer
+
+        expected = Tokenizer.from_file(str(path)).encode("some plain text", add_special_tokens=False).ids
+        (got,) = packing.token_ids(["some plain text"], str(path))
+        assert np.frombuffer(got, "<u4").tolist() == expected
+    assert packing.byte_ranks(Path(public_tokenizers.path("word_bpe_49k.json")).read_text("utf-8")) is None
+
+
 @pytest.mark.parametrize("group", [50_000, 60])
 def test_every_id_is_packed_once_without_gaps(spark, group):
     rng = random.Random(12)
