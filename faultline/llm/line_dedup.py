@@ -27,28 +27,34 @@ from faultline.staging import stage
 
 MIN_LINES = 4
 MIN_WORDS = 20
-_KEY = ["id", "tag"]
+KEY = ["id", "tag", "low"]
 _HAS_WORD = r"[^ \t\n\x0B\f\r]"
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns id and tag: doc_id with nulls first, and what tells apart texts that share it."""
+    """Columns id, tag and low: doc_id with nulls first, and 127 bits of hash of the text.
+
+    The hash tells apart texts that share a doc_id or have none. The sign of tag is set for a null
+    doc_id, so that no row without one meets a row that has the lowest one.
+    """
     lowest = F.lit(-(1 << 63)).cast("long")
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    high = F.xxhash64(content).bitwiseAND(F.lit((1 << 63) - 1).cast("long"))
     return [
         F.coalesce(F.col(doc_id).cast("long"), lowest).alias("id"),
-        F.hash(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("tag"),
+        F.when(F.col(doc_id).isNull(), high.bitwiseOR(lowest)).otherwise(high).alias("tag"),
+        F.xxhash64(F.lit(1), content).alias("low"),
     ]
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Lines with a word: id, tag, n (from 0), two hashes of the line and its number of words."""
+    """Lines with a word: id, tag, low, n (from 0), two hashes of the line and its number of words."""
     lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda s: s.rlike(_HAS_WORD))
     return (
         docs.select(*document_key(), lines.alias("lines"))
-        .select("id", "tag", F.posexplode("lines").alias("n", "line"))
+        .select(*KEY, F.posexplode("lines").alias("n", "line"))
         .select(
-            "id",
-            "tag",
+            *KEY,
             F.col("n").cast("long").alias("n"),
             F.xxhash64("line").alias("a"),
             F.hash("line").cast("long").alias("b"),
@@ -63,7 +69,7 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 def suffix_blocks(docs: DataFrame, rounds: int | None = None) -> list[DataFrame]:
     """For each round k the suffixes that share their first 2**k lines with another one.
 
-    All rounds, or the first ``rounds``. Columns id, tag, n, words (of the 2**k lines), rank (in the order of the suffix array) and
+    All rounds, or the first ``rounds``. Columns id, tag, low, n, words (of the 2**k lines), rank (in the order of the suffix array) and
     later (whether an earlier suffix has the same lines).
     """
     level = _ranked(stage(numbered_lines(docs), "lines"))
@@ -74,18 +80,17 @@ def suffix_blocks(docs: DataFrame, rounds: int | None = None) -> list[DataFrame]
             break
         step = 1 << (len(levels) - 1)
         ahead = level.select(
-            "id",
-            "tag",
+            *KEY,
             (F.col("n") - step).alias("n"),
             F.col("words").alias("more"),
             F.col("rank").alias("b"),
         )
-        pairs = level.select("id", "tag", "n", "words", F.col("rank").alias("a")).join(
-            ahead, [*_KEY, "n"]
+        pairs = level.select(*KEY, "n", "words", F.col("rank").alias("a")).join(
+            ahead, [*KEY, "n"]
         )
         level = _ranked(
             stage(
-                pairs.select("id", "tag", "n", "a", "b", (F.col("words") + F.col("more")).alias("words")),
+                pairs.select(*KEY, "n", "a", "b", (F.col("words") + F.col("more")).alias("words")),
                 "line-pairs",
             )
         )
@@ -94,7 +99,7 @@ def suffix_blocks(docs: DataFrame, rounds: int | None = None) -> list[DataFrame]
 
 def _ranked(pairs: DataFrame) -> DataFrame:
     """Suffixes whose pair (a, b) is not unique, with the rank of the pair."""
-    first = F.min(F.struct("id", "tag", "n")).alias("first")
+    first = F.min(F.struct(*KEY, "n")).alias("first")
     shared = (
         pairs.groupBy("a", "b")
         .agg(first, F.count(F.lit(1)).alias("many"))
@@ -105,28 +110,28 @@ def _ranked(pairs: DataFrame) -> DataFrame:
         # Grows with the order of the rows over all partitions, which is all a rank has to do.
         .withColumn("rank", F.monotonically_increasing_id())
     )
-    later = F.struct("id", "tag", "n") != F.col("first")
+    later = F.struct(*KEY, "n") != F.col("first")
     return stage(
         pairs.join(stage(shared, "line-ranks"), ["a", "b"]).select(
-            "id", "tag", "n", "words", "rank", later.alias("later")
+            *KEY, "n", "words", "rank", later.alias("later")
         ),
         "line-suffixes",
     )
 
 
 def later_copies(levels: list[DataFrame]) -> DataFrame | None:
-    """Numbers of the lines to delete: id, tag, removed (array)."""
+    """Numbers of the lines to delete: id, tag, low, removed (array)."""
     parts = []
     for k, level in enumerate(levels[: MIN_LINES.bit_length()]):
         long_enough = F.lit(1 << k >= MIN_LINES) | (F.col("words") >= MIN_WORDS)
         lines = F.explode(F.sequence(F.col("n"), F.col("n") + ((1 << k) - 1)))
-        parts.append(level.filter(F.col("later") & long_enough).select(*_KEY, lines.alias("n")))
+        parts.append(level.filter(F.col("later") & long_enough).select(*KEY, lines.alias("n")))
     if not parts:
         return None
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy(*_KEY).agg(F.collect_set("n").alias("removed"))
+    return every.groupBy(*KEY).agg(F.collect_set("n").alias("removed"))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -171,14 +176,14 @@ def _quoted(name: str) -> str:
 
 
 def _with_cut(docs: DataFrame, removed: DataFrame | None) -> DataFrame:
-    """Structs ``_docs`` (the row as it came) and ``_cut``, with id and tag."""
+    """Structs ``_docs`` (the row as it came) and ``_cut``, with id, tag and low."""
     rows = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("_docs"))
     text = F.col("_docs.text").cast("string")
     rows = rows.select("_docs", *document_key("_docs.doc_id", "_docs.text"))
     if removed is None:
         none = F.lit(None).cast("array<bigint>")
         return rows.withColumn("_cut", without_lines(text, none))
-    joined = rows.join(removed, _KEY, "left")
+    joined = rows.join(removed, KEY, "left")
     return joined.withColumn("_cut", without_lines(text, F.col("removed"))).drop("removed")
 
 
@@ -192,12 +197,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     cut = _with_cut(docs.select("doc_id", "text"), later_copies(levels))
     runs = None
     for k, level in enumerate(levels):
-        part = level.select(*_KEY, F.lit(1 << k).cast("long").alias("run"))
+        part = level.select(*KEY, F.lit(1 << k).cast("long").alias("run"))
         runs = part if runs is None else runs.unionByName(part)
     if runs is None:
         cut = cut.withColumn("longest_run", F.lit(0).cast("long"))
     else:
-        cut = cut.join(runs.groupBy(*_KEY).agg(F.max("run").alias("longest_run")), _KEY, "left")
+        cut = cut.join(runs.groupBy(*KEY).agg(F.max("run").alias("longest_run")), KEY, "left")
     return cut.select(
         F.col("_docs.doc_id").alias("doc_id"),
         "_cut.n_lines",

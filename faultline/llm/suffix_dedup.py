@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.line_dedup import document_key
+from faultline.llm.line_dedup import KEY, document_key
 from faultline.llm.texts import utf8
 from faultline.staging import stage
 
@@ -52,8 +52,8 @@ HOT = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _RECORD = {"anchor": "<u8", "context": "<u8", "doc": "<u4", "at": "<i8", "before": "u1", "owned": "u1"}
 _CONTEXT = {"anchor": "<u8", "doc": "<u4", "at": "<i8", "before": "u1", "owned": "u1"}
-_DOCS = {"id": "<i8", "tag": "<i4"}
-_SPAN = {"id": "<i8", "tag": "<i4", "start": "<i8", "end": "<i8"}
+_DOCS = dict.fromkeys(KEY, "<i8")
+_SPAN = {**_DOCS, "start": "<i8", "end": "<i8"}
 
 Columns = dict[str, np.ndarray]
 
@@ -157,11 +157,11 @@ def _unpacked(blob: bytes, rows: int, kinds: dict[str, str]) -> Columns:
 
 
 def _first_of_equal(names: list[str], columns: Columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of names, id, tag, at; which start a group of equal names; later copies.
+    """Rows in the order of names, the document, at; which start a group of equal names; later copies.
 
     A later copy starts elsewhere than the group's first row.
     """
-    order = np.lexsort([columns[name] for name in [*names, "id", "tag", "at"][::-1]])
+    order = np.lexsort([columns[name] for name in [*names, *KEY, "at"][::-1]])
     return order, *_groups(names, columns, order)
 
 
@@ -177,7 +177,7 @@ def _groups(
         first[1:] |= own[1:] != own[:-1]
     head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     later = np.zeros(n, bool)
-    for name in ("id", "tag", "at"):
+    for name in (*KEY, "at"):
         own = columns[name][order]
         later |= own != own[head]
     return first, later
@@ -185,24 +185,31 @@ def _groups(
 
 def _merged(spans: Columns) -> Columns:
     """Spans of a document that overlap or touch as one, ordered by document and start."""
-    order = np.lexsort([spans["start"], spans["tag"], spans["id"]])
-    id_, tag, start, end = (spans[name][order] for name in _SPAN)
+    order = np.lexsort([spans[name] for name in [*KEY, "start"][::-1]])
     if not len(order):
         return spans
-    new_doc = np.r_[True, (id_[1:] != id_[:-1]) | (tag[1:] != tag[:-1])]
+    spans = _take(spans, order)
+    start, end, new_doc = spans["start"], spans["end"], _new_docs(spans)
     far = (np.cumsum(new_doc) - 1) * (int(end.max()) + 2)  # documents one after the other
     reach = np.maximum.accumulate(far + end)
     opens = np.flatnonzero(np.r_[True, (far + start)[1:] > reach[:-1]])
     last = np.r_[opens[1:] - 1, len(order) - 1]
     ends = (reach - far)[last]
-    return {"id": id_[opens], "tag": tag[opens], "start": start[opens], "end": ends}
+    return {**_take(spans, opens), "end": ends}
+
+
+def _new_docs(rows: Columns) -> np.ndarray:
+    """Which of the rows, sorted by document, are the first of theirs."""
+    new = np.ones(len(rows["id"]), bool)
+    new[1:] = np.logical_or.reduce([rows[name][1:] != rows[name][:-1] for name in KEY])
+    return new
 
 
 def _covered(rows: Columns) -> Columns:
     """All strings of the records, as spans."""
     start = rows["at"] - rows["before"]
     end = start + rows["owned"] - 1 + LENGTH
-    return {"id": rows["id"], "tag": rows["tag"], "start": start, "end": end}
+    return {**{name: rows[name] for name in KEY}, "start": start, "end": end}
 
 
 def _take(columns: Columns, rows: np.ndarray) -> Columns:
@@ -219,7 +226,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-_ROWS = "anchor long, context long, id long, tag int, place long, span_end long"
+_ROWS = "anchor long, context long, id long, tag long, low long, place long, span_end long"
 
 
 def _row_batch(rows: Columns, spans: Columns) -> pa.RecordBatch:
@@ -230,8 +237,7 @@ def _row_batch(rows: Columns, spans: Columns) -> pa.RecordBatch:
     columns = [
         pa.array(np.r_[rows["anchor"], own_hash].view(np.int64)),
         pa.array(np.r_[rows["context"].view(np.int64), np.zeros(m, np.int64)], mask=spans_only),
-        pa.array(np.r_[rows["id"], spans["id"]], pa.int64()),
-        pa.array(np.r_[rows["tag"], spans["tag"]], pa.int32()),
+        *[pa.array(np.r_[rows[name], spans[name]], pa.int64()) for name in KEY],
         pa.array(np.r_[_place(rows), spans["start"]], pa.int64()),
         pa.array(np.r_[np.zeros(n, np.int64), spans["end"]], pa.int64(), mask=records_only),
     ]
@@ -261,14 +267,14 @@ def _reader(flush):
             return flush({**rows, **_take(named, rows["doc"])}, named, texts)
 
         for batch in batches:
-            ids, tags = (np.array(batch.column(c).to_numpy(zero_copy_only=False)) for c in (0, 1))
-            own = batch.column(2).to_pylist()
+            keys = {name: np.array(batch.column(name).to_numpy(zero_copy_only=False)) for name in KEY}
+            own = batch.column("utf8").to_pylist()
             for parts in _buffers(own):
                 found = records(parts)
                 held.append({**found, "doc": found["doc"] + np.uint32(len(texts))})
                 size += sum(len(part) for _, _, part in parts)
             texts.extend(own)
-            docs.append({"id": ids, "tag": tags})
+            docs.append(keys)
             if size >= FLUSH:
                 yield done()
                 held.clear(), docs.clear(), texts.clear()
@@ -328,12 +334,11 @@ def _decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
     is_span = table["context"].is_null().to_numpy()
     columns = {name: table[name].fill_null(0).to_numpy() for name in table.column_names}
     given, rows = _take(columns, is_span), _take(columns, ~is_span)
-    spans = [{"id": given["id"], "tag": given["tag"], "start": given["place"], "end": given["span_end"]}]
+    spans = [{**{name: given[name] for name in KEY}, "start": given["place"], "end": given["span_end"]}]
     rows = {
         "anchor": rows["anchor"],
         "context": rows["context"],
-        "id": rows["id"],
-        "tag": rows["tag"],
+        **{name: rows[name] for name in KEY},
         "at": rows["place"] >> 16,
         "before": rows["place"] >> 8 & 255,
         "owned": rows["place"] & 255,
@@ -349,16 +354,15 @@ def _decided(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from _marks(None, compared).to_batches()
 
 
-_MARKS = "id long, tag int, spans array<long>, anchors array<long>, places array<long>"
+_MARKS = "id long, tag long, low long, spans array<long>, anchors array<long>, places array<long>"
 
 
 def _marks(spans: Columns | None, contexts: Columns | None) -> pa.Table:
     """Rows by document with its spans, or its contexts as anchor and packed place."""
     rows = spans if contexts is None else contexts
-    order = np.lexsort([rows["tag"], rows["id"]])
-    id_, tag = rows["id"][order], rows["tag"][order]
-    new_doc = np.r_[True, (id_[1:] != id_[:-1]) | (tag[1:] != tag[:-1])] if len(order) else []
-    at = np.flatnonzero(new_doc)
+    order = np.lexsort([rows[name] for name in KEY[::-1]])
+    named = {name: rows[name][order] for name in KEY}
+    at = np.flatnonzero(_new_docs(named))
     bounds = np.r_[at, len(order)]
     none = pa.ListArray.from_arrays(np.zeros(len(at) + 1, np.int32), pa.array([], pa.int64()))
     if contexts is None:
@@ -366,8 +370,8 @@ def _marks(spans: Columns | None, contexts: Columns | None) -> pa.Table:
         lists = [_lists(2 * bounds, flat), none, none]
     else:
         lists = [none, _lists(bounds, rows["anchor"][order]), _lists(bounds, _place(rows)[order])]
-    columns = [pa.array(id_[at], pa.int64()), pa.array(tag[at], pa.int32()), *lists]
-    return pa.table(columns, names=["id", "tag", "spans", "anchors", "places"])
+    columns = [*[pa.array(named[name][at], pa.int64()) for name in KEY], *lists]
+    return pa.table(columns, names=[*KEY, "spans", "anchors", "places"])
 
 
 def _lists(bounds: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -430,10 +434,10 @@ def _send_shards(buckets: int):
         unpack = zstandard.ZstdDecompressor().decompress
         contexts: list[Columns] = []
         words: list[bytes] = []
-        docs: list[tuple[int, int]] = []
+        docs: list[tuple[int, ...]] = []
         size = 0
         for batch in batches:
-            for id_, tag, text, anchors, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, text, anchors, places in zip(*(c.to_pylist() for c in batch.columns)):
                 place = np.array(places, np.int64)
                 own = {
                     "anchor": np.array(anchors, np.int64).view(np.uint64),
@@ -442,7 +446,7 @@ def _send_shards(buckets: int):
                     "before": (place >> 8 & 255).astype(np.uint8),
                     "owned": (place & 255).astype(np.uint8),
                 }
-                docs.append((id_, tag))
+                docs.append(tuple(key))
                 contexts.append(own)
                 text = unpack(text)
                 for at, before, owned in zip(*(own[c].tolist() for c in ("at", "before", "owned"))):
@@ -460,7 +464,7 @@ def _send_shards(buckets: int):
 
 def _shard_batch(contexts, words, docs, buckets: int) -> pa.RecordBatch:
     rows = _joined(contexts, _CONTEXT)
-    named = {"id": np.array([d[0] for d in docs], np.int64), "tag": np.array([d[1] for d in docs], np.int32)}
+    named = dict(zip(KEY, np.array(docs, np.int64).reshape(-1, len(KEY)).T.copy()))
     bucket = _bucket_of(rows["anchor"], buckets)
     out = []
     for number in np.unique(bucket).tolist():
@@ -568,20 +572,19 @@ def _merge(table: pa.Table) -> pa.Table:
         "back": back[several],
         "left": np.where(extra > 0, left, 0),
         "tail": np.where(rest > 0, tail, 0),
-        "id": rows["id"][context[several]],
-        "tag": rows["tag"][context[several]],
+        **{name: rows[name][context[several]] for name in KEY},
         "at": rows["at"][context[several]] - back[several],
     }
     order, _, later = _first_of_equal(["interval", "back", "left", "tail"], windows)
     found = _take(windows, order[later])
-    spans = {"id": found["id"], "tag": found["tag"], "start": found["at"], "end": found["at"] + LENGTH}
-    return _marks(_merged(spans), None).select(["id", "tag", "spans"])
+    spans = {**{name: found[name] for name in KEY}, "start": found["at"], "end": found["at"] + LENGTH}
+    return _marks(_merged(spans), None).select([*KEY, "spans"])
 
 
 # --- hot anchors ------------------------------------------------------------------------------
 
 _SAMPLED = 64  # one document in so many tells which anchors are hot
-_DIGESTS = "high long, low long, id long, tag int, at long, span_end long"
+_DIGESTS = "first8 long, last8 long, id long, tag long, low long, at long, span_end long"
 
 
 def _hot_anchors(docs: DataFrame, most: int) -> np.ndarray:
@@ -596,7 +599,7 @@ def _hot_anchors(docs: DataFrame, most: int) -> np.ndarray:
         anchors, many = np.unique(rows["anchor"][order[first]], return_counts=True)
         return _batch("anchor long, many long", list(zip(anchors.view(np.int64).tolist(), many.tolist())))
 
-    sample = docs if most < _SAMPLED else docs.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(_SAMPLED)) == 0)
+    sample = docs if most < _SAMPLED else docs.filter(F.pmod(F.xxhash64(*KEY), F.lit(_SAMPLED)) == 0)
     counted = sample.mapInArrow(_reader(flush), "anchor long, many long").groupBy("anchor")
     least = most if most < _SAMPLED else most // _SAMPLED
     rows = counted.agg(F.sum("many").alias("many")).filter(F.col("many") > least).collect()
@@ -610,26 +613,25 @@ def _hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         rows = _take(rows, np.flatnonzero(np.isin(rows["anchor"], hot)))
         first: dict[bytes, tuple] = {}
         out = []
-        order = np.lexsort([rows["at"], rows["tag"], rows["id"]])
-        names = ("doc", "id", "tag", "at", "before", "owned")
-        for doc, id_, tag, at, before, owned in zip(*(rows[c][order].tolist() for c in names)):
+        order = np.lexsort([rows[name] for name in [*KEY, "at"][::-1]])
+        names = ("doc", *KEY, "at", "before", "owned")
+        for doc, *key, at, before, owned in zip(*(rows[c][order].tolist() for c in names)):
             for start in range(at - before, at - before + owned):
                 digest = hashlib.blake2b(texts[doc][start : start + LENGTH], digest_size=16).digest()
-                seen = first.setdefault(digest, (id_, tag, start))
-                later = seen != (id_, tag, start)
+                later = first.setdefault(digest, (*key, start)) != (*key, start)
                 # Local later copies are decided here; only firsts meet those of other tasks.
-                high, low = np.frombuffer(digest, "<i8").tolist()
-                out.append((high, low, id_, tag, start, start + LENGTH if later else 0))
+                halves = np.frombuffer(digest, "<i8").tolist()
+                out.append((*halves, *key, start, start + LENGTH if later else 0))
         return _batch(_DIGESTS, out)
 
     rows = stage(docs.mapInArrow(_reader(flush), _DIGESTS), "hot-strings")
-    local = rows.filter("span_end > 0").select("id", "tag", F.array("at", "span_end").alias("spans"))
+    local = rows.filter("span_end > 0").select(*KEY, F.array("at", "span_end").alias("spans"))
     firsts = rows.filter("span_end = 0").drop("span_end")
-    place = F.struct("id", "tag", "at")
-    known = firsts.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("many"))
-    later = firsts.join(known.filter("many > 1"), ["high", "low"]).filter(place != F.col("first"))
+    place = F.struct(*KEY, "at")
+    known = firsts.groupBy("first8", "last8").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("many"))
+    later = firsts.join(known.filter("many > 1"), ["first8", "last8"]).filter(place != F.col("first"))
     return local.unionByName(
-        later.select("id", "tag", F.array("at", F.col("at") + LENGTH).alias("spans"))
+        later.select(*KEY, F.array("at", F.col("at") + LENGTH).alias("spans"))
     )
 
 
@@ -637,31 +639,30 @@ def _hot_spans(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Byte spans to remove by document: id, tag, spans (start, end, start, end, ...)."""
+    """Byte spans to remove by document: id, tag, low, spans (start, end, start, end, ...)."""
     keyed = _with_key(docs)
     anchors = _hot_anchors(keyed, hot)
     sent = keyed.mapInArrow(_send_records(anchors), _ROWS)
-    by_anchor = sent.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "tag", "place")
+    by_anchor = sent.repartition("anchor").sortWithinPartitions("anchor", "context", *KEY, "place")
     marks = stage(by_anchor.mapInArrow(_decide, _MARKS), "repeat-marks")
 
     contexts = marks.filter(F.size("anchors") > 0)
     many = contexts.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0
-    listed = contexts.groupBy("id", "tag").agg(
+    listed = contexts.groupBy(*KEY).agg(
         F.collect_list(F.struct("anchors", "places")).alias("parts")
     ).select(
-        "id",
-        "tag",
+        *KEY,
         F.flatten(F.transform("parts", lambda p: p["anchors"])).alias("anchors"),
         F.flatten(F.transform("parts", lambda p: p["places"])).alias("places"),
     )
-    held = _compressed(docs).join(listed, ["id", "tag"]).select("id", "tag", "text", "anchors", "places")
+    held = _compressed(docs).join(listed, KEY).select(*KEY, "text", "anchors", "places")
     shards = held.mapInArrow(_send_shards(-(-many // BUCKET_CONTEXTS) or 1), _SHARDS)
-    merged = shards.groupBy("bucket").applyInArrow(_merge, "id long, tag int, spans array<long>")
+    merged = shards.groupBy("bucket").applyInArrow(_merge, "id long, tag long, low long, spans array<long>")
 
-    spans = marks.filter(F.size("spans") > 0).select("id", "tag", "spans").unionByName(merged)
+    spans = marks.filter(F.size("spans") > 0).select(*KEY, "spans").unionByName(merged)
     if len(anchors):
         spans = spans.unionByName(_hot_spans(keyed, anchors))
-    return spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _compressed(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -690,7 +691,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         rows = [_without(unpack(text), own) for text, own in zip(texts, spans)]
         return pd.DataFrame(rows, columns=[field.split()[0] for field in _CUT.split(", ")])
 
-    joined = _compressed(docs, F.col("doc_id")).join(spans, ["id", "tag"], "left")
+    joined = _compressed(docs, F.col("doc_id")).join(spans, KEY, "left")
     return joined.select("doc_id", cut("text", "spans").alias("_cut")).select("doc_id", "_cut.*")
 
 

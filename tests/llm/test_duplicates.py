@@ -197,3 +197,36 @@ def test_components_of_long_chains_and_null_links(spark):
         **dict.fromkeys(range(61), 0), **dict.fromkeys([100, 150, 200], 100)
     }
     assert len(found) == 64
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_texts_whose_short_hashes_are_equal_keep_their_own_lines(spark, doc_id):
+    """Two texts that share a doc_id, or have none, and one 32-bit hash are two documents."""
+    rng = random.Random(8)
+    passage = "\n".join(_prose(rng, 12, "abcdefgh") for _ in range(5))
+    other = "\n".join(_prose(rng, 12, "ijklmnop") for _ in range(5))
+    made = spark.range(300_000).select(
+        F.concat(F.lit(passage + "\n"), "id").alias("a"), F.concat(F.lit(other + "\n"), "id").alias("b")
+    )
+    pairs = made.select("a", F.hash("a").alias("h")).join(made.select("b", F.hash("b").alias("h")), "h")
+    repeated, clean = pairs.select("a", "b").first()
+    docs = [(1, passage), (2, "another text")]
+    rows = [*docs, (doc_id, repeated), (doc_id, clean)]
+    if doc_id is None:
+        # Without a doc_id they come first, and the passage of document 1 is the later copy.
+        expected = {passage: True, repeated: False, clean: False}
+    else:
+        expected = {passage: False, repeated: True, clean: False}
+    df = plain.documents(spark, rows)
+    cut = suffix_dedup.remove_repeats(df).collect()
+    removed = sorted((r["n_bytes"], r["n_removed"] > 0) for r in cut)
+    assert removed == sorted((len(t.encode()), expected.get(t, False)) for _, t in rows)
+    report = line_dedup.line_report(df).collect()
+    lines = sorted((r["n_lines"], r["n_removed"] > 0) for r in report)
+    assert lines == sorted((t.count("\n") + 1, expected.get(t, False)) for _, t in rows)
+
+
+def test_rows_without_a_doc_id_do_not_meet_the_lowest_one(spark):
+    keys = spark.createDataFrame([(None, "same"), (-(1 << 63), "same")], EMPTY).select(*line_dedup.document_key())
+    rows = [tuple(r) for r in keys.collect()]
+    assert rows[0] < rows[1] and rows[0][0] == rows[1][0]
