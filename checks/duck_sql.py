@@ -397,9 +397,9 @@ _SCAN = (
 _LOG_DIRECTORIES = (
     DAILY, ENTRIES,
     _log_masked(
-        "row_number() OVER (ORDER BY day, file, line_no)",
+        "row_number() OVER (ORDER BY device >= 2, file, line_no)",
         """,
-    day = 0 AND device < 2 AS healthy, day = 0 AND device < 2 OR day = 1 AND device = 0 AS trained""",
+    device < 2 AS healthy, true AS trained""",
     ),
     _mining("positioned", "trained"), _matching("positioned"), NEAR,
 )
@@ -412,9 +412,8 @@ _ALL_DIRECTORIES = (
     ),
     _mining("positioned", "trained"), _matching("positioned"), NEAR,
 )
-_SCANNED = "file NOT IN ('f0-0.log', 'f1-0.log', 'f0-1.log')"
 _FIND = (
-    *_LOG_DIRECTORIES, _rare("healthy", "answers"), HITS, CLUSTERS, TRIGGERS, CONTEXT,
+    *_ALL_DIRECTORIES, _rare("healthy", "answers"), HITS, CLUSTERS, TRIGGERS, CONTEXT,
     _rare_findings(15), FOUND, _ranked("found"), _verdicts("found"),
 )
 
@@ -484,6 +483,8 @@ ORACLES: dict[str, str] = {
     "corpus_files": _with(DAILY) + """
 SELECT file, row_number() OVER (ORDER BY file) - 1 AS file_ord FROM (SELECT DISTINCT file FROM log)""",
     "corpus_lines": _with(DAILY) + "\nSELECT file, line_no, value FROM log",
+    "corpus_encodings": _with(DAILY) + """
+SELECT file, line_no, concat(value, ' \u00e9\u00fc\u00bf') AS value FROM log""",
     "ps_fields": _with(LOG, PS_LINES) + """
 SELECT file, line_no, elapsed_ms, component, level, text AS message FROM leveled""",
     "raw_meta": _with(LOG, META) + """
@@ -496,6 +497,16 @@ SELECT name, category, severity, description, burst_min IS NOT NULL AS is_burst,
 FROM rules r""",
     "rule_hits": _with(LOG, PS_LINES, HITS) + """
 SELECT file, line_no, rule_ord, value, elapsed_ms FROM hits""",
+    "device_rules": _with(LOG, PS_LINES) + r"""
+, users AS (
+  SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS rule_ord
+  FROM (SELECT DISTINCT user_id FROM events)),
+named AS (
+  SELECT file, line_no, value, elapsed_ms, CAST(nullif(concat(
+    regexp_extract(value, '\buser (\d+) \w+ ok$', 1),
+    regexp_extract(value, 'queue full, (\d+) waiting', 1)), '') AS BIGINT) AS user_id
+  FROM ps)
+SELECT file, line_no, rule_ord, value, elapsed_ms FROM named JOIN users USING (user_id)""",
     "rule_findings_context": _with(*_LOG_RULES, CONTEXT, recursive=True) + """
 SELECT file, rule_name, category, severity, description, line_number, timestamp, elapsed_ms,
   component, trigger_line, CAST(burst_size AS BIGINT) AS burst_size,
@@ -607,11 +618,9 @@ SELECT event_id, t.template, coalesce(n_lines, 0) AS n_lines, coalesce(normal, f
     AS vec_sum
 FROM templates t JOIN template_vectors USING (event_id) LEFT JOIN used USING (event_id)""",
     "find_reports": _with(*_FIND, recursive=True) + f"""
-, chosen AS (SELECT * FROM verdicts WHERE {_SCANNED})
-, shown AS (SELECT * FROM ranked WHERE {_SCANNED})
-SELECT 'json' AS kind, text FROM ({_json_rows("chosen", "shown")})
+SELECT 'json' AS kind, text FROM ({_json_rows("verdicts", "ranked")})
 UNION ALL
-SELECT 'md', unnest(string_split(text, chr(10))) FROM ({_markdown_rows("''", "chosen", "shown")})
+SELECT 'md', unnest(string_split(text, chr(10))) FROM ({_markdown_rows("''", "verdicts", "ranked")})
 UNION ALL
-SELECT 'summary', text FROM ({_summary_rows("''", "chosen")})""",
+SELECT 'summary', text FROM ({_summary_rows("''", "verdicts")})""",
 }

@@ -65,6 +65,13 @@ def _big(column: str) -> Column:
 # Lines and entries
 
 
+def corpus_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not UTF-8, and lines that end in other ways, decoded and numbered."""
+    return read_lines(spark, tables.encoded_corpus(spark, sf_dir)).select(
+        tables.corpus_file(F.col("file")).alias("file"), "line_no", "value"
+    )
+
+
 def ps_line_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = tables.log_lines(spark, sf_dir).filter(is_ps_line(F.col("value")))
     fields = [c.alias(name) for name, c in ps_fields(F.col("value")).items()]
@@ -118,6 +125,21 @@ def rule_hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def device_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of rules given as a table, one for each user of the events."""
+    user = F.col("user_id").cast("string")
+    rules = tables.read(spark, sf_dir, "events").select("user_id").distinct().select(
+        F.concat(F.lit("user_"), F.lpad(user, 9, "0")).alias("name"),
+        F.lit("User").alias("category"),
+        F.lit("LOW").alias("severity"),
+        F.concat(F.lit(r"\buser "), user, F.lit(r" \w+ ok$|queue full, "), user, F.lit(" waiting")).alias("pattern"),
+        F.lit("A line of one user").alias("description"),
+    )
+    return rule_hits(tables.log_lines(spark, sf_dir), rules).select(
+        "file", "line_no", _big("rule_ord"), "value", "elapsed_ms"
+    )
+
+
 def burst_cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rule_hits(tables.log_lines(spark, sf_dir))
     return burst_clusters(hits, burst_settings(spark, RULE_LIBRARY)).select(
@@ -461,15 +483,12 @@ def _train_directories(
 
 
 def train_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training on two small directories, three files in all, as saved.
-
-    ``train_all_directories`` trains on every file.
-    """
+    """Training on two directories that hold the logs of two devices each, as saved."""
     return _saved_model(load_model(spark, _train_directories(spark, sf_dir)))
 
 
 def train_all_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training on two directories that hold every daily file between them, as saved."""
+    """Training on two directories, of the healthy day's files and of all others, as saved."""
     model_dir = _train_directories(spark, sf_dir, tables.HEALTHY_FILES, tables.OTHER_FILES)
     return _saved_model(load_model(spark, model_dir))
 
@@ -488,13 +507,13 @@ def _saved_model(model: Model) -> DataFrame:
 
 
 def find_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all reports that a scan with a trained model writes, without file names."""
-    model_dir, out = _train_directories(spark, sf_dir), new_folder(spark, "reports")
-    others = ~F.expr(f"({tables.NORMAL_FILES}) OR ({tables.ANOMALY_FILES})")
-    find(
-        spark, tables.log_corpus(spark, sf_dir, others), out, model_dir,
-        embedder=tables.md5_embedding,
-    )
+    """The lines of all reports that a scan of every file writes, without file names.
+
+    The model is trained on every file as well.
+    """
+    model_dir = _train_directories(spark, sf_dir, tables.HEALTHY_FILES, tables.OTHER_FILES)
+    out = new_folder(spark, "reports")
+    find(spark, tables.log_corpus(spark, sf_dir), out, model_dir, embedder=tables.md5_embedding)
     written = [
         spark.read.text(f"{out}/{kind}").select(F.lit(kind).alias("kind"), "value")
         for kind in ("json", "md", "summary")
@@ -508,11 +527,13 @@ def find_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "corpus_files": corpus_files,
     "corpus_lines": corpus_lines,
+    "corpus_encodings": corpus_encodings,
     "ps_fields": ps_line_fields,
     "raw_meta": raw_line_meta,
     "entry_assembly": entry_assembly,
     "rule_library": rule_library,
     "rule_hits": rule_hit_lines,
+    "device_rules": device_rules,
     "rule_findings_context": rule_findings_context,
     "burst_clusters": burst_cluster_lines,
     "findings_ranked": findings_ranked,

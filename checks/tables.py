@@ -128,19 +128,40 @@ def log_corpus(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -
     lines = log_lines(spark, sf_dir, daily=True)
     if chosen is not None:
         lines = lines.withColumns(file_parts()).filter(chosen)
+    _write_logs(lines, path)
+    return f"{path}/file=*"
+
+
+def _write_logs(lines: DataFrame, path: str, **options: str) -> None:
     (
         lines.repartition("file")
         .sortWithinPartitions("file", "line_no")
         .select("file", "value")
         .write.partitionBy("file")
-        .option("extension", "log")
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
+        .options(extension="log", sep="\u0001", quote="", **options)
+        .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
         .csv(path)
     )
-    return f"{path}/file=*"
+
+
+# What ends each line, and how a device's files are written.
+ACCENTS = " \u00e9\u00fc\u00bf"
+ENCODINGS = {
+    0: {"encoding": "ISO-8859-1", "lineSep": "\n"},
+    1: {"encoding": "UTF-8", "lineSep": "\r"},
+    2: {"encoding": "UTF-8", "lineSep": "\r\n"},
+    3: {"encoding": "ISO-8859-1", "lineSep": "\r"},
+}
+
+
+def encoded_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """The daily log files with accents in every line, in the encodings and line ends above."""
+    path = new_folder(spark, "corpus")
+    lines = log_lines(spark, sf_dir, daily=True).withColumn("value", F.concat("value", F.lit(ACCENTS)))
+    for device, options in ENCODINGS.items():
+        own = lines.withColumns(file_parts()).filter(F.col("device") == device)
+        _write_logs(own, f"{path}/device{device}", **options)
+    return f"{path}/*/file=*"
 
 
 def file_parts() -> dict[str, Column]:
@@ -149,10 +170,8 @@ def file_parts() -> dict[str, Column]:
     return {"device": device, "day": day}
 
 
-# The few files (2.6 % of the lines) of a small training run by directory; the others are scanned.
-NORMAL_FILES = "day = 0 AND device < 2"
-ANOMALY_FILES = "day = 1 AND device = 0"
-# Every file is in one of these two directories.
+# Two ways to deal all files to two directories: by device, and by day.
+NORMAL_FILES, ANOMALY_FILES = "device < 2", "device >= 2"
 HEALTHY_FILES = f"day <= {HEALTHY_DAY}"
 OTHER_FILES = f"day > {HEALTHY_DAY}"
 

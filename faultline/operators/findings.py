@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +11,20 @@ from faultline.operators.bursts import burst_clusters, burst_settings
 from faultline.operators.ordered import CHUNK_LINES, chunk_of, with_row_number
 from faultline.operators.runtime_filter import likely_members
 from faultline.operators.rule_hits import rule_hits
-from faultline.rules import RULE_LIBRARY, Rule, rules_table
+from faultline.rules import RULE_LIBRARY, Rules, as_rules, rules_table
 from faultline.staging import fits_broadcast, stage
 
 BAND_LINES = 32  # lines that meet findings under one join key
 
 
 def rule_triggers(
-    lines: DataFrame, rules: Sequence[Rule] = RULE_LIBRARY, chunk_lines: int = CHUNK_LINES
+    lines: DataFrame, rules: Rules = RULE_LIBRARY, chunk_lines: int = CHUNK_LINES
 ) -> DataFrame:
     """One row per rule finding, before its context is attached.
 
     Every hit of a single-line rule, and for a burst rule the first line of each cluster.
     """
-    spark = lines.sparkSession
+    spark, rules = lines.sparkSession, as_rules(rules)
     hits = stage(rule_hits(lines, rules), "rule-hits")
     single = [i for i, rule in enumerate(rules) if not rule.is_burst]
     triggers = hits.filter(F.col("rule_ord").isin(single)).withColumn(
@@ -41,7 +39,7 @@ def rule_triggers(
         triggers = triggers.unionByName(bursting.join(opening, ["file", "rule_ord", "line_no"]))
     meta = raw_meta(F.col("value"))
     described = triggers.join(
-        F.broadcast(rules_table(spark, tuple(rules))), "rule_ord"  # one row per rule
+        F.broadcast(rules_table(spark, rules)), "rule_ord"  # one row per rule
     )
     return described.select(
         "file",
@@ -115,7 +113,7 @@ def _ordered_text(keep: Column) -> Column:
 
 
 def rule_findings(
-    lines: DataFrame, rules: Sequence[Rule] = RULE_LIBRARY, chunk_lines: int = CHUNK_LINES
+    lines: DataFrame, rules: Rules = RULE_LIBRARY, chunk_lines: int = CHUNK_LINES
 ) -> DataFrame:
     """Rule findings of every file, with context, not yet ranked."""
     return attach_context(rule_triggers(lines, rules, chunk_lines), lines)

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.lines import is_ps_line, ps_elapsed_ms
-from faultline.rules import RULE_LIBRARY, Rule
+from faultline.operators.many_rules import with_candidates
+from faultline.rules import RULE_LIBRARY, Rule, Rules, as_rules
+
+UNROLLED = 64  # rules whose patterns become literals of the plan
 
 # Case-insensitive for any script, Unicode classes, and only a newline ends a line.
 _FLAGS = "(?diuU)"
@@ -39,27 +42,47 @@ def may_match(rules: Sequence[Rule], value: Column) -> Column:
     return found | (F.octet_length(value) != F.char_length(value))
 
 
-def rule_hits(lines: DataFrame, rules: Sequence[Rule] = RULE_LIBRARY) -> DataFrame:
+def rule_hits(lines: DataFrame, rules: Rules = RULE_LIBRARY) -> DataFrame:
     """One row per (PS line, matching rule): file, line_no, value, elapsed_ms, rule_ord.
 
-    A single pass without a shuffle. Almost every line leaves at the text search; the rules
-    are unrolled into one array, so that each pattern is a literal and compiles once.
+    A single pass without a shuffle, for rules given as tuples or as rows. Up to ``UNROLLED``
+    rules, almost every line leaves at the text search, and the rules are unrolled into one array,
+    so that each pattern is a literal and compiles once. More rules are searched for together.
     """
+    rules = as_rules(rules)
     if not rules:
         raise ValueError("at least one rule is needed")
+    narrow = lines.select("file", "line_no", "value")
     value = F.col("value")
+    elapsed = F.coalesce(ps_elapsed_ms(value), F.lit(0)).alias("elapsed_ms")
+    if len(rules) > UNROLLED:
+        return _hits_of_many(narrow, rules).select("file", "line_no", "value", elapsed, "rule_ord")
     fired = F.array(
         *[F.when(matches(rule, value), F.lit(i)).otherwise(F.lit(-1)) for i, rule in enumerate(rules)]
     )
     return (
-        lines.select("file", "line_no", "value")
         # From the cheapest test to the dearest.
-        .filter(value.startswith("[") & may_match(rules, value) & is_ps_line(value))
+        narrow.filter(value.startswith("[") & may_match(rules, value) & is_ps_line(value))
         .select(
             "file",
             "line_no",
             "value",
-            F.coalesce(ps_elapsed_ms(value), F.lit(0)).alias("elapsed_ms"),
+            elapsed,
             F.explode(F.filter(fired, lambda i: i >= 0)).alias("rule_ord"),
         )
     )
+
+
+def _hits_of_many(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    spark, value = lines.sparkSession, F.col("value")
+    patterns = [(i, rule.pattern, rule.exclude_pattern) for i, rule in enumerate(rules)]
+    table = spark.createDataFrame(patterns, "rule_ord INT, pattern STRING, exclude STRING")
+
+    def holds(pattern: str) -> Column:
+        return F.rlike(value, F.concat(F.lit(_FLAGS), pattern))
+
+    return (
+        with_candidates(lines.filter(value.startswith("[")), rules, "rule_ord")
+        .join(F.broadcast(table), "rule_ord")  # one row per rule, at most MAX_RULES
+        .filter(is_ps_line(value) & holds("pattern") & ~F.coalesce(holds("exclude"), F.lit(False)))
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from faultline.operators.rare import (
     without_rule_lines,
 )
 from faultline.plans.train import MIN_SIMILARITY, SIM_THRESHOLD, resolve
-from faultline.rules import RULE_LIBRARY, Rule
+from faultline.rules import RULE_LIBRARY, Rules
 from faultline.sinks.reports import write_reports
 from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import Model, load_model
@@ -36,7 +35,7 @@ class Report(NamedTuple):
 def scan(
     lines: DataFrame,
     model: Model | None = None,
-    rules: Sequence[Rule] = RULE_LIBRARY,
+    rules: Rules = RULE_LIBRARY,
     max_rare: int = MAX_PER_FILE_IN_SCAN,
     sim_threshold: float = SIM_THRESHOLD,
     min_similarity: float = MIN_SIMILARITY,
@@ -68,7 +67,7 @@ def find(
     log_dir: str,
     out_dir: str,
     model_dir: str | None = None,
-    rules: Sequence[Rule] = RULE_LIBRARY,
+    rules: Rules = RULE_LIBRARY,
     max_rare: int = MAX_PER_FILE_IN_SCAN,
     sim_threshold: float = SIM_THRESHOLD,
     min_similarity: float = MIN_SIMILARITY,

@@ -17,7 +17,7 @@ from faultline.operators.mining import (
 from faultline.operators.neighbours import resolve_unmatched
 from faultline.operators.rare import known_ids
 from faultline.sources.logs import list_files, read_lines
-from faultline.sources.model import Model, save_table
+from faultline.sources.model import Model, new_version, save_table
 from faultline.staging import fits_broadcast, job_staging, stage
 
 SIM_THRESHOLD = 0.5
@@ -73,19 +73,23 @@ def train_entries(
     max_children: int = MAX_CHILDREN,
     embedder: Embedder = hash_embedding,
 ) -> Model:
-    """Train on entries with pos, message and normal (true for the healthy corpus)."""
+    """Train on entries with pos, message and normal (true for the healthy corpus).
+
+    The model in ``model_dir`` is replaced as a whole, when all of the new one is written.
+    """
     texts = stage(distinct_masked(entries), "texts")
     mined = stage(number_templates(mine_templates(texts, sim_threshold, max_children)), "mined")
     # Every trained text has a match in the finished dictionary, though not always the
     # template it was folded into, so counts and healthy ids come from a second look-up.
     matched = stage(match_texts(texts, mined, sim_threshold), "trained")
-    templates = save_table(count_lines(mined, matched), model_dir, "templates")
-    embeddings = save_table(
-        embed_templates(templates.select("event_id", "template"), "template", embedder),
-        model_dir,
-        "embeddings",
-    )
-    normal = save_table(known_ids(matched.filter("normal")), model_dir, "normal_ids")
+    with new_version(entries.sparkSession, model_dir) as version:
+        templates = save_table(count_lines(mined, matched), version, "templates")
+        embeddings = save_table(
+            embed_templates(templates.select("event_id", "template"), "template", embedder),
+            version,
+            "embeddings",
+        )
+        normal = save_table(known_ids(matched.filter("normal")), version, "normal_ids")
     return Model(templates, embeddings, normal)
 
 

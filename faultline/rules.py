@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,6 +111,27 @@ RULE_LIBRARY: tuple[Rule, ...] = (
 )
 
 
+Rules = Sequence[Rule] | DataFrame
+MAX_RULES = 100_000  # rules given as rows are read by the driver, as their patterns are the plan
+
+
+def as_rules(rules: Rules) -> tuple[Rule, ...]:
+    """Rules in evaluation order, from tuples or from a table.
+
+    A table has a row per rule, with columns named as a rule's fields (name, category, severity,
+    pattern and description at least), in the order of ``rule_ord`` if it has one, else of ``name``.
+    """
+    if not isinstance(rules, DataFrame):
+        return tuple(rules)
+    order = "rule_ord" if "rule_ord" in rules.columns else "name"
+    fields = [field for field in Rule._fields if field in rules.columns]
+    rows = rules.orderBy(order).select(*fields).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    given = ({f: row[f] for f in fields if row[f] is not None} for row in rows)
+    return tuple(Rule(**{**row, "literals": tuple(row.get("literals", ()))}) for row in given)
+
+
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RULE_LIBRARY) -> DataFrame:
     """The rules as a small table, one row per rule in evaluation order."""
     # The last field, literals, only speeds up the scan.

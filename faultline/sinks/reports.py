@@ -1,20 +1,24 @@
 """Per-file reports and the corpus summary, written as ordered lines of text.
 
 A report is never gathered into one row: its header, every finding and its end are rows with
-a running number, range-partitioned by (report, number). Small reports come out as one part
-file; a report too big for a task spans several, whose names sort in reading order, so
-concatenating the part files of a folder gives the document.
+a running number. They are sorted by (report, number), with spilling, and each report is written as
+one stream to one file, so its size is not bounded by memory. Spark's own writer commits the files;
+then they get their names and take the place of older ones.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.folders import Folder
 from faultline.functions.scoring import SEVERITIES, VERDICTS
 from faultline.operators.findings import corpus_summary
 from faultline.schemas import FINDING_FIELDS
 
+# The keys and headings of the documents below are part of their format.
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 FENCE = "```"
 
@@ -158,23 +162,54 @@ def summary_report(verdicts: DataFrame) -> DataFrame:
     return head.unionByName(body).unionByName(end)
 
 
-def write_documents(report: DataFrame, path: str, suffix: str) -> None:
-    """One folder ``report=<stem><suffix>`` per file below ``path``, replacing older output."""
-    (
-        report.select(F.concat(file_stem(F.col("file")), F.lit(suffix)).alias("report"), "seq", "text")
-        .repartitionByRange("report", "seq")
-        .sortWithinPartitions("report", "seq")
-        .select("report", "text")
-        .write.mode("overwrite")
-        # Reports of files that are gone go as well, whatever the session's mode is.
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("report")
-        .text(path)
-    )
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One file ``report`` below ``path`` per document, its texts in the order of seq.
+
+    Older output there is replaced when all of the new one is written; if a task fails, the older
+    output stays and nothing of the new one is left.
+    """
+    spark = documents.sparkSession
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    folder = Folder(spark, parent)
+    parts, whole = (f".{name}-{kind}-{uuid.uuid4().hex}" for kind in ("parts", "files"))
+    try:
+        (
+            # A column that is never null keeps its order when Spark writes by it.
+            documents.withColumn("report", F.coalesce("report", F.lit("")))
+            .repartition("report")
+            .sortWithinPartitions("report", "seq")
+            .select("report", "text")
+            .write.partitionBy("report")
+            # A document is one task's stream, whatever the session's limit per file is.
+            .option("maxRecordsPerFile", 0)
+            .text(f"{parent}/{parts}")
+        )
+        _flatten(folder, parts, whole)
+        folder.remove(name)
+        folder.move(whole, name)
+    finally:
+        folder.remove(parts)
+        folder.remove(whole)
+
+
+def _flatten(folder: Folder, parts: str, whole: str) -> None:
+    """Move the one file of each ``report=<name>`` folder to ``<name>``."""
+    Folder(folder.spark, f"{folder.path}/{whole}").make()
+    unescape = folder.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    moves = []
+    for own in folder.names(parts):
+        (file,) = folder.names(f"{parts}/{own}")
+        moves.append((f"{parts}/{own}/{file}", f"{whole}/{unescape(own.split('=', 1)[1])}"))
+    folder.move_all(moves)
+
+
+def _per_file(report: DataFrame, suffix: str) -> DataFrame:
+    return report.select(F.concat(file_stem(F.col("file")), F.lit(suffix)).alias("report"), "seq", "text")
 
 
 def write_reports(findings: DataFrame, verdicts: DataFrame, out_dir: str) -> None:
-    """findings and verdicts (parquet), json, md and summary below ``out_dir``.
+    """Below ``out_dir``: findings and verdicts (parquet), and as single files
+    json/<stem>.findings.json, md/<stem>.findings.md and summary/summary.json.
 
     Older output there is replaced.
     """
@@ -182,8 +217,10 @@ def write_reports(findings: DataFrame, verdicts: DataFrame, out_dir: str) -> Non
         "file", "rank"
     ).write.mode("overwrite").parquet(f"{out_dir}/findings")
     verdicts.write.mode("overwrite").parquet(f"{out_dir}/verdicts")
-    write_documents(json_report(findings, verdicts), f"{out_dir}/json", ".findings.json")
-    write_documents(markdown_report(findings, verdicts), f"{out_dir}/md", ".findings.md")
-    summary_report(verdicts).orderBy(
-        F.col("seq") == 2, "file", "seq"
-    ).select("text").write.mode("overwrite").text(f"{out_dir}/summary")
+    write_documents(_per_file(json_report(findings, verdicts), ".findings.json"), f"{out_dir}/json")
+    write_documents(_per_file(markdown_report(findings, verdicts), ".findings.md"), f"{out_dir}/md")
+    in_order = F.struct(F.col("seq") == 2, "file")
+    summary = summary_report(verdicts).select(
+        F.lit("summary.json").alias("report"), in_order.alias("seq"), "text"
+    )
+    write_documents(summary, f"{out_dir}/summary")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline import find, scan, train
 from faultline.operators.assemble import assemble_entries
-from faultline.plans.train import with_positions
+from faultline.plans.train import train_entries, with_positions
 from faultline.sinks.reports import write_documents
 from faultline.sources.logs import list_files, read_lines
 from faultline.sources.model import load_model
@@ -84,8 +84,8 @@ def test_find(spark, corpora, write_log, tmp_path):
     assert rows[1]["actionability_score"] == pytest.approx(0.55)
     verdicts = {Path(r["file"]).name: r["verdict"] for r in report.verdicts.collect()}
     assert verdicts == {"dev.log": "ANOMALOUS", "clean.log": "NORMAL", "empty.log": "NORMAL"}
-    parts = sorted((out / "summary").glob("part-*.txt"))
-    assert json.loads("".join(p.read_text() for p in parts))["total_files"] == 3
+    assert json.loads((out / "summary" / "summary.json").read_text())["total_files"] == 3
+    assert json.loads((out / "json" / "dev.findings.json").read_text())["finding_count"] == 3
 
 
 def test_find_without_a_model_or_logs(spark, corpora, tmp_path):
@@ -133,16 +133,86 @@ def test_a_file_that_was_not_listed_is_an_error(spark, write_log):
         read_lines(spark, folder, files).collect()
 
 
-def test_old_reports_go_in_any_overwrite_mode(spark, tmp_path):
+def _documents(spark, rows):
+    return spark.createDataFrame(rows, "report STRING, seq BIGINT, text STRING")
+
+
+def test_old_documents_go_in_any_overwrite_mode(spark, tmp_path):
     name = "spark.sql.sources.partitionOverwriteMode"
     spark.conf.set(name, "dynamic")
     try:
-        for file in ("/x/old.log", "/x/new.log"):
-            report = spark.createDataFrame([(file, 0, "text")], "file STRING, seq INT, text STRING")
-            write_documents(report, str(tmp_path / "json"), ".json")
+        for report in ("old.json", "new=1 %é.json"):
+            write_documents(_documents(spark, [(report, 0, "text")]), str(tmp_path / "json"))
     finally:
         spark.conf.unset(name)
-    assert [p.name for p in (tmp_path / "json").glob("report=*")] == ["report=new.json"]
+    assert [p.name for p in tmp_path.rglob("*") if not p.name.startswith(".")] == ["json", "new=1 %é.json"]
+
+
+def test_a_document_is_one_file_in_order(spark, tmp_path):
+    rows = [(f"r{i % 3}.md", i, f"line {i}") for i in range(9000)]
+    documents = _documents(spark, rows).repartition(8)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        write_documents(documents, str(tmp_path / "md"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    for i in range(3):
+        lines = (tmp_path / "md" / f"r{i}.md").read_text().splitlines()
+        assert lines == [f"line {n}" for n in range(i, 9000, 3)]
+
+
+def test_no_documents_leave_an_empty_folder(spark, tmp_path):
+    write_documents(_documents(spark, []), str(tmp_path / "json"))
+    assert list((tmp_path / "json").iterdir()) == []
+
+
+def test_a_failed_task_leaves_the_older_documents(spark, tmp_path):
+    target = str(tmp_path / "json")
+    write_documents(_documents(spark, [("a.json", 0, "old")]), target)
+    broken = _documents(spark, [("a.json", 0, "new"), ("b.json", 1, "new")]).withColumn(
+        "text", F.when(F.col("seq") == 1, F.raise_error(F.lit("broken"))).otherwise(F.col("text"))
+    )
+    with pytest.raises(Exception, match="broken"):
+        write_documents(broken, target)
+    assert [p.name for p in tmp_path.iterdir()] == ["json"]
+    assert (tmp_path / "json" / "a.json").read_text() == "old\n"
+
+
+def _model(spark, folder, texts, embedder=None):
+    rows = [(i, t, True) for i, t in enumerate(texts)]
+    entries = spark.createDataFrame(rows, "pos BIGINT, message STRING, normal BOOLEAN")
+    return train_entries(entries, str(folder), **({"embedder": embedder} if embedder else {}))
+
+
+def _templates(spark, folder):
+    model = load_model(spark, str(folder))
+    ids = {r["event_id"] for r in model.embeddings.collect()}
+    rows = model.templates.collect()
+    assert ids == {r["event_id"] for r in rows} == {r["event_id"] for r in model.normal_ids.collect()}
+    return sorted(r["template"] for r in rows)
+
+
+def test_a_training_that_fails_between_tables_leaves_the_model_whole(spark, tmp_path):
+    _model(spark, tmp_path / "m", ["alpha beta", "gamma delta"])
+
+    def broken(text):
+        return F.array(F.raise_error(F.lit("no embedding")).cast("double"))
+
+    with pytest.raises(Exception, match="no embedding"):
+        _model(spark, tmp_path / "m", ["other words here"], broken)
+    assert _templates(spark, tmp_path / "m") == ["alpha beta", "gamma delta"]
+    assert len(list((tmp_path / "m").glob("version-*"))) == 1
+
+
+def test_readers_keep_the_version_they_opened(spark, tmp_path):
+    for word in ("one", "two", "three"):
+        before = load_model(spark, str(tmp_path / "m"))
+        _model(spark, tmp_path / "m", [f"{word} text"])
+        assert _templates(spark, tmp_path / "m") == [f"{word} text"]
+        if before is not None:  # the version before is still there
+            assert before.templates.count() == 1
+    assert len(list((tmp_path / "m").glob("version-*"))) == 2
+    assert not list((tmp_path / "m").glob("current-*"))
 
 
 def test_lines_are_shuffled_and_sorted_once_for_entries(spark):
