@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 from zlib import crc32
 
@@ -172,20 +173,34 @@ def candidates(text: str) -> list[Span]:
         if wanted[kind]
         for match in form.finditer(text)
     ]
-    base = sorted((s.start, s.end) for s in spans)
-    taken = base.copy()
+    base = _Base(sorted((s.start, s.end) for s in spans))
+    taken: list[tuple[int, int]] = []  # accepted loose spans, none of which overlap
     for found in sorted(loose, key=lambda s: (s.start, s.kind)):
         for span in _beside(text, found, base) if found.kind == "secret" else [found]:
-            if not _overlaps(taken, span):
+            at = bisect_left(taken, (span.end, -1))
+            beside_loose = at == 0 or taken[at - 1][1] <= span.start
+            if beside_loose and not base.overlapping(span):
                 spans.append(span)
                 insort(taken, (span.start, span.end))
     return spans
 
 
-def _beside(text: str, secret: Span, base: list[tuple[int, int]]) -> Iterator[Span]:
+class _Base:
+    """Base spans by start, which may overlap each other, and how far each and those before reach."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = spans
+        self.reach = list(accumulate((end for _, end in spans), max))
+
+    def overlapping(self, span: Span) -> list[tuple[int, int]]:
+        first = bisect_right(self.reach, span.start)
+        last = bisect_left(self.spans, (span.end, -1))
+        return [s for s in self.spans[first:last] if s[1] > span.start]
+
+
+def _beside(text: str, secret: Span, base: _Base) -> Iterator[Span]:
     """The parts of a secret between base spans: the first if it has the form, others by length."""
-    first = max(0, bisect_left(base, (secret.start, -1)) - 4)
-    inner = [s for s in base[first : bisect_left(base, (secret.end, -1))] if s[1] > secret.start]
+    inner = base.overlapping(secret)
     if not inner:
         yield secret
         return
@@ -199,12 +214,6 @@ def _beside(text: str, secret: Span, base: list[tuple[int, int]]) -> Iterator[Sp
         done = max(done, end)
 
 
-def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
-    at = bisect_left(taken, (span.end, -1))
-    # Base spans of two kinds may overlap each other, so a few earlier ones are looked at.
-    return any(end > span.start for _, end in taken[max(0, at - 4) : at])
-
-
 def votes(text: str, span: Span) -> tuple[int, ...]:
     """One vote each, 1 for, -1 against, 0 none: pattern, gazetteer, context, shape, checksum."""
     value = text[span.start : span.end]
@@ -264,7 +273,7 @@ def features(text: str, span: Span) -> list[int]:
     value = text[span.start : span.end]
     shape = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", value)))
     parts = [f"length {min(20, len(value) // 3)}", f"base {span.base}"]
-    parts += [f"shape {shape[i : i + 3]}" for i in range(min(len(shape), 64))]
+    parts += [f"shape {part}" for part in {shape[i : i + 3] for i in range(len(shape))}]
     parts += [f"near {word}" for word in _neighbours(text, span) if any(word in c for c in _CUES.values())]
     parts += [f"vote {n} {v}" for n, v in enumerate(votes(text, span))]
     return sorted({crc32(f"{span.kind} {part}".encode()) % FEATURES for part in parts})

@@ -34,3 +34,22 @@ def test_long_secrets_take_linear_time():
     for text in ("token=" * 50_000, "sk-" * 100_000, "token=" + "a" * 300_000, "token=abc " * 30_000):
         pii.candidates(text)
     assert time.process_time() - started < 10
+
+
+def test_loose_spans_overlap_no_base_span():
+    text = "1.1.1.1%2.2.2.2%3.3.3.3%4.4.4.4%5.5.5.5%123-45-6789@host.com"
+    spans = pii.candidates(text)
+    base = [s for s in spans if s.base]
+    assert {s.kind for s in base} >= {"ip", "email"}
+    for loose in (s for s in spans if not s.base):
+        assert all(loose.end <= s.start or s.end <= loose.start for s in base)
+    inside = "token=" + "".join(f"a{i}.1.1.1%x" for i in range(9)) + "tail"
+    parts = sorted((s.start, s.end) for s in pii.candidates(inside))
+    assert all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_features_see_the_whole_value():
+    values = ["token=" + "a" * 100 + tail for tail in ("", "9Z-")]
+    spans = [next(s for s in pii.candidates(v) if s.kind == "secret") for v in values]
+    assert spans[1].end == len(values[1])
+    assert set(pii.features(values[1], spans[1])) - set(pii.features(values[0], spans[0]))
