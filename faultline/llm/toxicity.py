@@ -7,9 +7,11 @@ less) than its two words do alone. The pairs are never listed: half of the squar
 vectors less the sum of their squares is the same number.
 
 The fit sees at most ``SAMPLE_PER_CLASS`` labelled documents of each class, those with the smallest
-hash of their doc_id, weighted back to the share of their class among all labelled documents. Terms
-that tell the classes apart no better than chance are left out of the machine. Scoring is map-only; the machine is
-of fixed size.
+hash of their doc_id, weighted back to the share of their class among all labelled documents. The
+machine has at most ``TERMS`` terms: those that tell the classes apart beyond chance, alone or, for
+the ``PAIR_TERMS`` most frequent ones, together with another term (a pair whose joint frequencies tell
+more than its two terms do alone). So a term that is as frequent in both classes takes part if it
+says something in company. Scoring is map-only; the machine is of fixed size.
 
 Defined cases: a null or empty text has no terms and scores the base rate; a document with several
 labels is toxic if one says so; null labels and labels without a document are ignored; without any
@@ -18,6 +20,7 @@ labels every score is 0; documents without a doc_id are scored and count as not
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 from zlib import crc32
 
@@ -30,7 +33,10 @@ from faultline.llm.texts import folded_words, remainder, utf8
 
 BUCKETS = 1 << 18
 SAMPLE_PER_CLASS = 2000
-TERMS = 2048
+TERMS = 2048  # the machine's size
+PAIR_TERMS = 2048  # terms among which pairs are looked for
+PAIR_SUPPORT = 8  # documents that have a term of a pair, and that lack it
+_PAIR_ROWS = 256
 PIECES = (5, 6, 7)
 FACTORS = 8
 STEPS = 2500
@@ -146,23 +152,69 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> M
 
 
 def _telling_terms(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The terms whose frequency tells the classes apart by more than chance among all terms."""
+    """Terms that tell the classes apart beyond chance, alone or with another term; at most TERMS."""
     seen = np.zeros((2, BUCKETS))
     for terms, kind in zip(documents, toxic.astype(int)):
         seen[kind, terms] += 1
-    many = [max(1, int((toxic == kind).sum())) for kind in (0, 1)]
-    both = (seen[0] + seen[1]) / sum(many)
-    ratio = np.zeros(BUCKETS)  # log-likelihood ratio of each term
-    for own, n in zip(seen, many):
-        ratio += _log_share(own, n * both) + _log_share(n - own, n * (1 - both))
-    candidates = max(2, np.count_nonzero(both))
-    best = np.argsort(-ratio, kind="stable")[:TERMS]
-    return np.sort(best[ratio[best] > np.log(candidates)])
-
-
-def _log_share(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    filled = seen > 0
-    return np.where(filled, 2 * seen * np.log(np.where(filled, seen, 1) / np.where(filled, expected, 1)), 0)
+    many = np.array([(toxic == kind).sum() for kind in (0, 1)], float)
+    ratio = _ratio([(seen[0], seen[1]), (many[0] - seen[0], many[1] - seen[1])], many)
+    candidates = max(2, np.count_nonzero(seen.sum(axis=0)))
+    gain = np.where(ratio > np.log(candidates), ratio, 0)
+    for terms, own in _telling_pairs(documents, toxic, seen, many, ratio):
+        gain[terms] = np.maximum(gain[terms], own)
+    best = np.argsort(-gain, kind="stable")[:TERMS]
+    return np.sort(best[gain[best] > 0])
+
+
+def _ratio(cells: list[tuple[np.ndarray, np.ndarray]], many: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of what the cells (documents in them by class) tell of the class."""
+    told = sum(_x_log_x(a) + _x_log_x(b) - _x_log_x(a + b) for a, b in cells)
+    return 2 * (told - _x_log_x(many).sum() + _x_log_x(many.sum()))
+
+
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1))
+
+
+def _telling_pairs(
+    documents: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray, many: np.ndarray, ratio: np.ndarray
+) -> Iterator[tuple[np.ndarray, float]]:
+    """Terms of the pairs that tell more together than both do alone, and how much more.
+
+    Looked for among the PAIR_TERMS most frequent terms. Terms of the same documents, like the
+    pieces of one word, count as one and come together.
+    """
+    draw = np.random.default_rng(1).integers(1, 1 << 63, len(documents), dtype=np.uint64)
+    mark = np.zeros(BUCKETS, np.uint64)  # equal for terms of the same documents
+    for terms, own in zip(documents, draw):
+        mark[terms] += own
+    total = seen.sum(axis=0)
+    known = np.flatnonzero((total >= PAIR_SUPPORT) & (total <= many.sum() - PAIR_SUPPORT))
+    members = known[np.unique(mark[known], return_index=True)[1]]
+    members = np.sort(members[np.argsort(-total[members], kind="stable")[:PAIR_TERMS]])
+    if len(members) < 2:
+        return
+    place = np.full(BUCKETS, -1, np.int64)
+    place[members] = np.arange(len(members))
+    x = np.zeros((len(documents), len(members)), np.float32)
+    for row, terms in enumerate(documents):
+        at = place[terms]
+        x[row, at[at >= 0]] = 1
+    chance = 2 * np.log(len(members) ** 2 / 2)
+    for lo in range(0, len(members), _PAIR_ROWS):
+        own = members[lo : lo + _PAIR_ROWS]
+        cells: list[list[np.ndarray]] = [[], [], [], []]
+        for kind in (0, 1):
+            part = x[toxic == kind]
+            both = (part[:, lo : lo + _PAIR_ROWS].T @ part).astype(float)
+            one, other = seen[kind, own][:, None], seen[kind, members][None, :]
+            for cell, value in zip(cells, (both, one - both, other - both, many[kind] - one - other + both)):
+                cell.append(value)
+        more = _ratio([(a, b) for a, b in cells], many) - ratio[own][:, None] - ratio[members][None, :]
+        i, j = np.nonzero(more > chance)
+        for a, b in zip(i[lo + i < j], j[lo + i < j]):
+            alike = np.isin(mark[known], mark[[own[a], members[b]]])
+            yield known[alike], float(more[a, b])
 
 
 def _gradients(params, x, toxic, weight):

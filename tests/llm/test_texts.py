@@ -393,3 +393,27 @@ def test_packing_of_repeated_rows_nulls_and_nothing(spark):
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("1", 3), ("1", 3), ("None", 1), ("None", 2)]
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 4
     assert packing.packed_documents(df.limit(0), TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_toxicity_learns_pairs_whose_words_tell_nothing_alone(alike):
+    """Label 1 where both words stand or neither, or the other way round; each word alone is even."""
+    rng = random.Random(13)
+
+    def made(n):
+        docs, kinds = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = [_sentence(rng, 1) for _ in range(rng.randint(5, 60))] + ["glorp"] * a + ["zumpers"] * b
+            rng.shuffle(words)
+            docs.append(toxicity._terms(" ".join(words).encode()))
+            kinds.append(float((a == b) == alike))
+        return docs, np.array(kinds)
+
+    docs, kinds = made(1800)
+    machine = toxicity.fit(docs, kinds, np.ones(len(kinds)))
+    assert 0 < (machine.place >= 0).sum() < 100  # and nothing of the other words
+    docs, kinds = made(500)
+    places = [machine.place[d] for d in docs]
+    margins = np.array([machine.margin(p[p >= 0]) for p in places])
+    assert ((margins > 0) == (kinds > 0)).mean() > 0.95
