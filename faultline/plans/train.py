@@ -101,9 +101,13 @@ def train(
     sim_threshold: float = SIM_THRESHOLD,
     max_children: int = MAX_CHILDREN,
     embedder: Embedder = hash_embedding,
-    skip_unreadable: bool = True,
+    skip_unreadable: bool = False,
 ) -> Model:
-    """Train on two directories of logs; the second only widens the dictionary."""
+    """Train on two directories of logs; the second only widens the dictionary.
+
+    A file that fails while it is read is an error. With ``skip_unreadable`` the rest of it is left
+    out instead, and Spark does not tell of which files.
+    """
     normal_files = list_files(spark, normal_dir)
     n_normal = normal_files.count()
     anomaly_files = list_files(spark, anomaly_dir, corpus_rank=1, first_ord=n_normal)
