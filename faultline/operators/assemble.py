@@ -30,7 +30,7 @@ def assemble_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFr
         .withColumn("is_ps", is_ps_line(value))
         .withColumn("chunk", chunk_of("line_no", chunk_lines))
     )
-    chunks = stage(_chunk_anchors(kept), "chunk-anchors")
+    chunks = stage(_chunk_anchors(kept), "chunk-anchors", measured=True)
     side = F.broadcast(chunks) if fits_broadcast(chunks) else chunks
     # Null where no PS line comes before.
     target = F.when(F.col("line_no") < F.col("first_ps"), F.col("carried")).otherwise(F.col("chunk"))

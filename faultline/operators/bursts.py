@@ -74,6 +74,7 @@ def burst_clusters(
         .filter(F.col("size") >= F.col("burst_min"))
         .drop("burst_min"),
         "burst-sizes",
+        measured=True,
     )
     side = F.broadcast(reported) if fits_broadcast(reported) else reported
     return (

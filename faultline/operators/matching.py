@@ -23,7 +23,7 @@ def join_unique(rows: DataFrame, side: DataFrame, on: list[str], how: str) -> Da
 
 def join_bucket(texts: DataFrame, per_bucket: DataFrame, how: str) -> DataFrame:
     """Join texts to the one row of their bucket (n, prefix)."""
-    return join_unique(texts, stage(per_bucket, "buckets"), _BUCKET, how)
+    return join_unique(texts, stage(per_bucket, "buckets", measured=True), _BUCKET, how)
 
 
 def match_texts(
@@ -109,7 +109,7 @@ def tag_entries(entries: DataFrame, resolved: DataFrame) -> DataFrame:
     message = F.col("message")
     keyed = entries.withColumns({"masked": tpl.masked_text(message), "params": tpl.params(message)})
     tags = resolved.select("masked", "event_id", "template", "resolved_via_oov", "oov_similarity")
-    joined = join_unique(keyed, stage(tags, "tags"), ["masked"], "left")
+    joined = join_unique(keyed, stage(tags, "tags", measured=True), ["masked"], "left")
     return joined.select(
         *entries.columns,
         F.coalesce("event_id", F.lit(tpl.UNKNOWN_ID)).alias("event_id"),

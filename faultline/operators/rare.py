@@ -69,7 +69,7 @@ def first_error_per_template(firsts: DataFrame, resolved: DataFrame) -> DataFram
 
 def with_entry(found: DataFrame, entries: DataFrame) -> DataFrame:
     """Add the fields of the entry at (file, line_no); ``found`` is the small side."""
-    found = stage(found, "found-lines")
+    found = stage(found, "found-lines", measured=True)
     side = F.broadcast(found) if fits_broadcast(found) else found
     return entries.select("file", *_FIELDS).join(side, ["file", "line_no"])
 

@@ -36,6 +36,7 @@ def with_positions(entries: DataFrame, lines: DataFrame) -> DataFrame:
     starts = stage(
         sizes.select("file_ord", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")),
         "file-starts",
+        measured=True,
     )
     side = F.broadcast(starts) if fits_broadcast(starts) else starts
     return entries.join(side, "file_ord").withColumn("pos", F.col("first") + F.col("line_no")).drop("first")

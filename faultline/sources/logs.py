@@ -99,6 +99,7 @@ def number_lines(staged: DataFrame, files: DataFrame) -> DataFrame:
         .join(files.select("file", "file_ord"), "file", "left")
         .withColumn("file_ord", F.coalesce("file_ord", _unlisted(F.col("file")))),
         "blocks",
+        measured=True,
     )
     side = F.broadcast(blocks) if fits_broadcast(blocks) else blocks
     return staged.join(side, ["file", "block"]).select(

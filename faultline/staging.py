@@ -15,7 +15,7 @@ from contextvars import ContextVar
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{parent}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet below the checkpoint folder and read it back."""
+def stage(df: DataFrame, name: str, measured: bool = False) -> DataFrame:
+    """Write ``df`` as parquet below the checkpoint folder and read it back.
+
+    With ``measured`` its bytes are counted while it is written, and ``fits_broadcast`` of the
+    result needs no job.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    taken = Observation()
+    written = df.observe(taken, _size(df).alias("bytes")) if measured else df
+    written.write.parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    if measured:
+        staged._measured_bytes = taken.get["bytes"] or 0
+    return staged
 
 
 @contextmanager
@@ -68,10 +77,18 @@ def job_staging(spark: SparkSession) -> Iterator[None]:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a would-be broadcast side, which should be a staged table: is it small?"""
-    size = reduce(add, map(_width, df.schema.fields))
-    measured = df.agg(F.sum(size).alias("bytes")).first()["bytes"]
-    return (measured or 0) <= BROADCAST_BYTES
+    """Is a would-be broadcast side small? It should be a staged table.
+
+    One that was measured when it was written tells at once; any other is measured by a job.
+    """
+    measured = getattr(df, "_measured_bytes", None)
+    if measured is None:
+        measured = df.agg(_size(df).alias("bytes")).first()["bytes"] or 0
+    return measured <= BROADCAST_BYTES
+
+
+def _size(df: DataFrame) -> Column:
+    return F.sum(reduce(add, map(_width, df.schema.fields)))
 
 
 def _width(field: T.StructField) -> Column:

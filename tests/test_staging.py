@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline import staging
 
@@ -42,3 +43,23 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         staging.checkpoint_root(Session)
+
+
+def test_a_table_measured_while_it_is_written_needs_no_job(spark, monkeypatch):
+    table = spark.range(1000).select(
+        "id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("é"), "id")).alias("text"), F.array("id").alias("ids")
+    )
+    plain, measured = staging.stage(table, "plain"), staging.stage(table, "measured", measured=True)
+    assert sorted(measured.collect(), key=str) == sorted(plain.collect(), key=str)
+    size = plain.agg(staging._size(plain)).first()[0]
+    assert measured._measured_bytes == size > 0
+    assert staging.stage(table.limit(0), "none", measured=True)._measured_bytes == 0
+    context = spark.sparkContext
+    context.setJobGroup("measured", "")
+    for bound in (size, size - 1):
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", bound)
+        assert staging.fits_broadcast(measured) == (bound == size)
+    assert len(context.statusTracker().getJobIdsForGroup("measured")) == 0
+    assert not staging.fits_broadcast(plain)
+    assert len(context.statusTracker().getJobIdsForGroup("measured")) > 0
+    context.setJobGroup("", "")
