@@ -7,6 +7,7 @@ distributed operators by a different route.
 
 from __future__ import annotations
 
+from checks.blake_sql import blake2b
 from faultline.functions.scoring import HINT_WORDS, SEVERITIES, VERDICTS
 from faultline.rules import RULE_LIBRARY
 from faultline.schemas import FINDING_FIELDS
@@ -359,6 +360,42 @@ answers AS (
   FROM matched LEFT JOIN near USING (masked))"""
 
 
+def _hash_slots(texts: str, text: str) -> str:
+    """The hash embedding of a text per row: (text, slot, total), ten times the sum of the weights."""
+    return rf"""
+hash_low AS (SELECT {text}, lower(replace({text}, '<*>', '<VAR>')) AS low FROM {texts}),
+hash_uses AS (
+  SELECT {text}, concat('w:', unnest(regexp_extract_all(low, '[A-Za-z_][A-Za-z_0-9]+'))) AS feature,
+    10 AS weight FROM hash_low
+  UNION ALL
+  SELECT {text}, concat('3:', substr(low, nth, 3)), 3
+  FROM (SELECT *, unnest(range(1, greatest(length(low) - 1, 1))) AS nth FROM hash_low)),
+hash_features AS (SELECT DISTINCT feature FROM hash_uses),
+{blake2b("hash_features", "feature", "hash_codes")},
+hash_slots AS (
+  SELECT {text}, CAST(code % 384 AS BIGINT) AS slot,
+    sum(CASE WHEN code >= 9223372036854775808 THEN weight ELSE -weight END) AS total
+  FROM hash_uses JOIN hash_codes USING (feature) GROUP BY ALL HAVING total <> 0)"""
+
+
+HASH_NEAR = f"""
+hash_texts AS (SELECT template AS body FROM templates UNION SELECT masked FROM matched WHERE event_id IS NULL),
+{_hash_slots("hash_texts", "body").strip()},
+hash_unit AS (SELECT *, total / sqrt(sum(total * total) OVER (PARTITION BY body)) AS x FROM hash_slots),
+hash_likeness AS (
+  SELECT q.body AS masked, t.event_id AS near_id, sum(q.x * p.x) AS near_sim
+  FROM (SELECT * FROM hash_unit WHERE body IN (SELECT masked FROM matched WHERE event_id IS NULL)) q
+  JOIN hash_unit p USING (slot) JOIN templates t ON t.template = p.body GROUP BY ALL),
+near AS (
+  SELECT * FROM hash_likeness
+  QUALIFY row_number() OVER (PARTITION BY masked ORDER BY round(near_sim, 7) DESC, near_id) = 1),
+answers AS (
+  SELECT masked, coalesce(event_id, CASE WHEN near_sim >= 0.55 THEN near_id END) AS event_id,
+    CASE WHEN event_id IS NULL THEN coalesce(near_sim >= 0.55, false) END AS by_near,
+    CASE WHEN event_id IS NULL AND near_sim >= 0.55 THEN near_sim END AS near_sim
+  FROM matched LEFT JOIN near USING (masked))"""
+
+
 def _rare_findings(cap: int) -> str:
     return f"""
 rare AS (
@@ -550,6 +587,19 @@ FROM positioned JOIN matched USING (masked)""",
 SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id, coalesce(template, masked) AS template,
   by_near AS resolved_via_oov, round(near_sim, 4) AS oov_similarity
 FROM positioned JOIN answers USING (masked)""",
+    "tagged_by_similarity": _with(*_LOG_HEALTHY, HASH_NEAR, recursive=True) + """
+SELECT file, line_no, coalesce(event_id, '<unk>') AS event_id, by_near AS resolved_via_oov,
+  round(near_sim, 4) AS oov_similarity
+FROM positioned JOIN answers USING (masked)""",
+    "hash_embeddings": _with(
+        DOCS, DOC_MASKED, "texts AS (SELECT DISTINCT masked FROM positioned)",
+        _hash_slots("texts", "masked"), recursive=True,
+    ) + """
+SELECT masked, CASE WHEN count(slot) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, count(slot) AS slots,
+  coalesce(string_agg(concat(CASE WHEN total > 0 THEN '+' ELSE '-' END, slot), ' ' ORDER BY slot)
+    FILTER (slot IS NOT NULL), '')
+    AS signs
+FROM texts LEFT JOIN hash_slots USING (masked) GROUP BY masked""",
     "vector_norm": """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -300,7 +300,7 @@ def tagged_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tag_entries(entries.select("file", "line_no", "message"), resolved)
     return tagged.select(
         "file", "line_no", "event_id", "resolved_via_oov",
-        F.round("oov_similarity", 6).alias("oov_similarity"),
+        F.round("oov_similarity", 4).alias("oov_similarity"),
     )
 
 
@@ -366,10 +366,17 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding of every distinct masked line of the documents."""
     texts = distinct_masked(tables.document_messages(spark, sf_dir)).select("masked")
     embedded = vec.embed_templates(texts, "masked")
+    # Weights that cancel out leave no more than rounding.
+    signs = F.transform(
+        "vec",
+        lambda x, slot: F.when(F.abs(x) > 1e-6, F.concat(F.when(x > 0, "+").otherwise("-"), slot)),
+    )
+    used = F.array_compact(signs)
     return embedded.select(
         "masked",
         F.round(vec.norm(F.col("vec")), 5).alias("length"),
-        F.size(F.filter("vec", lambda x: x != 0)).cast("bigint").alias("slots"),
+        F.size(used).cast("bigint").alias("slots"),
+        F.array_join(used, " ").alias("signs"),
     )
 
 
