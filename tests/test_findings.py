@@ -218,7 +218,7 @@ def test_firsts_are_hash_aggregated(spark):
 def test_only_wanted_bands_are_shuffled(spark, monkeypatch):
     """With the keys too large for a broadcast, the lines are filtered before their exchange."""
     monkeypatch.setattr("faultline.operators.findings.fits_broadcast", lambda df: False)
-    wanted = {5: 4 + 5, 40_000: 10, 77_777: 10}
+    wanted = {5: 4 + 10, 40_000: 15 + 10, 77_777: 15 + 10}
     number = (F.col("id") + 1).alias("line_no")
     text = F.when((F.col("id") + 1).isin(*wanted), ps("1.0", "kernel panic")).otherwise("x")
     lines = spark.range(100_000).select(F.lit("f").alias("file"), number, text.alias("value"))
@@ -229,7 +229,7 @@ def test_only_wanted_bands_are_shuffled(spark, monkeypatch):
     # The exchange of lines lies above the filter, and what passes lies in the wanted bands.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_get" in plan
-    triggers = found.select("file", F.explode(F.sequence(F.col("line_number") - 5, F.col("line_number") + 5)).alias("n"))
+    triggers = found.select("file", F.explode(F.sequence(F.col("line_number") - 15, F.col("line_number") + 10)).alias("n"))
     bands = triggers.select("file", F.floor(F.col("n") / BAND_LINES).alias("band")).distinct()
     banded = lines.withColumn("band", F.floor(F.col("line_no") / BAND_LINES))
     passed = likely_members(banded, bands, ["file", "band"])
