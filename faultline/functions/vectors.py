@@ -9,6 +9,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,30 +41,46 @@ def _slot(feature: str) -> tuple[int, int]:
 def hash_vectors(texts: list[str]) -> np.ndarray:
     """Signed feature counts of the words and character trigrams, at unit length, one row a text.
 
-    The features of all texts are numbered first, so each different one is hashed once.
+    The features of all texts are numbered first, so each different one is hashed once. Trigrams
+    are numbers, three code points each, and become strings only when they are hashed.
     """
-    numbers: dict[str, int] = {}
-    owners, features, weights = [], [], []
-    for row, text in enumerate(texts):
-        low = text.lower()
-        words = [WORD_TAG + word for word in WORD.findall(low)]
-        trigrams = [TRIGRAM_TAG + low[i : i + 3] for i in range(len(low) - 2)]
-        features.extend(numbers.setdefault(f, len(numbers)) for f in words + trigrams)
-        weights.extend([WORD_WEIGHT] * len(words) + [TRIGRAM_WEIGHT] * len(trigrams))
-        owners.append(len(words) + len(trigrams))
-    slots = np.array([_slot(feature) for feature in numbers], np.int64).reshape(-1, 2)
-    which = np.array(features, np.int64)
-    at = np.repeat(np.arange(len(texts)), owners) * DIM + slots[which, 0]
-    signed = np.array(weights, np.float64) * slots[which, 1]
-    vectors = np.bincount(at, signed, minlength=len(texts) * DIM).reshape(-1, DIM)
+    lows = [text.lower() for text in texts]
+    words = [WORD.findall(low) for low in lows]
+    rows = np.arange(len(lows))
+    named = np.array([word for found in words for word in found], dtype=object)
+    parts = [
+        _cells(named, np.repeat(rows, [len(found) for found in words]), WORD_TAG, WORD_WEIGHT, str)
+    ]
+    owner = np.repeat(rows, [len(low) for low in lows])
+    points = np.frombuffer("".join(lows).encode("utf-32-le"), "<u4").astype(np.int64)
+    inside = owner[:-2] == owner[2:]
+    grams = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside]
+    parts.append(_cells(grams, owner[:-2][inside], TRIGRAM_TAG, TRIGRAM_WEIGHT, _trigram))
+    at, signed = (np.concatenate(both) for both in zip(*parts))
+    vectors = np.bincount(at, signed, minlength=len(lows) * DIM).reshape(-1, DIM)
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(lengths > 0, lengths, 1)).astype(np.float32)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
-    """Arrow-batched ``hash_vectors``; Spark SQL has no BLAKE2b. Run it on distinct texts."""
-    return pd.Series(list(hash_vectors(texts.tolist())), dtype=object)
+def _cells(
+    features: np.ndarray, owner: np.ndarray, tag: str, weight: float, name: Callable
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature its cell in the flat matrix of vectors and its signed weight."""
+    which, different = pd.factorize(features)
+    slots = np.array([_slot(tag + name(f)) for f in different.tolist()], np.int64).reshape(-1, 2)
+    return owner * DIM + slots[which, 0], weight * slots[which, 1]
+
+
+def _trigram(code: int) -> str:
+    return "".join(chr((code >> shift) & 0x1FFFFF) for shift in (42, 21, 0))
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def hash_embedding(texts: pa.Array) -> pa.Array:
+    """``hash_vectors`` batch by batch; Spark SQL has no BLAKE2b. Run it on distinct texts."""
+    vectors = hash_vectors(texts.to_pylist())
+    ends = np.arange(len(vectors) + 1, dtype=np.int32) * DIM
+    return pa.ListArray.from_arrays(ends, vectors.ravel())
 
 
 def embed_templates(

@@ -1,3 +1,4 @@
+import sys
 from hashlib import blake2b
 
 import numpy as np
@@ -190,3 +191,37 @@ def test_matrix_rows_follow_string_order(spark):
     ids = ["E0002", "E10000", "E9999", "E0001", "E1000"]
     got = embedding_index(spark.createDataFrame([(i, [1.0]) for i in ids], KNOWN)).collect()
     assert {r["event_id"]: r["row"] for r in got} == {v: i for i, v in enumerate(sorted(ids))}
+
+
+def feature_by_feature(texts):
+    """Slots and weights of all texts, each feature a string of its own."""
+    out = np.zeros((len(texts), vec.DIM))
+    for row, text in enumerate(texts):
+        low = text.lower()
+        words = [("w:" + w, 1.0) for w in vec.WORD.findall(low)]
+        for name, weight in words + [("3:" + low[i : i + 3], 0.3) for i in range(len(low) - 2)]:
+            slot, sign = vec._slot(name)
+            out[row, slot] += weight * sign
+    return out
+
+
+def test_hashing_does_no_python_step_per_trigram():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdeé_1\U0001d4b3"), 7)) for _ in range(200)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(1_000)] + ["", "a", "ab", "abc"]
+    want = feature_by_feature(texts)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vec.hash_vectors(texts), want, atol=1e-6)
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += 1
+
+    # Calls of list and dict methods count as well.
+    sys.setprofile(count)
+    try:
+        vec.hash_vectors(texts)
+    finally:
+        sys.setprofile(None)
+    assert steps < sum(map(len, texts)) / 10
