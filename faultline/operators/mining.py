@@ -19,6 +19,9 @@ Any first part of a bucket, in order, can be folded alone. So each round finds,
 of positions, where at most ``2 * round_size`` open texts of every bucket end, and drops the later
 texts before anything is shuffled. One task per bucket folds the rest in order, and all later
 texts that the new templates cover are dropped in parallel.
+
+A bucket that one round takes whole has its texts and its finished templates in one task, so
+``mine_counted`` looks its texts up there as well and no text travels a second time for it.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import templates as tpl
-from faultline.operators.matching import join_bucket, join_unique
+from faultline.operators.matching import join_bucket, join_unique, match_texts
 from faultline.operators.ordered import with_row_number
 from faultline.staging import stage
 
@@ -42,7 +45,15 @@ _BUCKET = ["n", "prefix"]
 # Cells a bucket's positions are counted in to find where a round ends.
 CELLS = 1024
 
-_STATE = "n INT, prefix STRING, pos BIGINT, template STRING, last_pos BIGINT, open BOOLEAN"
+# Tokens of a bucket that its task keeps for the look-up; beyond them the texts go to match_texts.
+HELD_TOKENS = 1 << 22
+
+_STATE = (
+    "n INT, prefix STRING, pos BIGINT, template STRING, last_pos BIGINT, open BOOLEAN, "
+    "nth INT, n_lines BIGINT, normal BOOLEAN"
+)
+# What a fold reads; the text of a template, is_text false, is the template.
+_FOLDED = ["n", "prefix", "is_text", "pos", "nth", "masked", "cut", "n_lines", "normal"]
 _STATE_COLUMNS = [field.split()[0] for field in _STATE.split(", ")]
 
 
@@ -77,29 +88,82 @@ def mine_templates(
     round_size: int = ROUND_SIZE,
 ) -> DataFrame:
     """Templates of the distinct masked ``texts``: n, prefix, pos (of creation), template."""
+    narrow = texts.select(*_BUCKET, "pos", "masked")
+    return _mined(narrow, sim_threshold, max_children, round_size).select(
+        *_BUCKET, "pos", "template"
+    )
+
+
+def mine_counted(
+    texts: DataFrame,
+    sim_threshold: float = 0.5,
+    max_children: int = 128,
+    round_size: int = ROUND_SIZE,
+) -> DataFrame:
+    """``mine_templates``, and of each template its lines: n_lines and whether any is normal.
+
+    ``nth`` is the template's place in its bucket. ``texts`` should be a written table: those of
+    buckets that take more than one task are looked up by ``match_texts``.
+    """
+    narrow = texts.select(*_BUCKET, "pos", "masked", "n_lines", "normal")
+    mined = _mined(narrow, sim_threshold, max_children, round_size).select(
+        *_BUCKET, "pos", "template", "nth", "n_lines", "normal"
+    )
+    large = mined.filter(F.col("n_lines").isNull())
+    keys = stage(large.select(*_BUCKET).distinct(), "large-buckets", measured=True)
+    if keys.isEmpty():
+        return mined
+    own = F.concat_ws(" ", F.col("n"), F.col("nth"), F.col("prefix"))
+    matched = match_texts(
+        join_unique(narrow, keys, _BUCKET, "inner"),
+        large.select(*_BUCKET, F.col("nth").alias("ord"), own.alias("event_id"), "template"),
+        sim_threshold,
+    )
+    counts = matched.groupBy("event_id").agg(
+        F.sum("n_lines").alias("more_lines"), F.bool_or("normal").alias("more_normal")
+    )
+    counts = stage(counts.filter(F.col("event_id").isNotNull()), "line-counts", measured=True)
+    return (
+        join_unique(mined.withColumn("event_id", own), counts, ["event_id"], "left")
+        .withColumn("n_lines", F.coalesce("n_lines", "more_lines", F.lit(0).cast("bigint")))
+        .withColumn("normal", F.coalesce("normal", "more_normal", F.lit(False)))
+        .select(*mined.columns)
+    )
+
+
+def _mined(
+    texts: DataFrame, sim_threshold: float, max_children: int, round_size: int
+) -> DataFrame:
+    """The final state of every bucket, a row a template."""
     if not 0 < sim_threshold <= 1:
         raise ValueError("sim_threshold must lie in (0, 1]")
     fold = _folder(sim_threshold, max_children)
-    remaining = texts.select(*_BUCKET, "pos", "masked")
+    remaining = texts
     state = stage(_fold_buckets(_first(remaining, round_size), fold), "templates")
     finished = state.filter(~F.col("open"))
     while not (going_on := state.filter("open")).isEmpty():
         # Buckets with more than round_size open texts; nothing else is read again.
         remaining = stage(_uncovered(remaining, going_on), "open-texts")
-        known = going_on.select(*_BUCKET, "pos", F.col("template").alias("masked"))
+        known = going_on.select(*_BUCKET, "pos", F.col("template").alias("masked"), "nth")
         state = stage(_fold_buckets(_first(remaining, round_size, known), fold), "templates")
         finished = finished.unionByName(state.filter(~F.col("open")))
-    return finished.select(*_BUCKET, "pos", "template")
+    return finished
 
 
 def number_templates(mined: DataFrame) -> DataFrame:
-    """Add the position in creation order, ord, and the id made from it."""
+    """Add the position in creation order, ord, and the id made from it.
+
+    Counts from ``mine_counted`` stay. Its ``nth`` settles the order of equal positions, so that
+    numbers are the same when they are computed again.
+    """
+    counted = [c for c in ("n_lines", "normal") if c in mined.columns]
+    ties = [*_BUCKET, "nth"] if "nth" in mined.columns else []
     numbered = with_row_number(
         mined,
         keys=[],
         coarse={"chunk": F.floor(F.col("pos") / POSITION_CHUNK).cast("bigint")},
         coarse_order=[F.col("_unit_chunk")],
-        order=[F.col("pos")],
+        order=[F.col(c) for c in ("pos", *ties)],
         out="ord",
     ).withColumn("ord", F.col("ord") - 1)
     return numbered.select(
@@ -109,6 +173,7 @@ def number_templates(mined: DataFrame) -> DataFrame:
         tpl.tokens(F.col("template")).alias("tokens"),
         "template",
         "ord",
+        *counted,
     )
 
 
@@ -133,10 +198,18 @@ def _first(texts: DataFrame, round_size: int, known: DataFrame | None = None) ->
             F.col("end").isNull() | (F.col("pos") < F.col("end"))
         )
         head = head.withColumn("cut", F.col("end").isNotNull())
-    head = head.select(*_BUCKET, F.lit(True).alias("is_text"), "pos", "masked", "cut")
+    counted = "n_lines" in texts.columns
+    counts = {
+        "n_lines": F.col("n_lines") if counted else F.lit(None).cast("bigint"),
+        "normal": F.col("normal") if counted else F.lit(None).cast("boolean"),
+    }
+    head = head.withColumns({"is_text": F.lit(True), "nth": F.lit(0), **counts}).select(*_FOLDED)
     if known is None:
         return head
-    return head.unionByName(known.withColumns({"is_text": F.lit(False), "cut": F.lit(False)}))
+    none = {name: F.lit(None).cast(head.schema[name].dataType) for name in counts}
+    return head.unionByName(
+        known.withColumns({"is_text": F.lit(False), "cut": F.lit(False), **none}).select(*_FOLDED)
+    )
 
 
 def round_ends(texts: DataFrame, round_size: int) -> DataFrame | None:
@@ -201,8 +274,8 @@ def _last_within(cells: str, most: int) -> Column:
 
 def _fold_buckets(rows: DataFrame, fold) -> DataFrame:
     """Stream every bucket, in order, through ``fold``: many small buckets share a task."""
-    ordered = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "is_text", "pos")
-    return ordered.select(*_BUCKET, "is_text", "pos", "masked", "cut").mapInPandas(fold, _STATE)
+    ordered = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "is_text", "pos", "nth")
+    return ordered.select(*_FOLDED).mapInPandas(fold, _STATE)
 
 
 def _uncovered(texts: DataFrame, going_on: DataFrame) -> DataFrame:
@@ -230,6 +303,8 @@ class _Bucket:
         self.grid = np.zeros((4, n), dtype=np.int32)
         self.created: list[int] = []
         self.cut, self.last_pos = False, -1
+        # Codes, lines and normal of every text, while all of the bucket is here and they are few.
+        self.held: list[tuple] | None = []
 
     @property
     def swallows_all(self) -> bool:
@@ -246,11 +321,21 @@ class _Bucket:
         self.grid[size] = toks
         self.created.append(pos)
 
-    def add_text(self, pos: int, text: str, cut: bool, sim_threshold: float) -> None:
+    def add_known(self, pos: int, template: str) -> None:
+        self.append(pos, self.encode(template))
+        self.held = None
+
+    def add_text(self, pos: int, text: str, cut: bool, n_lines, normal, sim_threshold: float) -> None:
         self.cut, self.last_pos = cut, pos
-        if self.swallows_all:
+        if cut or n_lines is None or (self.held and len(self.held) * self.n > HELD_TOKENS):
+            self.held = None
+        if self.swallows_all and self.held is None:
             return
         toks = self.encode(text)
+        if self.held is not None:
+            self.held.append((np.array(toks, np.int32), n_lines, normal))
+        if self.swallows_all:
+            return
         size = len(self.created)
         if size:
             known = self.grid[:size]
@@ -261,32 +346,83 @@ class _Bucket:
                 return
         self.append(pos, toks if size < self.max_children else [0] * self.n)
 
-    def templates(self) -> Iterator[tuple]:
+    def counts(self, sim_threshold: float) -> list[tuple]:
+        """n_lines and normal of each finished template; nulls if texts are not all held.
+
+        As in ``match_texts``: most equal positions, the earliest on ties, none below the threshold.
+        """
+        size = len(self.created)
+        if not self.held:
+            return [(None, None)] * size
+        lines, normal = [0] * size, [False] * size
+        texts = np.array([codes for codes, _, _ in self.held], np.int32).reshape(-1, self.n)
+        best, most = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+        for at, codes in enumerate(self.grid[:size]):
+            hits = ((texts == codes) | (codes == 0)).sum(axis=1)
+            best[hits > most] = at
+            most = np.maximum(most, hits)
+        found = most / max(self.n, 1) >= sim_threshold if self.n else most >= 0
+        for at, fits, (_, many, good) in zip(best.tolist(), found.tolist(), self.held):
+            if fits:
+                lines[at] += many
+                normal[at] = normal[at] or bool(good)
+        return list(zip(lines, normal))
+
+    def templates(self, sim_threshold: float) -> Iterator[tuple]:
         words = list(self.codes)
         is_open = self.cut and not self.swallows_all
-        for pos, codes in zip(self.created, self.grid.tolist()):
+        counts = self.counts(sim_threshold)
+        for nth, (pos, codes) in enumerate(zip(self.created, self.grid.tolist())):
             template = " ".join([words[c] for c in codes])
-            yield self.n, self.prefix, pos, template, self.last_pos, is_open
+            yield self.n, self.prefix, pos, template, self.last_pos, is_open, nth, *counts[nth]
 
 
 def _folder(sim_threshold: float, max_children: int):
     """The sequential step over rows sorted by bucket, templates before texts."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The rows of a bucket wait until a second one comes: a lone text is its template.
+        first: tuple | None = None
         bucket: _Bucket | None = None
+
+        def add(row: tuple) -> None:
+            _, _, is_text, pos, _, text, cut, n_lines, normal = row
+            if is_text:
+                bucket.add_text(pos, text, cut, n_lines, normal, sim_threshold)
+            else:
+                bucket.add_known(pos, text)
+
+        def finished() -> Iterator[tuple]:
+            nonlocal first, bucket
+            if bucket is not None:
+                yield from bucket.templates(sim_threshold)
+            elif first is not None:
+                n, prefix, _, pos, _, text, cut, n_lines, normal = first
+                seen = (None, None) if cut else (n_lines, normal)
+                yield n, prefix, pos, text, pos, cut, 0, *seen
+            first = bucket = None
+
         for batch in batches:
             done: list[tuple] = []
-            for n, prefix, is_text, pos, text, cut in batch.itertuples(index=False, name=None):
-                if bucket is None or bucket.n != n or bucket.prefix != prefix:
-                    if bucket is not None:
-                        done.extend(bucket.templates())
-                    bucket = _Bucket(n, prefix, max_children)
-                if is_text:
-                    bucket.add_text(pos, text, cut, sim_threshold)
-                else:
-                    bucket.append(pos, bucket.encode(text))
-            yield pd.DataFrame(done, columns=_STATE_COLUMNS)
-        if bucket is not None:
-            yield pd.DataFrame(bucket.templates(), columns=_STATE_COLUMNS)
+            columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in _FOLDED]
+            for row in zip(*columns):
+                if first is None or first[0] != row[0] or first[1] != row[1]:
+                    done.extend(finished())
+                    first = row
+                    if not row[2] or not max_children:
+                        bucket = _Bucket(row[0], row[1], max_children)
+                        add(row)
+                    continue
+                if bucket is None:
+                    bucket = _Bucket(row[0], row[1], max_children)
+                    add(first)
+                add(row)
+            yield _state_rows(done)
+        yield _state_rows(list(finished()))
 
     return fold
+
+
+def _state_rows(rows: list[tuple]) -> pd.DataFrame:
+    state = pd.DataFrame(rows, columns=_STATE_COLUMNS, dtype=object)
+    return state.astype({"n_lines": "Int64", "normal": "boolean"})

@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.vectors import Embedder, embed_templates, hash_embedding
 from faultline.operators.assemble import assemble_entries
 from faultline.operators.matching import match_texts, resolve_texts
-from faultline.operators.mining import (
-    count_lines,
-    distinct_masked,
-    mine_templates,
-    number_templates,
-)
+from faultline.operators.mining import distinct_masked, mine_counted, number_templates
 from faultline.operators.neighbours import resolve_unmatched
 from faultline.operators.rare import known_ids
 from faultline.sources.logs import list_files, read_lines
@@ -79,18 +74,17 @@ def train_entries(
     The model in ``model_dir`` is replaced as a whole, when all of the new one is written.
     """
     texts = stage(distinct_masked(entries), "texts")
-    mined = stage(number_templates(mine_templates(texts, sim_threshold, max_children)), "mined")
     # Every trained text has a match in the finished dictionary, though not always the
     # template it was folded into, so counts and healthy ids come from a second look-up.
-    matched = stage(match_texts(texts, mined, sim_threshold), "trained")
+    numbered = number_templates(mine_counted(texts, sim_threshold, max_children))
     with new_version(entries.sparkSession, model_dir) as version:
-        templates = save_table(count_lines(mined, matched), version, "templates")
+        templates = save_table(numbered, version, "templates")
         embeddings = save_table(
             embed_templates(templates.select("event_id", "template"), "template", embedder),
             version,
             "embeddings",
         )
-        normal = save_table(known_ids(matched.filter("normal")), version, "normal_ids")
+        normal = save_table(known_ids(numbered.filter("normal")), version, "normal_ids")
     return Model(templates, embeddings, normal)
 
 

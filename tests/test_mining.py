@@ -8,6 +8,7 @@ from faultline.operators.matching import match_texts, resolve_texts, tag_entries
 from faultline.operators.mining import (
     count_lines,
     distinct_masked,
+    mine_counted,
     mine_templates,
     number_templates,
 )
@@ -170,3 +171,57 @@ def test_rounds_of_a_hot_bucket_are_bounded_without_a_window(spark):
     assert 1 <= taken["x"]["k"] <= 200 and taken["x"]["cut"]
     assert taken["x"]["last"] == (taken["x"]["k"] - 1) ** 2
     assert taken["y"]["k"] == 1 and not taken["y"]["cut"]
+
+
+def counts_of(mined):
+    rows = mined.select("n", "prefix", "pos", "template", "n_lines", "normal").collect()
+    return sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize(
+    ("threshold", "cap", "round_size", "held"),
+    [(0.5, 128, 20_000, 1 << 22), (0.5, 3, 20_000, 1 << 22), (0.5, 2, 4, 1 << 22), (0.8, 6, 20_000, 9)],
+)
+def test_lines_are_counted_where_they_are_mined(spark, monkeypatch, threshold, cap, round_size, held):
+    monkeypatch.setattr(mining, "HELD_TOKENS", held)
+    rng = random.Random(cap)
+    rows = [
+        (i, m, rng.choice([True, False, None]))
+        for i, m in enumerate(random_messages(rng, 200) + ["", "<*> up", "lone word", "7 7 7 7"])
+    ]
+    texts = distinct_masked(
+        spark.createDataFrame(rows, "pos BIGINT, message STRING, normal BOOLEAN")
+    ).cache()
+    plain = number_templates(mine_templates(texts, threshold, cap, round_size)).cache()
+    matched = match_texts(texts, plain, threshold)
+    marks = matched.groupBy("event_id").agg(F.coalesce(F.bool_or("normal"), F.lit(False)).alias("normal"))
+    want = count_lines(plain, matched).join(marks, "event_id", "left")
+    got = number_templates(mine_counted(texts, threshold, cap, round_size))
+    columns = ["event_id", "n", "prefix", "tokens", "template", "ord", "n_lines"]
+    normal = F.coalesce("normal", F.lit(False)).alias("normal")
+    assert sorted(map(str, got.select(*columns, normal).collect())) == sorted(
+        map(str, want.select(*columns, normal).collect())
+    )
+
+
+def test_texts_of_whole_buckets_do_not_travel_again(spark, monkeypatch):
+    def no_join(*args):
+        raise AssertionError("texts are looked up in another task")
+
+    monkeypatch.setattr(mining, "match_texts", no_join)
+    texts = texts_of(spark, ["link up", "link down", "link up", "scan a b", "scan"]).cache()
+    assert counts_of(mine_counted(texts)) == [
+        (1, "scan", 4, "scan", 1, True),
+        (2, "link", 0, "link <*>", 3, True),
+        (3, "scan", 3, "scan a b", 1, True),
+    ]
+
+
+def test_lines_of_equal_positions_are_told_apart(spark):
+    rows = [(0, m, True) for m in ("a b c d", "a x y z", "a p q r")] + [(1, "a b c e", False)]
+    texts = distinct_masked(
+        spark.createDataFrame(rows, "pos BIGINT, message STRING, normal BOOLEAN")
+    ).cache()
+    numbered = number_templates(mine_counted(texts, 0.5, 8)).orderBy("ord").collect()
+    assert [r["ord"] for r in numbered] == [0, 1, 2]
+    assert sorted(r["n_lines"] for r in numbered) == [1, 1, 2]
