@@ -225,7 +225,8 @@ def _log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dictionary(texts: DataFrame) -> DataFrame:
-    return stage(number_templates(mine_templates(texts)), "dictionary")
+    # The look-up takes the tokens from the template.
+    return stage(number_templates(mine_templates(texts)).drop("tokens"), "dictionary")
 
 
 def _template_rows(templates: DataFrame) -> DataFrame:

@@ -35,32 +35,33 @@ def match_texts(
     travel as one array, so each text is compared in place and no pair becomes a row. Highest
     similarity wins, the earliest template on ties.
     """
-    templates = templates.select(*_BUCKET, "ord", "event_id", "template")
+    # The tokens joined by blanks are the template, so only they travel.
     per_bucket = templates.groupBy(*_BUCKET).agg(
         F.collect_list(
-            F.struct("ord", "event_id", "template", tpl.tokens(F.col("template")).alias("tokens"))
+            F.struct("ord", "event_id", tpl.tokens(F.col("template")).alias("tokens"))
         ).alias("known")
     )
-    toks = tpl.tokens(F.col("masked"))
     scored = F.transform(
         "known",
         lambda t: F.struct(
-            tpl.matching_positions(t["tokens"], toks).alias("hits"),
+            tpl.matching_positions(t["tokens"], F.col("toks")).alias("hits"),
             (-t["ord"]).alias("earliness"),
             t["event_id"].alias("event_id"),
-            t["template"].alias("template"),
+            t["tokens"].alias("tokens"),
         ),
     )
     best = F.col("best")
-    share = best["hits"] / F.nullif(F.col("n"), F.lit(0))
+    share = best["hits"] / F.nullif(F.col("width"), F.lit(0))
     good = best.isNotNull() & F.coalesce(share >= F.lit(float(sim_threshold)), F.lit(True))
     return (
         join_bucket(texts, per_bucket, "left")
-        .withColumn("best", F.array_max(scored))
+        # Used twice, the list stays a column; else Spark splits the text anew for every template.
+        .withColumn("toks", tpl.tokens(F.col("masked")))
+        .withColumns({"best": F.array_max(scored), "width": F.size("toks")})
         .select(
             *texts.columns,
             F.when(good, best["event_id"]).alias("event_id"),
-            F.when(good, best["template"]).alias("template"),
+            F.when(good, F.array_join(best["tokens"], " ")).alias("template"),
         )
     )
 

@@ -180,7 +180,9 @@ def number_templates(mined: DataFrame) -> DataFrame:
 def count_lines(templates: DataFrame, matched: DataFrame) -> DataFrame:
     """Add n_lines: lines whose masked text matches the template in the finished dictionary."""
     lines = matched.groupBy("event_id").agg(F.sum("n_lines").alias("n_lines"))
-    return templates.join(lines, "event_id", "left").withColumn(
+    # A written table: a filter for the join's keys would repeat the look-up below it.
+    lines = stage(lines, "line-counts", measured=True)
+    return join_unique(templates, lines, ["event_id"], "left").withColumn(
         "n_lines", F.coalesce("n_lines", F.lit(0).cast("bigint"))
     )
 
@@ -314,7 +316,7 @@ class _Bucket:
         codes = self.codes
         return [codes.setdefault(t, len(codes)) for t in text.split(" ")] if self.n else []
 
-    def append(self, pos: int, toks: list[int]) -> None:
+    def append(self, pos: int, toks: list[int] | np.ndarray) -> None:
         size = len(self.created)
         if size == len(self.grid):
             self.grid = np.vstack([self.grid, np.zeros_like(self.grid)])
@@ -331,9 +333,9 @@ class _Bucket:
             self.held = None
         if self.swallows_all and self.held is None:
             return
-        toks = self.encode(text)
+        toks = np.array(self.encode(text), np.int32)
         if self.held is not None:
-            self.held.append((np.array(toks, np.int32), n_lines, normal))
+            self.held.append((toks, n_lines, normal))
         if self.swallows_all:
             return
         size = len(self.created)
@@ -404,8 +406,7 @@ def _folder(sim_threshold: float, max_children: int):
 
         for batch in batches:
             done: list[tuple] = []
-            columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in _FOLDED]
-            for row in zip(*columns):
+            for row in zip(*[_values(batch[c]) for c in _FOLDED]):
                 if first is None or first[0] != row[0] or first[1] != row[1]:
                     done.extend(finished())
                     first = row
@@ -423,6 +424,13 @@ def _folder(sim_threshold: float, max_children: int):
     return fold
 
 
+def _values(column: pd.Series) -> list:
+    """Plain values, nulls as None; only counts may be null."""
+    if column.name in ("n_lines", "normal"):
+        column = column.astype(object).where(column.notna(), None)
+    return column.tolist()
+
+
 def _state_rows(rows: list[tuple]) -> pd.DataFrame:
     state = pd.DataFrame(rows, columns=_STATE_COLUMNS, dtype=object)
     return state.astype({"n_lines": "Int64", "normal": "boolean"})

@@ -225,3 +225,18 @@ def test_lines_of_equal_positions_are_told_apart(spark):
     numbered = number_templates(mine_counted(texts, 0.5, 8)).orderBy("ord").collect()
     assert [r["ord"] for r in numbered] == [0, 1, 2]
     assert sorted(r["n_lines"] for r in numbered) == [1, 1, 2]
+
+
+def test_a_text_is_split_and_looked_up_once(spark):
+    texts = texts_of(spark, ["link up", "link down", "scan a b"]).cache()
+    templates = number_templates(mine_templates(texts)).cache()
+    matched = match_texts(texts, templates)
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    per_template = plan(matched).split("transform(")[1].split("lambdafunction")[1]
+    assert "split(" not in per_template
+    counted = count_lines(templates, matched)
+    assert "transform(" not in plan(counted).split("InMemoryRelation")[0]
+    assert [r["n_lines"] for r in counted.orderBy("ord").collect()] == [2, 1]
