@@ -475,15 +475,15 @@ def find_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _train_directories(
     spark: SparkSession,
-    sf_dir: str,
+    corpus: str,
     normal: str = tables.NORMAL_FILES,
     anomaly: str = tables.ANOMALY_FILES,
 ) -> str:
     model_dir = new_folder(spark, "model")
     train(
         spark,
-        tables.log_corpus(spark, sf_dir, F.expr(normal)),
-        tables.log_corpus(spark, sf_dir, F.expr(anomaly)),
+        tables.side_of(corpus, normal),
+        tables.side_of(corpus, anomaly),
         model_dir,
         embedder=tables.md5_embedding,
     )
@@ -492,12 +492,14 @@ def _train_directories(
 
 def train_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training on two directories that hold the logs of two devices each, as saved."""
-    return _saved_model(load_model(spark, _train_directories(spark, sf_dir)))
+    model_dir = _train_directories(spark, tables.log_corpus(spark, sf_dir))
+    return _saved_model(load_model(spark, model_dir))
 
 
 def train_all_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training on two directories, of the healthy day's files and of all others, as saved."""
-    model_dir = _train_directories(spark, sf_dir, tables.HEALTHY_FILES, tables.OTHER_FILES)
+    corpus = tables.log_corpus(spark, sf_dir)
+    model_dir = _train_directories(spark, corpus, tables.HEALTHY_FILES, tables.OTHER_FILES)
     return _saved_model(load_model(spark, model_dir))
 
 
@@ -519,9 +521,10 @@ def find_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The model is trained on every file as well.
     """
-    model_dir = _train_directories(spark, sf_dir, tables.HEALTHY_FILES, tables.OTHER_FILES)
+    corpus = tables.log_corpus(spark, sf_dir)
+    model_dir = _train_directories(spark, corpus, tables.HEALTHY_FILES, tables.OTHER_FILES)
     out = new_folder(spark, "reports")
-    find(spark, tables.log_corpus(spark, sf_dir), out, model_dir, embedder=tables.md5_embedding)
+    find(spark, corpus, out, model_dir, embedder=tables.md5_embedding)
     written = [
         spark.read.text(f"{out}/{kind}").select(F.lit(kind).alias("kind"), "value")
         for kind in ("json", "md", "summary")

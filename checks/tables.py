@@ -119,17 +119,11 @@ def _line_text() -> Column:
     )
 
 
-def log_corpus(spark: SparkSession, sf_dir: str, chosen: Column | None = None) -> str:
-    """The daily log files written as real ``.log`` files; returns the path to read.
-
-    ``chosen`` picks files by their device and day.
-    """
+def log_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """The daily log files written as real ``.log`` files; returns the path to read."""
     path = new_folder(spark, "corpus")
-    lines = log_lines(spark, sf_dir, daily=True)
-    if chosen is not None:
-        lines = lines.withColumns(file_parts()).filter(chosen)
-    _write_logs(lines, path)
-    return f"{path}/file=*"
+    _write_logs(log_lines(spark, sf_dir, daily=True), path)
+    return f"{path}/{ALL_NAMES}"
 
 
 def _write_logs(lines: DataFrame, path: str, **options: str) -> None:
@@ -175,6 +169,21 @@ NORMAL_FILES, ANOMALY_FILES = "device < 2", "device >= 2"
 HEALTHY_FILES = f"day <= {HEALTHY_DAY}"
 OTHER_FILES = f"day > {HEALTHY_DAY}"
 
+# The same sides as names of files below a written corpus, so that each line is written once.
+ALL_NAMES = "file=*"
+SIDE_NAMES = {
+    NORMAL_FILES: "file=f[01]-[0-9]*.log",
+    ANOMALY_FILES: "file=f[23]-[0-9]*.log",
+    HEALTHY_FILES: f"file=f[0-9]-{HEALTHY_DAY}.log",
+    OTHER_FILES: "file=f[0-9]-[1-9]*.log",
+}
+
+
+def side_of(corpus: str, side: str) -> str:
+    """The path that reads only one side of a ``log_corpus``."""
+    return f"{corpus.removesuffix(ALL_NAMES)}{SIDE_NAMES[side]}"
+
+
 MD5_DIM = 32
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,21 @@ from faultline.staging import fits_broadcast, stage
 
 FILE_GLOB = "*.log"
 
+_LISTING_CONF = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_WAVES = 4  # tasks per core that list folders
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Many folders to a task while Spark lists a path: by default each is a task of its own."""
+    before = spark.conf.get(_LISTING_CONF)
+    most = LISTING_WAVES * spark.sparkContext.defaultParallelism
+    spark.conf.set(_LISTING_CONF, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING_CONF, before)
+
 
 def _plain_path(uri: Column) -> Column:
     """Undo the URI form Spark reports: percent escapes, and slashes after ``file:``."""
@@ -17,11 +35,11 @@ def _plain_path(uri: Column) -> Column:
 
 
 def _scan(spark: SparkSession, log_dir: str, skip_unreadable: bool = False) -> DataFrame:
-    return (
-        spark.read.option("pathGlobFilter", FILE_GLOB)
-        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
-        .text(log_dir)
+    reader = spark.read.option("pathGlobFilter", FILE_GLOB).option(
+        "ignoreCorruptFiles", str(skip_unreadable).lower()
     )
+    with _few_listing_tasks(spark):
+        return reader.text(log_dir)
 
 
 def _unlisted(file: Column) -> Column:
